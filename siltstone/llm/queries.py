@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontaminate, quality, secrets, sharding, simhash
+from siltstone.llm import bpe, decontaminate, pii, quality, secrets, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +47,15 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents")).drop("values")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op5_byte_bpe, op6_rendezvous_shards, op7_nbsvm_quality,
-        op8_wu_manber_decontamination, op9_simhash_near_dedup,
+        op8_wu_manber_decontamination, op9_simhash_near_dedup, op10_weak_pii,
     )
 }
 
