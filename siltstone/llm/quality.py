@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
 A record is the set of its n-gram indicators: words, and runs of one to three
-word shapes (case pattern plus punctuation), hashed into fixed spaces.  Each
+word shapes (case pattern plus punctuation) and repetition patterns, hashed into fixed spaces.  Each
 indicator is scaled by its class log-count ratio r; a linear hinge-loss model is
 fitted on the scaled indicators by dual coordinate descent, and the score is
 the logistic of its margin.
@@ -90,7 +90,17 @@ class Indicators:
             if len(s) > n:
                 grams.append((grams[-1][:-1] ^ (s[n:] + np.uint64(n))) * np.uint64(odd))
         shapes = np.concatenate(grams) >> np.uint64(64 - SHAPE_BITS)
-        return np.unique(np.concatenate([ids[:, 0], shapes.astype(np.int64) + (1 << WORD_BITS)]))
+        return np.unique(np.concatenate([ids[:, 0], shapes.astype(np.int64) + (1 << WORD_BITS), repeats(ids[:, 0])]))
+
+
+def repeats(words: np.ndarray, lags: int = 4, run: int = 3) -> np.ndarray:
+    """Indicators of ``run`` words in a row that equal the word 1 to ``lags`` places before."""
+    found = []
+    for lag in range(1, lags + 1):
+        same = np.concatenate([[0], np.cumsum(words[lag:] == words[:-lag])])
+        if (same[run:] - same[:-run] == run).any():
+            found.append((1 << WORD_BITS) + lag)
+    return np.array(found, np.int64)
 
 
 #: Shared by the tasks of a worker process.
@@ -162,7 +172,8 @@ def train(
         packed = np.concatenate([weights[:-1], ratio, weights[-1:]]).astype("<f4").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["model"])
 
-    return bytes(rows.repartition(1).mapInArrow(model, "model binary").first()[0])
+    made = rows.repartition(1).mapInArrow(model, "model binary").first()
+    return bytes(made[0]) if made else bytes(4 * (2 * DIM + 1))
 
 
 def score_texts(texts: list[str], weights: np.ndarray, ratio: np.ndarray, bias: float, indicators: Indicators) -> list[float]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontaminate, pii, quality, secrets, sharding, simhash
+from siltstone.llm import bpe, decontaminate, html, jpeg, pii, quality, secrets, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("secrets")
 
 
+def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages")).drop("neighbour")
+
+
+def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_columns(table(spark, sf_dir, "documents")).drop("media")
+
+
 def byte_vocabulary() -> str:
     import public_tokenizers
 
@@ -54,7 +62,7 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op5_byte_bpe, op6_rendezvous_shards, op7_nbsvm_quality,
+        op1_secret_scan, op2_page_differencing, op3_jpeg_media, op5_byte_bpe, op6_rendezvous_shards, op7_nbsvm_quality,
         op8_wu_manber_decontamination, op9_simhash_near_dedup, op10_weak_pii,
     )
 }
