@@ -21,7 +21,6 @@ import heapq
 import json
 import re
 import unicodedata
-from itertools import chain
 
 import numpy as np
 import regex
@@ -183,7 +182,7 @@ class ByteBPE:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
-        Memory is bounded by the remembered words plus the distinct words of ``texts``.
+        Memory is bounded by the remembered words plus ``texts``.
         """
         plans: list[list] = []
         for text in texts:
@@ -192,13 +191,23 @@ class ByteBPE:
             for special, plain in zip(parts[1::2], parts[2::2], strict=True):
                 plan = [*plan, (special,), *self.pieces(plain)]
             plans.append(plan)
-        words = set(chain.from_iterable(plans))
-        if len(self.known) + len(words) > _CACHE_LIMIT and not words <= self.known.keys():
-            self.known = dict(self.marks)
-        if new := list(words - self.known.keys()):
-            self.learn(new)
-        known = self.known
-        return [b"".join([known[w] for w in plan]) for plan in plans]
+        get = self.known.get
+        found = [[get(w) for w in plan] for plan in plans]
+        new: set = set()
+        for plan, ids in zip(plans, found, strict=True):
+            if None in ids:
+                new.update([w for w, i in zip(plan, ids, strict=True) if i is None])
+        if new:
+            if len(self.known) + len(new) > _CACHE_LIMIT:
+                self.known = dict(self.marks)
+                new -= self.known.keys()
+            self.learn(list(new))
+            get = self.known.get
+            found = [
+                [get(w) if i is None else i for w, i in zip(plan, ids, strict=True)] if None in ids else ids
+                for plan, ids in zip(plans, found, strict=True)
+            ]
+        return [b"".join(ids) for ids in found]
 
     def decode(self, ids: bytes) -> str:
         tokens = np.frombuffer(ids, "<u4").astype(np.int64)

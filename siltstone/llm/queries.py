@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontaminate, html, jpeg, pii, quality, secrets, sharding, simhash
+from siltstone.llm import bpe, decontaminate, html, jpeg, pii, quality, secrets, sharding, simhash, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,13 @@ def byte_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return wavelet.read_documents(spark, path)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), byte_vocabulary()).drop("ids", "decoded")
 
@@ -62,7 +69,7 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op2_page_differencing, op3_jpeg_media, op5_byte_bpe, op6_rendezvous_shards, op7_nbsvm_quality,
+        op1_secret_scan, op2_page_differencing, op3_jpeg_media, op4_wavelet_shards, op5_byte_bpe, op6_rendezvous_shards, op7_nbsvm_quality,
         op8_wu_manber_decontamination, op9_simhash_near_dedup, op10_weak_pii,
     )
 }
