@@ -21,6 +21,7 @@ import heapq
 import json
 import re
 import unicodedata
+from itertools import islice
 
 import numpy as np
 import regex
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from siltstone.llm.common import per_document
 
 LONG = 4096
-_CACHE_LIMIT = 500_000
+_CACHE_LIMIT = 800_000
 _FAST_BELOW = 0x250
 
 
@@ -192,14 +193,15 @@ class ByteBPE:
                 plan = [*plan, (special,), *self.pieces(plain)]
             plans.append(plan)
         get = self.known.get
-        found = [[get(w) for w in plan] for plan in plans]
+        found = [list(map(get, plan)) for plan in plans]
         new: set = set()
         for plan, ids in zip(plans, found, strict=True):
             if None in ids:
                 new.update([w for w, i in zip(plan, ids, strict=True) if i is None])
         if new:
             if len(self.known) + len(new) > _CACHE_LIMIT:
-                self.known = dict(self.marks)
+                # common words come early, so the oldest ones stay
+                self.known = self.marks | dict(islice(self.known.items(), _CACHE_LIMIT // 4))
                 new -= self.known.keys()
             self.learn(list(new))
             get = self.known.get
