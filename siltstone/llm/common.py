@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,9 +75,6 @@ def per_document(
     ``schema`` names the produced columns in order, as DDL; the id keeps its type.
     """
     kept = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-
     out = StructType([StructField(id_col, df.schema[id_col].dataType), *_parse_datatype_string(schema).fields])
     arrow = to_arrow_schema(out)
 
@@ -89,3 +88,18 @@ def per_document(
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return kept.mapInArrow(apply, out)
+
+
+def keep_rows(df: DataFrame, text_col: str, decide: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """Rows of ``df`` whose text ``decide`` keeps; all columns stay as they are."""
+    place = df.columns.index(text_col)
+    names = [f"c{i}" for i in range(len(df.columns))]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, names[place]):
+                mask = decide([x or "" for x in part.column(place).to_pylist()])
+                yield part.filter(pa.array(mask, pa.bool_()))
+
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)])
+    return df.toDF(*names).mapInArrow(apply, schema).toDF(*df.columns)

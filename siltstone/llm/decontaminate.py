@@ -25,12 +25,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType, _parse_datatype_string
 
-from siltstone.llm.common import slices
+from siltstone.llm.common import keep_rows, slices
 
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 #: Lower-cases A-Z and turns every byte outside words into a blank.
@@ -137,6 +137,51 @@ class Matcher:
 _MATCHERS: dict[str, Matcher] = {}
 
 
+def _matcher(sent, key: str, size: int) -> Matcher:
+    """The worker's tables of a broadcast block."""
+    if key not in _MATCHERS:
+        while len(_MATCHERS) > 2:
+            _MATCHERS.pop(next(iter(_MATCHERS)))
+        _MATCHERS[key] = Matcher(sent.value, size)
+    return _MATCHERS[key]
+
+
+def _items(benchmark: DataFrame, block_bytes: int, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
+    """The benchmark's (id, text) and the number of blocks it is sent in."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
+    items = items.where("id IS NOT NULL AND text IS NOT NULL")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return items, max(1, math.ceil(total / block_bytes))
+
+
+def _block(spark: SparkSession, items: DataFrame, n: int, blocks: int):
+    """One block, broadcast; its size is a bounded share of the benchmark."""
+    block = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).orderBy("id", "text")
+    return spark.sparkContext.broadcast([(r.id, r.text) for r in block.collect()])
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    size: int = 10,
+    block_bytes: int = 16 << 20,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The records in which no window of the benchmark occurs, with all their columns."""
+    items, blocks = _items(benchmark, block_bytes, item_col, item_text_col)
+    for n in range(blocks):
+        sent, key = _block(docs.sparkSession, items, n, blocks), uuid.uuid4().hex
+
+        def clean(texts: list[str], sent=sent, key=key) -> list[bool]:
+            _, found = _matcher(sent, key, size).scan([words_of(t) for t in texts])
+            return [not f for f in found]
+
+        docs = keep_rows(docs, text_col, clean)
+    return docs
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -148,11 +193,8 @@ def find_contamination(
     item_text_col: str = "text",
 ) -> DataFrame:
     """One row per record: id, n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated."""
+    items, blocks = _items(benchmark, block_bytes, item_col, item_text_col)
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
-    items = items.where("id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / block_bytes))
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     rows = rows.withColumns({"hit": F.lit(None).cast("binary"), "items": F.lit(None).cast("string")})
     id_field = StructField("id", docs.schema[id_col].dataType)
@@ -162,9 +204,7 @@ def find_contamination(
         + _parse_datatype_string("n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean").fields
     )
     for n in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).orderBy("id", "text")
-        # of bounded size: its share of the benchmark
-        sent = spark.sparkContext.broadcast([(r.id, r.text) for r in block.collect()])
+        sent = _block(spark, items, n, blocks)
         out = final if n == blocks - 1 else carried
         rows = rows.mapInArrow(_scan(sent, uuid.uuid4().hex, size, to_arrow_schema(out), n == blocks - 1), out)
     return rows
@@ -172,11 +212,7 @@ def find_contamination(
 
 def _scan(sent, key: str, size: int, schema: pa.Schema, last: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MATCHERS:
-            while len(_MATCHERS) > 2:
-                _MATCHERS.pop(next(iter(_MATCHERS)))
-            _MATCHERS[key] = Matcher(sent.value, size)
-        matcher = _MATCHERS[key]
+        matcher = _matcher(sent, key, size)
         for batch in batches:
             for part in slices(batch, "text"):
                 columns = [part.column("id").cast(schema.field(0).type)]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import per_document
+from siltstone.llm.common import keep_rows, per_document
 
 WORD_BITS, SHAPE_BITS = 18, 17
 DIM = (1 << WORD_BITS) + (1 << SHAPE_BITS)
@@ -187,6 +187,17 @@ def score_texts(texts: list[str], weights: np.ndarray, ratio: np.ndarray, bias:
     return scores
 
 
+def _scorer(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str):
+    """A function from texts to scores, with the trained model broadcast (a fixed size)."""
+    packed = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, id_col, text_col, label_col))
+
+    def score(texts: list[str]) -> list[float]:
+        flat = np.frombuffer(packed.value, "<f4")
+        return score_texts(texts, flat[:DIM], flat[DIM:-1], float(flat[-1]), INDICATORS)
+
+    return score
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -196,16 +207,32 @@ def score_quality(
     label_col: str = "quality",
 ) -> DataFrame:
     """One row per record: id, score, predicted; trained on the given labels."""
-    packed = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, id_col, text_col, label_col))
+    score = _scorer(docs, labels, sample, id_col, text_col, label_col)
 
     def run(texts: list[str]) -> dict[str, list]:
-        flat = np.frombuffer(packed.value, "<f4")
-        scores = score_texts(texts, flat[:DIM], flat[DIM:-1], float(flat[-1]), INDICATORS)
+        scores = score(texts)
         return {"score": scores, "predicted": [int(s >= 0.5) for s in scores]}
 
     return per_document(docs, id_col, text_col, "score double, predicted int", run)
 
 
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample: int = 12_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+) -> DataFrame:
+    """The records that the classifier accepts (score 0.5 or more), with all their columns."""
+    score = _scorer(docs, labels, sample, id_col, text_col, label_col)
+
+    def accepted(texts: list[str]) -> list[bool]:
+        return [s >= 0.5 for s in score(texts)]
+
+    return keep_rows(docs, text_col, accepted)
+
+
 def held_out(id_col: str = "doc_id"):
     """True for ids that training never sees: crc32 of the id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
