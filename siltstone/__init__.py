@@ -1,0 +1 @@
+"""Analytics engine for retrieval pipelines on PySpark DataFrames."""
