@@ -90,27 +90,31 @@ def _nearest(sent, k: int, metric: str) -> Callable[[Iterator[pd.DataFrame]], It
             return 1 - products
         return 1 - products / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
 
+    def best(q: np.ndarray, d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first ``k`` of each query by (distance, id)."""
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], d, q))
+        q, d, ids = q[order], d[order], ids[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+        return q[keep], d[keep], ids[keep]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q = sent.value
-        best_d, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), object)
+        names, vectors_ = sent.value
+        held = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
+        border = np.full(len(vectors_), np.inf)
         for pdf in batches:
             pdf = pdf.dropna()
             for at in range(0, len(pdf), 2048):
                 piece = pdf.iloc[at : at + 2048]
                 # rounded, so that equal vectors tie whatever the order of the sums
-                d = distances(q, np.stack(piece["v"].to_numpy()).astype(np.float64)).round(12) + 0.0
-                ids = np.broadcast_to(piece["id"].to_numpy(object), d.shape)
-                best_d, best_i = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, ids], axis=1)
-                # ties at the border stay: the final ranking breaks them by id
-                keep = np.partition(best_d, min(k, best_d.shape[1]) - 1, axis=1)[:, min(k, best_d.shape[1]) - 1]
-                width = int((best_d <= keep[:, None]).sum(1).max())
-                order = np.argsort(best_d, axis=1, kind="stable")[:, :width]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        if best_d.shape[1]:
-            width = best_d.shape[1]
-            yield pd.DataFrame(
-                {"q": [n for n in names for _ in range(width)], "id": best_i.reshape(-1).tolist(), "distance": best_d.reshape(-1)}
-            )
+                d = distances(vectors_, np.stack(piece["v"].to_numpy()).astype(np.float64)).round(12) + 0.0
+                row, column = np.nonzero(d <= border[:, None])
+                new = row, d[row, column], piece["id"].to_numpy(object)[column]
+                held = best(*[np.concatenate(x) for x in zip(held, new, strict=True)])
+                full = np.bincount(held[0], minlength=len(names)) >= k
+                last = np.searchsorted(held[0], np.arange(len(names)), "right") - 1
+                border[full] = held[1][last[full]]
+        if len(held[0]):
+            yield pd.DataFrame({"q": [names[i] for i in held[0]], "id": held[2].tolist(), "distance": held[1]})
 
     return run
 

@@ -54,11 +54,11 @@ def _hits(df: DataFrame) -> DataFrame:
 
 
 @query(f"""
-    WITH d AS (SELECT e.vec_id, e.label, 1 - {_COS} AS distance FROM embeddings e, {_Q0} WHERE e.label IN (1, 2, 3) AND e.vec_id >= 5)
+    WITH d AS (SELECT e.vec_id, e.label, 1 - {_COS} AS distance FROM embeddings e, {_Q0} WHERE e.label IN (1, 2, 3) AND e.label >= 2)
     SELECT vec_id, label, round(distance, 6) AS distance, round(greatest(0, 1 - distance), 6) AS score
     FROM d ORDER BY d.distance, vec_id LIMIT 10""")
 def knn_filtered(spark, sf_dir):
-    where = {"$and": [{"label": {"$in": [1, 2, 3]}}, {"vec_id": {"$gte": 5}}]}
+    where = {"$and": [{"label": {"$in": [1, 2, 3]}}, {"label": {"$gte": 2}}]}
     return _hits(search.top_k(table(spark, sf_dir, "embeddings"), vector(spark, sf_dir, 0), 10, where=where, id_col="vec_id"))
 
 
@@ -106,15 +106,15 @@ def knn_exclude_self(spark, sf_dir):
 
 
 @query(f"""
-    WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, round(1 - {_COS}, 12) AS distance, q.vec_id % 200 = 0 AND e.label = 3 AS wanted
-               FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
-    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d WHERE wanted),
+    WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, round(1 - {_COS}, 12) AS distance, e.label FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
+    l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d WHERE label = 3),
+    f AS (SELECT * FROM l WHERE rank <= 5 AND distance < 0.7),
     u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
-    SELECT query_id, vec_id, rank::INT AS rank FROM f WHERE rank <= 5
+    SELECT query_id, vec_id, rank::INT AS rank FROM f
     UNION ALL SELECT query_id, vec_id, rank::INT AS rank FROM u WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM f)""")
 def knn_fallback(spark, sf_dir):
-    some = _batch(spark, sf_dir, 5, {"label": 3}).where("query_id % 200 = 0")
-    return search.with_fallback(some, _batch(spark, sf_dir, 5)).select("query_id", "vec_id", "rank")
+    near = _batch(spark, sf_dir, 5, {"label": 3}).where("distance < 0.7")
+    return search.with_fallback(near, _batch(spark, sf_dir, 5)).select("query_id", "vec_id", "rank")
 
 
 @query("SELECT vec_id, label, 1.0::DOUBLE AS score FROM embeddings WHERE vec_id = 42")
@@ -210,11 +210,11 @@ def collection_stats(spark, sf_dir):
 
 
 @query("""
-    SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN label + 100 ELSE label END AS label FROM embeddings
-    UNION ALL SELECT 1000000 + vec_id, label + 100 FROM embeddings WHERE vec_id % 10 = 0""")
+    SELECT vec_id, CASE WHEN label = 0 THEN label + 100 ELSE label END AS label FROM embeddings
+    UNION ALL SELECT 1000000 + vec_id, label + 100 FROM embeddings WHERE label = 0""")
 def upsert_embeddings(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    changed = e.where("vec_id % 10 = 0").withColumn("label", F.col("label") + 100)
+    changed = e.where("label = 0").withColumn("label", F.col("label") + 100)
     return tasks.upserted(e, changed.unionByName(changed.withColumn("vec_id", F.col("vec_id") + 1000000)), "vec_id")
 
 
@@ -333,12 +333,12 @@ def token_batches(spark, sf_dir):
 
 @query("""
     WITH f AS (SELECT doc_id, lang || '/' || (doc_id % 50) AS path, sha256(text) AS fingerprint FROM documents),
-    seen AS (SELECT DISTINCT path, fingerprint FROM f WHERE doc_id % 3 = 0)
+    seen AS (SELECT DISTINCT path, fingerprint FROM f WHERE path LIKE 'en/%')
     SELECT doc_id, path, fingerprint FROM f WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.path = f.path AND s.fingerprint = f.fingerprint)""")
 def incremental_skip(spark, sf_dir):
     path = F.concat(F.col("lang"), F.lit("/"), (F.col("doc_id") % 50).cast("string"))
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), tasks.fingerprint(F.col("text")).alias("fingerprint"))
-    return tasks.new_files(files, files.where("doc_id % 3 = 0").dropDuplicates(["path", "fingerprint"])).select("doc_id", "path", "fingerprint")
+    return tasks.new_files(files, files.where("path LIKE 'en/%'").dropDuplicates(["path", "fingerprint"])).select("doc_id", "path", "fingerprint")
 
 
 @query("SELECT sha256(text) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY sha256(text)")
@@ -497,12 +497,10 @@ def safe_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.safe_collection(name).alias("collection"), T.safe_file_name(path).alias("file"))
 
 
-@query("""SELECT doc_id, (SELECT min(i) - 1 FROM range(1, 401) r(i) WHERE substr(text, i, 1) <> substr(reverse(text), i, 1))::INT AS first_difference
-    FROM (SELECT doc_id, substr(text, 1, 400) AS text FROM documents WHERE length(text) >= 400)""")
+@query("""SELECT doc_id, (list_position(list_transform(list_zip(string_split(text, ''), string_split(reverse(text), '')), lambda z: z[1] <> z[2]), true) - 1)::INT AS first_difference
+    FROM documents""")
 def first_difference(spark, sf_dir):
-    text = F.substring("text", 1, 400)
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 400)
-    return docs.select("doc_id", T.first_difference(text, F.reverse(text)).alias("first_difference"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.first_difference(F.col("text"), F.reverse("text")).alias("first_difference"))
 
 
 # ---- tasks, files, lessons
@@ -658,14 +656,14 @@ def session_counts(spark, sf_dir):
 
 
 @query(f"""{_BATCH},
-    c AS (SELECT query_id, rank, '[' || rank || '] **Source**: ' || source || ' | **Relevance**: ' || printf('%.2f', greatest(0, 1 - round(distance, 6))) || chr(10) || substr(text, 1, 80) || chr(10) AS entry,
+    c AS (SELECT query_id, rank, '[' || rank || '] **Source**: ' || source || ' | **Relevance**: ' || printf('%.2f', greatest(0, 1 - round(distance, 6))) || chr(10) || text || chr(10) AS entry,
       '[' || rank || '] ' || source || ': ' || substr(text, 1, 200) || '...' AS line
       FROM r JOIN documents ON doc_id = r.vec_id WHERE rank <= 3)
     SELECT query_id, string_agg(entry, chr(10) ORDER BY rank) AS context, string_agg(line, chr(10) ORDER BY rank) AS sources FROM c GROUP BY query_id""")
 def cited_context(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
     hits = _batch(spark, sf_dir, 3).join(docs, "vec_id").withColumn("score", V.score(F.round("distance", 6)))
-    entry = context.text_entry(F.col("rank"), F.col("source"), F.col("score"), F.substring("text", 1, 80))
+    entry = context.text_entry(F.col("rank"), F.col("source"), F.col("score"), F.col("text"))
     full = context.context(hits.withColumn("entry", entry))
     return full.join(context.numbered_sources(hits, text="text"), "query_id")
 
