@@ -97,3 +97,26 @@ def against_baseline(df: DataFrame, by: str, baseline: str, value: str) -> DataF
 def paired(starts: DataFrame, ends: DataFrame, key: str = "task_id") -> DataFrame:
     """Starts with their ends; an end without a start is dropped, a start without an end stays open."""
     return starts.join(ends, key, "left")
+
+
+def benchmark_summary(runs: DataFrame) -> DataFrame:
+    """Means of duration, pages, regions and grounded regions, with documents a minute and pages a second."""
+    seconds, pages = F.sum("seconds"), F.sum("pages")
+    return runs.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("seconds"), 4).alias("avg_seconds"), F.round(F.avg("pages"), 4).alias("avg_pages"),
+        F.round(F.avg("regions"), 4).alias("avg_regions"), F.round(F.avg("grounded"), 4).alias("avg_grounded"),
+        F.round(F.count(F.lit(1)) * 60 / seconds, 4).alias("docs_per_minute"), F.round(pages / seconds, 4).alias("pages_per_second"),
+    )
+
+
+def queue_stats(jobs: DataFrame, states: tuple[str, ...] = ("queued", "started", "finished", "failed")) -> DataFrame:
+    """Jobs of each queue by state, zeros included."""
+    return jobs.groupBy("queue").agg(*[F.count_if(F.col("state") == s).alias(s) for s in states])
+
+
+def progress(df: DataFrame, by: str, order: str, seconds: str) -> DataFrame:
+    """Running share done and remaining seconds at the mean pace so far."""
+    w = Window.partitionBy(by)
+    sofar = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    done, total = F.count(F.lit(1)).over(sofar), F.count(F.lit(1)).over(w)
+    return df.withColumn("done", done).withColumn("share", done / total).withColumn("eta", F.avg(seconds).over(sofar) * (total - done))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions import vectors as V
-from siltstone.operators import chunking, context, lessons, metrics, regions, search, tasks
+from siltstone.operators import chunking, context, ingest, lessons, metrics, regions, search, tasks
 from siltstone.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -635,6 +635,60 @@ def session_windows(spark, sf_dir):
     return found.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n_events")
 
 
+@query("""SELECT count(*) AS n, round(avg(value), 4) AS avg_seconds, round(avg(user_id), 4) AS avg_pages, round(avg(event_id % 7), 4) AS avg_regions,
+    round(avg(event_id % 3), 4) AS avg_grounded, round(count(*) * 60 / sum(value), 4) AS docs_per_minute, round(sum(user_id) / sum(value), 4) AS pages_per_second FROM events""")
+def benchmark_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return metrics.benchmark_summary(e.select(F.col("value").alias("seconds"), F.col("user_id").alias("pages"), (F.col("event_id") % 7).alias("regions"), (F.col("event_id") % 3).alias("grounded")))
+
+
+@query("""SELECT o_orderpriority AS queue, count(*) FILTER (o_orderstatus = 'O') AS queued, count(*) FILTER (o_orderstatus = 'P') AS started,
+    count(*) FILTER (o_orderstatus = 'F') AS finished, 0::BIGINT AS failed FROM orders GROUP BY o_orderpriority""")
+def queue_stats(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "started").otherwise("finished")
+    return metrics.queue_stats(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("queue"), state.alias("state")))
+
+
+@query("""WITH w AS (SELECT user_id, event_id, count(*) OVER a AS done, count(*) OVER (PARTITION BY user_id) AS total, avg(value) OVER a AS pace FROM events
+      WINDOW a AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+    SELECT event_id, done, round(done / total, 6) AS share, round(pace * (total - done), 8) AS eta FROM w""")
+def task_progress(spark, sf_dir):
+    found = metrics.progress(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
+    return found.select("event_id", "done", F.round("share", 6).alias("share"), F.round("eta", 8).alias("eta"))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY value DESC, event_id LIMIT 5")
+def slowest_events(spark, sf_dir):
+    return metrics.slowest(table(spark, sf_dir, "events"), "value", 5, "event_id").select("event_id", "event_type")
+
+
+# ---- ingestion
+
+
+@query(f"""{_FIXED}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM k)
+    SELECT doc_id || '_chunk_' || chunk_index AS id, total_chunks, source, CASE WHEN chunk_index = 0 THEN 'title' ELSE 'text' END AS region_type, '0' AS page
+    FROM n JOIN documents USING (doc_id)""")
+def ingested_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    chunks = chunking.fixed_chunks(docs, 512, 64).join(docs.select("doc_id", "source"), "doc_id")
+    own = F.when(F.col("chunk_index") == 0, F.create_map(F.lit("region_type"), F.lit("title"))).otherwise(F.create_map().cast("map<string,string>"))
+    found = ingest.chunk_metadata(chunks, F.create_map(F.lit("source"), "source", F.lit("region_type"), F.lit("text")), own)
+    m = F.col("metadata")
+    return found.select("id", "total_chunks", m["source"].alias("source"), m["region_type"].alias("region_type"), m["page"].alias("page"))
+
+
+@query("""SELECT doc_id, doc_id || '_text' AS row_id, 'text' AS content_type FROM documents
+    UNION ALL SELECT doc_id, doc_id || '_image', 'image' FROM documents WHERE lang = 'en'""")
+def multimodal_index(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("image_path", F.when(F.col("lang") == "en", F.col("source")))
+    return ingest.multimodal_rows(docs, "doc_id").drop("content")
+
+
+@query()
+def encoded_documents(spark, sf_dir):
+    return ingest.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), ingest.hash_encoder, "text").drop("text")
+
+
 # ---- context
 
 
