@@ -239,3 +239,15 @@ def first_difference(a: Column, b: Column) -> Column:
     """0-based index of the first differing character, the shorter length if one is a prefix, null if equal."""
     differs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
     return F.when(a != b, F.array_position(differs, True).cast("int") - 1)
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """Lines of whole words of at most ``width`` characters; a longer word has its own line."""
+    def step(lines: Column, word: Column) -> Column:
+        last = F.try_element_at(lines, F.lit(-1))
+        longer = F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(F.concat(last, F.lit(" "), word)))
+        fits = (F.size(lines) > 0) & (F.length(last) + 1 + F.length(word) <= width)
+        return F.when(fits, longer).otherwise(F.concat(lines, F.array(word)))
+
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.aggregate(words, F.array().cast("array<string>"), step)

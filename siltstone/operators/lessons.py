@@ -100,3 +100,20 @@ def enriched(metadata: Column, grade: Column, subject: Column) -> Column:
     present = F.map_filter(more, lambda _, v: v.isNotNull())
     kept = F.map_filter(metadata, lambda k, _: ~F.map_contains_key(present, k))
     return F.map_concat(kept, present)
+
+
+def lesson_prompt(topic: Column, grade: Column, subject: Column, minutes: Column, sources: Column) -> Column:
+    """Request for a plan: the lesson's data and previews of its sources, cut at 500 characters."""
+    from siltstone.operators.context import preview
+
+    lines = F.transform(sources, lambda s, i: F.concat(F.format_string("[%d] ", i + 1), preview(s)))
+    return F.concat(
+        F.lit("Topic: "), topic, F.lit("\nGrade: "), grade, F.lit("\nSubject: "), subject,
+        F.lit("\nDuration: "), minutes.cast("string"), F.lit(" minutes\n\nSources:\n"), F.array_join(lines, "\n"),
+    )
+
+
+def assembled_lesson(text: Column, topic: Column, head: Column) -> Column:
+    """(title, markdown): the frontmatter's title or the topic; the frontmatter is replaced by ``head``."""
+    title = F.coalesce(F.nullif(frontmatter(text)["title"], F.lit("")), topic)
+    return F.struct(title.alias("title"), F.concat(head, F.lit("\n"), without_frontmatter(text)).alias("markdown"))

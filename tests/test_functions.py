@@ -92,3 +92,11 @@ def test_rerank_and_batches(spark):
     assert whole == sorted(map(tuple, search.batch_top_k(df, queries, 4, block=3).collect())) and len(whole) == 36
     assert search.batch_top_k(df, queries.limit(0), 4).count() == 0 and search.batch_top_k(df.limit(0), queries, 4).count() == 0
     assert session.optimal_batch_size(100, 10) == 6 and session.optimal_batch_size(1, 100) == 1
+
+
+def test_wrapping_and_prompts(spark):
+    assert one(spark, T.wrapped(F.lit("aa bb cccc d eeeeeeee"), 5), T.wrapped(F.lit(" "), 5)) == (["aa bb", "cccc", "d", "eeeeeeee"], [])
+    text = lessons.lesson_prompt(F.lit("T"), F.lit("3"), F.lit("S"), F.lit(45), F.array(F.lit("x" * 600), F.lit("y")))
+    assert one(spark, text)[0].endswith("Sources:\n[1] " + "x" * 500 + "...\n[2] y")
+    out = one(spark, lessons.assembled_lesson(F.lit(LESSON), F.lit("topic"), F.lit("---\nnew: 1\n---\n")))[0]
+    assert out.title == "C" and out.markdown.startswith("---\nnew: 1\n---\n\nlost\n# One")
