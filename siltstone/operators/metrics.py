@@ -64,6 +64,19 @@ def next_batch_size(size: Column, change: Column) -> Column:
     return F.when(change == "up", grown).when(change == "down", cut).otherwise(size).cast("int")
 
 
+def adaptive_sizes(throughputs: Column, first: int = 32, every: int = 5) -> Column:
+    """Batch sizes in use after each batch: re-evaluated every ``every`` batches from the last six throughputs."""
+    mean = lambda a, start: F.aggregate(F.slice(a, start, F.lit(3)), F.lit(0.0), lambda acc, x: acc + x) / 3
+
+    def step(acc: Column, i: Column) -> Column:
+        seen = F.slice(throughputs, F.greatest(i - 5, F.lit(1)), F.least(i, F.lit(6)))
+        ratio = F.when((i % every == 0) & (F.size(seen) == 6), mean(seen, F.lit(4)) / F.nullif(mean(seen, F.lit(1)), F.lit(0.0)))
+        change = F.when(ratio > 1.1, "up").when(ratio < 0.9, "down").otherwise("same")
+        return F.concat(acc, F.array(next_batch_size(F.element_at(acc, -1), change)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(throughputs)), F.array(F.lit(first)), step, lambda acc: F.slice(acc, F.lit(2), F.size(acc)))
+
+
 def gap_groups(df: DataFrame, by: str, position: str, gap: float, tie: str) -> DataFrame:
     """Number of the run each row belongs to; a step over ``gap`` starts a new one."""
     w = Window.partitionBy(by).orderBy(position, tie)

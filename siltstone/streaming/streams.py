@@ -46,3 +46,9 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, transform: Call
 def batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Micro-batches to a function of (rows, batch number)."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def task_states(events: DataFrame, key: str = "task_id", at: str = "ts") -> DataFrame:
+    """Present state of each task, kept by the stream (update or complete mode) as by the batch."""
+    last = events.groupBy(key).agg(F.max_by(F.struct("status", "progress"), at).alias("s"), F.max(at).alias("updated_at"))
+    return last.select(key, "s.status", "s.progress", "updated_at")
