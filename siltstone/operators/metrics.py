@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.numbering import dense_numbers, with_lookback
+
 
 def summary(events: DataFrame, duration: str = "duration", success: str = "success") -> DataFrame:
     """Totals, success rate in percent, and the mean of successful durations that are not null and not 0."""
@@ -49,13 +51,18 @@ def bounded_history(events: DataFrame, n: int, by: str, at: str = "ts", key: str
     return events.withColumn("back", back).where(F.col("back") <= n)
 
 
-def trend(events: DataFrame, by: str, value: str, order: str) -> DataFrame:
-    """Mean of the last three against the three before: up over 1.1, down under 0.9."""
-    w = Window.partitionBy(by).orderBy(order)
+def trend(events: DataFrame, by: str, value: str, order: str, chunk: int = 100_000) -> DataFrame:
+    """Mean of the last three against the three before: up over 1.1, down under 0.9.
+
+    Groups are cut into chunks that see five rows back, so no task sorts a whole group.
+    """
+    placed = with_lookback(dense_numbers(events, by, order, order, "__n"), "__n", 5, chunk)
+    w = Window.partitionBy(by, "chunk").orderBy("__n")
     now, before = F.avg(value).over(w.rowsBetween(-2, 0)), F.avg(value).over(w.rowsBetween(-5, -3))
-    ratio = F.when(F.row_number().over(w) >= 6, now / F.nullif(before, F.lit(0)))
+    ratio = F.when(F.col("__n") >= 5, F.col("recent_mean") / F.nullif(F.col("previous_mean"), F.lit(0)))
     change = F.when(ratio > 1.1, "up").when(ratio < 0.9, "down").otherwise("same")
-    return events.withColumn("recent_mean", now).withColumn("previous_mean", before).withColumn("trend", change)
+    meant = placed.withColumn("recent_mean", now).withColumn("previous_mean", before).where(~F.col("halo"))
+    return meant.withColumn("trend", change).drop("__n", "chunk", "halo")
 
 
 def next_batch_size(size: Column, change: Column) -> Column:
@@ -85,8 +92,9 @@ def gap_groups(df: DataFrame, by: str, position: str, gap: float, tie: str) -> D
 
 
 def fixed_batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
-    number = F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size)
-    return df.withColumn("batch_number", number.cast("int"))
+    """Batches of ``size`` rows in order within each group."""
+    numbered = dense_numbers(df, by, order, order, "__n")
+    return numbered.withColumn("batch_number", F.floor(F.col("__n") / size).cast("int")).drop("__n")
 
 
 def slowest(df: DataFrame, value: str, n: int = 5, key: str = "name") -> DataFrame:

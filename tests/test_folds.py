@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import chunking, regions
+from siltstone.operators import chunking, metrics, numbering, regions
 
 
 def sentence_loop(parts, most, overlap):
@@ -131,3 +131,22 @@ def test_fan_out(spark):
     df = spark.createDataFrame(rows, "region_type string, content string, image_path string, table_html string, equation_type string, image_type string")
     got = [(r.modality, r.document) for r in regions.fan_out(df).collect()]
     assert got == [("image_description", "[Image: logo] a logo"), ("image", "/x.png"), ("table", "<table/>"), ("equation", "[Equation: display] x"), ("text", "l")]
+
+
+def test_dense_numbers_and_lookback(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.randint(0, 60), i, rng.random()) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, o long, t long, v double")
+    got = {r.t: r.n for r in numbering.dense_numbers(df, "g", "o", "t", pieces=7).collect()}
+    for g in ("hot", "a", None):
+        order = sorted((o, t) for h, o, t, _ in rows if h == g)
+        assert [got[t] for _, t in order] == list(range(len(order)))
+    found = {r.t: (r.recent_mean, r.trend) for r in metrics.trend(df, "g", "v", "t", chunk=7).collect()}
+    assert len(found) == 600
+    for g in ("hot", "a", None):
+        vs = [(t, v) for h, _, t, v in rows if h == g]
+        for i, (t, _) in enumerate(vs):
+            last = [v for _, v in vs[max(0, i - 2) : i + 1]]
+            before = [v for _, v in vs[max(0, i - 5) : i - 2]] if i >= 3 else []
+            ratio = sum(last) / len(last) / (sum(before) / 3) if i >= 5 else 1
+            assert abs(found[t][0] - sum(last) / len(last)) < 1e-12 and found[t][1] == ("up" if ratio > 1.1 else "down" if ratio < 0.9 else "same")
