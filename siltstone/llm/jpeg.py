@@ -101,7 +101,9 @@ def entropy_coded(levels: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np
         word, end = (at >> np.uint64(6)).astype(np.int64), (at & np.uint64(63)) + size[:, j]
         over = end > 64
         spill = np.where(over, end - np.uint64(64), np.uint64(0))
-        words[rows, word] |= np.where(over, c >> spill, c << ((np.uint64(64) - end) & np.uint64(63)) * ~over * (size[:, j] > 0))
+        # a shift by 64 would only meet an empty code
+        left = np.where(over, np.uint64(0), (np.uint64(64) - end) & np.uint64(63))
+        words[rows, word] |= (c >> spill) << left
         words[rows, word + 1] |= np.where(over, c << ((np.uint64(64) - spill) & np.uint64(63)), np.uint64(0))
     data = words.astype(">u8").view(np.uint8)
     n = ((total + pad) >> np.uint64(3)).astype(np.int64)
