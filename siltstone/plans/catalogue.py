@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -259,7 +259,20 @@ def sentence_split(spark, sf_dir):
     return found.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-@query()
+_FULL = "r.size + length(u.x) > 512"
+
+
+@query(f"""
+    WITH RECURSIVE l AS (SELECT doc_id, {_SENTENCES} AS parts FROM documents),
+    u AS (SELECT doc_id, len(parts) AS n, unnest(parts) AS x, generate_subscripts(parts, 1) AS k FROM l),
+    r AS (SELECT doc_id, n, k, [x] AS cur, length(x) AS size, length(x) + 1 AS pos, 0 AS chunk_index, NULL::VARCHAR AS content, 0::BIGINT AS start_index, 0::BIGINT AS end_index, 0::BIGINT AS sentence_count
+        FROM u WHERE k = 1
+      UNION ALL SELECT u.doc_id, u.n, u.k, CASE WHEN {_FULL} THEN [r.cur[-1], u.x] ELSE list_append(r.cur, u.x) END,
+        CASE WHEN {_FULL} THEN length(r.cur[-1]) ELSE r.size END + length(u.x) + 1, r.pos + length(u.x) + 1, r.chunk_index + CASE WHEN {_FULL} THEN 1 ELSE 0 END,
+        CASE WHEN {_FULL} THEN array_to_string(r.cur, ' ') END, r.pos - r.size, r.pos, len(r.cur) FROM r JOIN u ON u.doc_id = r.doc_id AND u.k = r.k + 1),
+    c AS (SELECT doc_id, chunk_index - 1 AS chunk_index, content, start_index, end_index, sentence_count FROM r WHERE content IS NOT NULL
+      UNION ALL SELECT doc_id, chunk_index, array_to_string(cur, ' '), pos - size, pos, len(cur) FROM r WHERE k = n)
+    SELECT doc_id, chunk_index::INT AS chunk_index, content, start_index::INT AS start_index, end_index::INT AS end_index, sentence_count::INT AS sentence_count FROM c""")
 def chunk_sentence(spark, sf_dir):
     return chunking.sentence_chunks(table(spark, sf_dir, "documents"))
 
@@ -290,28 +303,39 @@ def chunk_stats(spark, sf_dir):
     )
 
 
-def _regions(spark, sf_dir):
+def _regions(lines, sequence="l_linenumber"):
     kind = F.element_at(F.array(*map(F.lit, ("text", "text", "list", "title", "table", "image", "equation"))), (F.col("l_linenumber") % 7 + 1).cast("int"))
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("region_sequence"), kind.alias("region_type"),
+    return lines.select(
+        F.col("l_orderkey").alias("doc_id"), F.col(sequence).alias("region_sequence"), kind.alias("region_type"),
         F.repeat(F.concat(F.col("l_linestatus"), F.lit(" ")), (F.col("l_quantity") * 9).cast("int")).alias("content"),
         (F.col("l_linenumber") / 3).cast("int").alias("page_number"),
         F.concat_ws("_", "l_orderkey", "l_linenumber").alias("region_id"), F.array("l_returnflag").alias("semantic_tags"),
     )
 
 
-@query()
-def region_chunks(spark, sf_dir):
-    found = chunking.region_chunks(_regions(spark, sf_dir))
-    return found.select("doc_id", "chunk_index", F.length("content").alias("n_chars"), F.array_join("region_types", ",").alias("region_types"), "n_regions", "atomic")
+_TYPE = "CASE l_linenumber % 7 WHEN 0 THEN 'text' WHEN 1 THEN 'text' WHEN 2 THEN 'list' WHEN 3 THEN 'title' WHEN 4 THEN 'table' WHEN 5 THEN 'image' ELSE 'equation' END"
+_ATOMIC = "('table', 'equation', 'image')"
+_JOINS = f"r.open AND o.t NOT IN {_ATOMIC} AND o.t <> 'title' AND r.size + o.n <= 1000"
 
 
-_TYPE = "CASE l_linenumber % 7 WHEN 0 THEN 'text' WHEN 1 THEN 'text' WHEN 2 THEN 'list' WHEN 3 THEN 'title' WHEN 4 THEN 'table' WHEN 5 THEN 'image' ELSE 'equation' END"
+@query(f"""
+    WITH RECURSIVE o AS (SELECT l_orderkey AS doc_id, {_TYPE} AS t, length(repeat(l_linestatus || ' ', trunc(l_quantity * 9)::INT)) AS n,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem),
+    r AS (SELECT doc_id, k, t, n, 0 AS chunk_index, t NOT IN {_ATOMIC} AS open, CASE WHEN t IN {_ATOMIC} THEN 0 ELSE n END AS size FROM o WHERE k = 1
+      UNION ALL SELECT o.doc_id, o.k, o.t, o.n, r.chunk_index + CASE WHEN {_JOINS} THEN 0 ELSE 1 END, o.t NOT IN {_ATOMIC},
+        CASE WHEN o.t IN {_ATOMIC} THEN 0 WHEN {_JOINS} THEN r.size + o.n ELSE o.n END FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1)
+    SELECT doc_id, chunk_index::INT AS chunk_index, (sum(n) + 2 * (count(*) - 1))::INT AS n_chars, string_agg(t, ',' ORDER BY k) AS region_types,
+        count(*)::INT AS n_regions, bool_and(t IN {_ATOMIC}) AS atomic FROM r GROUP BY doc_id, chunk_index""")
+def region_chunks(spark, sf_dir):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").withColumn("sequence", F.row_number().over(order))
+    found = chunking.region_chunks(_regions(lines, "sequence"))
+    return found.select("doc_id", "chunk_index", F.length("content").alias("n_chars"), F.array_join("region_types", ",").alias("region_types"), "n_regions", "atomic")
 
 
 @query("SELECT l_orderkey AS doc_id, " + ", ".join(f"count(*) FILTER ({_TYPE} = '{t}') AS \"{t}\"" for t in regions.TYPES) + " FROM lineitem GROUP BY l_orderkey")
 def region_pivot(spark, sf_dir):
-    return regions.type_counts(_regions(spark, sf_dir), "doc_id")
+    return regions.type_counts(_regions(table(spark, sf_dir, "lineitem")), "doc_id")
 
 
 @query(f"""SELECT l_orderkey AS doc_id, string_agg({_TYPE}, ',' ORDER BY l_linenumber) AS region_types,
@@ -320,12 +344,20 @@ def region_pivot(spark, sf_dir):
     array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS semantic_tags,
     sum(length(repeat(l_linestatus || ' ', trunc(l_quantity * 9)::INT)) + 2)::BIGINT - 2 AS n_chars FROM lineitem GROUP BY l_orderkey""")
 def merged_regions(spark, sf_dir):
-    found = regions.merged(_regions(spark, sf_dir), "doc_id")
+    found = regions.merged(_regions(table(spark, sf_dir, "lineitem")), "doc_id")
     glue = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return found.select("doc_id", *map(glue, ("region_types", "region_ids", "page_numbers", "semantic_tags")), F.length("content").cast("long").alias("n_chars"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE t AS (SELECT source, doc_id, floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::INT AS tokens,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+    r AS (SELECT source, doc_id, tokens, i, 0 AS batch_number, tokens AS total, 1 AS items FROM t WHERE i = 1
+      UNION ALL SELECT t.source, t.doc_id, t.tokens, t.i, r.batch_number + CASE WHEN r.total + t.tokens > 8192 OR r.items >= 32 THEN 1 ELSE 0 END,
+        CASE WHEN r.total + t.tokens > 8192 OR r.items >= 32 THEN t.tokens ELSE r.total + t.tokens END,
+        CASE WHEN r.total + t.tokens > 8192 OR r.items >= 32 THEN 1 ELSE r.items + 1 END
+      FROM r JOIN t ON t.source = r.source AND t.i = r.i + 1)
+    SELECT source, doc_id, tokens, batch_number FROM r""")
 def token_batches(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return chunking.token_batches(docs, key_col="source", order_col="doc_id")
@@ -464,7 +496,9 @@ def table_structure(spark, sf_dir):
     return made.select("p_partkey", "m.rows", "m.cols", "m.has_header", F.col("s.cols").alias("full_cols"), line.alias("first_line"))
 
 
-@query()
+@query(f"""SELECT p_partkey, unnest(generate_series(0, 5))::INT AS sequence, unnest(['table', 'image', 'equation', 'title', 'list', 'text']) AS region_type,
+    unnest([{_HTML}, 'bar chart', 'x^2', p_name, '- one' || chr(10) || '- two', 'A paragraph of ' || p_type]) AS content,
+    unnest([NULL, NULL, NULL, 1, NULL, NULL])::INT AS level FROM part""")
 def markdown_regions(spark, sf_dir):
     text = F.concat(F.col("html"), F.lit("\n# "), F.col("p_name"), F.lit("\n- one\n- two\n\n<img>bar chart</img>\n$$x^2$$\n\nA paragraph of "), F.col("p_type"), F.lit("\n\n"))
     made = _tables(spark, sf_dir).select("p_partkey", F.posexplode(regions.markdown_regions(text)).alias("sequence", "r"))
