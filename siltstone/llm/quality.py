@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,25 @@ from siltstone.llm.common import keep_rows, per_document
 
 WORD_BITS, SHAPE_BITS = 18, 17
 DIM = (1 << WORD_BITS) + (1 << SHAPE_BITS)
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 200_000
+_MARKS = (".", ",", ";", ":")
 _RUN = re.compile(r"([A-Z]+)|([a-z]+)|([0-9]+)|([^A-Za-z0-9])\4*")
 
 
 def shape(word: str) -> str:
-    """Case and punctuation pattern: ``THE!!`` is ``A!!``, ``Thnd,`` is ``Aa,``."""
+    """Case and punctuation pattern: ``THE!!`` is ``AA!!``, ``Thnd,`` is ``Aa,``."""
+    # most words are plain, with one mark at most
+    core, mark = (word[:-1], word[-1]) if word[-1:] in _MARKS else (word, "")
+    if core.isalpha():
+        if core.islower():
+            return "a" + mark
+        if core[0].isupper() and core[1:].islower():
+            return "Aa" + mark
+    return long_shape(word)
+
+
+def long_shape(word: str) -> str:
+    """The pattern of any word, run by run."""
     out = []
     for run in _RUN.finditer(word):
         text = run[0]
@@ -54,33 +68,35 @@ def shape(word: str) -> str:
 
 
 class Indicators:
-    """Texts to sorted arrays of distinct indicator numbers; remembers words within a bound."""
+    """Texts to sorted arrays of distinct indicator numbers; remembers words within a bound.
+
+    A word is one integer: its number in the high half, its shape's hash in the low half.
+    """
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.split()
         if not words:
             return np.empty(0, np.int64)
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                if len(known) >= _CACHE_LIMIT:
-                    known.clear()
-                    return self(text) if len(set(words)) < _CACHE_LIMIT else self.plain(words)
-                known[w] = self.one(w)
-        return self.combined(np.array([known[w] for w in words], np.int64))
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = {w for w, x in zip(words, found, strict=True) if x is None}
+            if len(self.known) + len(new) > _CACHE_LIMIT:
+                # common words come early, so the oldest ones stay
+                self.known = dict(islice(self.known.items(), _CACHE_LIMIT // 4))
+            fresh = {w: self.one(w) for w in new}
+            if len(self.known) + len(fresh) <= _CACHE_LIMIT:
+                self.known |= fresh
+            found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        packed = np.array(found, np.int64)
+        return self.combined(np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1))
 
     @staticmethod
-    def one(word: str) -> tuple[int, int]:
-        return (
-            zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1),
-            zlib.crc32(shape(word).encode("utf-8", "surrogatepass")),
-        )
-
-    def plain(self, words: list[str]) -> np.ndarray:
-        return self.combined(np.array([self.one(w) for w in words], np.int64))
+    def one(word: str) -> int:
+        number = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1)
+        return number << 32 | zlib.crc32(shape(word).encode("utf-8", "surrogatepass"))
 
     @staticmethod
     def combined(ids: np.ndarray) -> np.ndarray:

@@ -24,3 +24,5 @@ def test_learns_and_generalises(spark):
 
 def test_shapes():
     assert [quality.shape(w) for w in ("THE!!", "Thnd,", "of", "a1", "Éx", "%%%")] == ["AA!!", "Aa,", "a", "a0", "Aa", "%%%"]
+    words = ["Été,", "ß", "İx.", "ªb", "ǅa", "a,,", ".", ",", "x:", "日本", "O'Neil", "ÉÉ", "Aé;", "mixedCase", "ｈ"]
+    assert [quality.shape(w) for w in words] == [quality.long_shape(w) for w in words]
