@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from siltstone.llm.common import per_document
 
 LONG = 4096
-_CACHE_LIMIT = 800_000
 _FAST_BELOW = 0x250
 
 
@@ -124,6 +123,9 @@ class Merger:
 class ByteBPE:
     """A byte-level BPE vocabulary read from a tokenizer file's JSON text."""
 
+    #: Words that are remembered at most; about 200 bytes each in every worker.
+    remembered = 400_000
+
     def __init__(self, text: str) -> None:
         spec = json.loads(text)
         vocab: dict[str, int] = spec["model"]["vocab"]
@@ -199,9 +201,9 @@ class ByteBPE:
             if None in ids:
                 new.update([w for w, i in zip(plan, ids, strict=True) if i is None])
         if new:
-            if len(self.known) + len(new) > _CACHE_LIMIT:
+            if len(self.known) + len(new) > self.remembered:
                 # common words come early, so the oldest ones stay
-                self.known = self.marks | dict(islice(self.known.items(), _CACHE_LIMIT // 4))
+                self.known = self.marks | dict(islice(self.known.items(), self.remembered // 4))
                 new -= self.known.keys()
             self.learn(list(new))
             get = self.known.get
@@ -223,6 +225,8 @@ class ByteBPE:
 class WordBPE(ByteBPE):
     """Lower-casing BPE with word ends, white space dropped."""
 
+    remembered = 800_000
+
     def prepared(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)

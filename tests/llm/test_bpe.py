@@ -26,7 +26,7 @@ def test_matches_the_library(kind, path):
 
 
 def test_words_stay_right_when_the_memory_is_cleared(monkeypatch):
-    monkeypatch.setattr(bpe, "_CACHE_LIMIT", 5)
+    monkeypatch.setattr(bpe.ByteBPE, "remembered", 5)
     vocab = bpe.ByteBPE(open(BYTE, encoding="utf-8").read())
     first = vocab.encode_batch(TEXTS)
     assert vocab.encode_batch(TEXTS[::-1])[::-1] == first
