@@ -498,11 +498,11 @@ def table_structure(spark, sf_dir):
 
 @query(f"""SELECT p_partkey, unnest(generate_series(0, 5))::INT AS sequence, unnest(['table', 'image', 'equation', 'title', 'list', 'text']) AS region_type,
     unnest([{_HTML}, 'bar chart', 'x^2', p_name, '- one' || chr(10) || '- two', 'A paragraph of ' || p_type]) AS content,
-    unnest([NULL, NULL, NULL, 1, NULL, NULL])::INT AS level FROM part""")
+    unnest([0, 0, 0, 1, 0, 0])::INT AS level FROM part""")
 def markdown_regions(spark, sf_dir):
     text = F.concat(F.col("html"), F.lit("\n# "), F.col("p_name"), F.lit("\n- one\n- two\n\n<img>bar chart</img>\n$$x^2$$\n\nA paragraph of "), F.col("p_type"), F.lit("\n\n"))
     made = _tables(spark, sf_dir).select("p_partkey", F.posexplode(regions.markdown_regions(text)).alias("sequence", "r"))
-    return made.select("p_partkey", "sequence", "r.*")
+    return made.select("p_partkey", "sequence", "r.*").na.fill(0, ["level"])
 
 
 @query("""SELECT o_orderkey, CASE WHEN s > 50 THEN 'high' WHEN s > 10 THEN 'default' ELSE 'low' END AS queue,
@@ -597,11 +597,11 @@ def perf_summary(spark, sf_dir):
     return metrics.summary(_processing(spark, sf_dir))
 
 
-@query("""SELECT event_type, weekday, count(*) AS n, round(avg(value), 2) AS avg_duration FROM (SELECT *, dayofweek(ts) + 1 AS weekday FROM events)
-    GROUP BY GROUPING SETS ((event_type), (weekday))""")
+@query("""SELECT coalesce(kind, 'all') AS event_type, coalesce(day, 0) AS weekday, count(*) AS n, round(avg(value), 2) AS avg_duration
+    FROM (SELECT value, event_type AS kind, dayofweek(ts) + 1 AS day FROM events) GROUP BY GROUPING SETS ((kind), (day))""")
 def perf_grouping_sets(spark, sf_dir):
     events = _processing(spark, sf_dir).withColumn("weekday", F.dayofweek("ts").cast("long"))
-    return metrics.performance_sets(events, "event_type", "weekday")
+    return metrics.performance_sets(events, "event_type", "weekday").na.fill({"event_type": "all", "weekday": 0})
 
 
 @query("""SELECT count(*) FILTER (event_type <> 'error') AS processed, count(*) FILTER (event_type = 'error') AS failed,
