@@ -254,23 +254,3 @@ def near_duplicates(
     return marked.join(classes(marked, radius, limit), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id")
     )
-
-
-def keep_one_of_each(
-    df: DataFrame, radius: int = 3, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One record of each class of near-duplicates, the one of smallest id, with all its columns.
-
-    A record is named by its id and a hash of its text, so a repeated id is no clash.
-    """
-    mark = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
-    named = df.select(mark.alias("id"), F.col(text_col).alias("text"))
-    marked = stored(fingerprints(named, "id", "text"), "fingerprints")
-    kept = classes(marked, radius, limit).select("low").distinct().select(
-        F.col("low.id").alias("kept_id"), F.col("low.hash").alias("kept_hash")
-    )
-    names = [f"c{i}" for i in range(len(df.columns))]
-    own_id, own_text = (names[df.columns.index(c)] for c in (id_col, text_col))
-    rows = df.toDF(*names).withColumn("hash", F.xxhash64(F.coalesce(F.col(own_text), F.lit(""))))
-    first = rows.join(kept, F.col(own_id).eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
-    return first.dropDuplicates([own_id, "hash"]).drop("hash").toDF(*df.columns)
