@@ -35,7 +35,13 @@ _LEFT = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)(?:["']?\]?)\s*$""")
 _TERM = re.compile(
     r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_+/.=@$%&*!~^\-]+))"""
 )
-_PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*")
+#: A concatenation goes on over line ends, unless the next line is an assignment of its own (as in a diff).
+_PLUS = re.compile(r"""(?:\s|\\\n)*(?:\+|\.\.)(?:[ \t]*(?![\s\\])|(?:\s|\\\n)*)(?![A-Za-z_][A-Za-z0-9_.\-]*["']?[ \t]*[:=])""")
+#: ``name: type`` or ``var name type`` before an assignment's sign.
+_TYPE = r"&?(?:'\w+[ ]+)?(?:mut[ ]+)?[A-Za-z_][\w.:]*(?:<[^=\n]*>|\[[^=\n]*\])?[?!]?"
+_TYPED = re.compile(
+    rf"""(?:([A-Za-z_][A-Za-z0-9_.\-]*)[?!]?[ \t]*:|\b(?:var|const)[ \t]+([A-Za-z_]\w*)[ \t])[ \t]*{_TYPE}(?:[ \t]*\|[ \t]*{_TYPE})*[ \t]*$"""
+)
 _SEGMENT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z_.]*$")
 #: Share of a full score that a part of a target's name gives (fixed values).
@@ -45,6 +51,7 @@ _SENSITIVE = {
     "private": 0.6, "signature": 0.6, "salt": 0.6, "key": 0.6,
 }
 _PLACEHOLDER = re.compile(r"(?i)example|changeme|placeholder|dummy|redacted|your|x{4,}|\*{3,}|<.*>|\$\{.*\}|%\(.*\)")
+_PAIRS = (("<", ">"), ("${", "}"), ("%(", ")"))
 
 
 def target_score(name: str) -> float:
@@ -53,39 +60,64 @@ def target_score(name: str) -> float:
     return min(1.0, sum(_SENSITIVE.get(x, 0.0) for x in parts))
 
 
-def literal_score(text: str) -> float:
-    """How much a literal looks like a credential, 0 to 1."""
-    if len(text) < 8 or len(text) > 4096 or " " in text or _PLACEHOLDER.search(text):
-        return 0.0
-    counts = Counter(text)
-    bits = -sum(n / len(text) * math.log2(n / len(text)) for n in counts.values())
-    classes = sum(bool(re.search(c, text)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, bits / 4) * (1.0 if classes >= 2 else 0.5)
+class Value:
+    """A literal, or a concatenation of values, with what scoring needs of its text; parts are shared, not copied."""
+
+    def __init__(self, text: str = "", span: tuple[int, int] | None = None, parts: tuple[Value, ...] = ()) -> None:
+        self.span, self.parts = span, parts
+        self.counts = Counter(text)
+        self.head, self.tail = text[:16], text[-16:]
+        self.opens = {i for i, (a, _) in enumerate(_PAIRS) if a in text}
+        self.closes = {i for i, (_, b) in enumerate(_PAIRS) if b in text}
+        self.barred = _PLACEHOLDER.search(text) is not None
+        self.pem = "-----BEGIN" in text
+        for x in parts:
+            seam = self.tail + x.head
+            self.barred |= x.barred or bool(self.opens & x.closes) or _PLACEHOLDER.search(seam) is not None
+            self.pem |= x.pem or "-----BEGIN" in seam
+            self.opens |= x.opens | {i for i, (a, _) in enumerate(_PAIRS) if a in seam}
+            self.closes |= x.closes
+            self.counts.update(x.counts)
+            self.head, self.tail = (self.head + x.head)[:16], (self.tail + x.tail)[-16:]
+
+    def score(self, weight: float) -> float:
+        """How much the value looks like a credential, 0 to 1; one with blanks needs a plainly sensitive name or a PEM mark."""
+        counts, size = self.counts, sum(self.counts.values())
+        if size < 8 or self.barred or " " in counts and weight < 1 and not self.pem:
+            return 0.0
+        bits = -sum(n / size * math.log2(n / size) for n in counts.values())
+        classes = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in counts})
+        return min(1.0, bits / 4) * (1.0 if classes >= 2 else 0.5)
 
 
 def lexed(text: str, threshold: float = 0.5) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants."""
-    known: dict[str, list[tuple[int, int]]] = {}
+    known: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
+    reported: set[Value] = set()
     done = 0
     for op in _OPERATOR.finditer(text):
         at = op.start()
         if at < done:
             continue
-        left = _LEFT.search(text, max(text.rfind("\n", max(0, at - 96), at) + 1, at - 96), at)
-        if not left:
+        line = text.rfind("\n", max(0, at - 192), at) + 1
+        left = _LEFT.search(text, max(line, at - 96), at)
+        typed = text[at] == "=" and _TYPED.search(text, max(line, at - 192), at)
+        if not left and not typed:
             continue
         pos = at + 1
         while pos < len(text) and text[pos] in "=>":
             pos += 1
-        name, values = left[1], []
+        names = [m for m in (typed and (typed[1] or typed[2]), left and left[1]) if m]
+        name, values, weight = names[0], [], max(map(target_score, names))
         while term := _TERM.match(text, pos):
             pos = term.end()
             which = next(i for i in (1, 2, 3) if term[i] is not None)
             if which == 3 and _NAME.match(term[3]):
-                values += known.get(term[3], [])
+                if term[3] in known:
+                    values.append(known[term[3]])
             else:
-                values.append(term.span(which))
+                values.append(Value(term[which], term.span(which)))
             plus = _PLUS.match(text, pos)
             if not plus:
                 break
@@ -93,11 +125,16 @@ def lexed(text: str, threshold: float = 0.5) -> list[tuple[int, int]]:
         if not values:
             continue
         done = pos
-        known[name] = values[:64]
-        weight = target_score(name)
-        if weight:
-            whole = literal_score("".join(text[a:b] for a, b in known[name]))
-            found.update(span for span in known[name] if weight * whole >= threshold)
+        known[name] = values[0] if len(values) == 1 else Value(parts=tuple(values))
+        if weight and weight * known[name].score(weight) >= threshold:
+            todo = [known[name]]
+            while todo:
+                value = todo.pop()
+                if value not in reported:
+                    reported.add(value)
+                    todo.extend(value.parts)
+                    if value.span:
+                        found.add(value.span)
     return sorted(found)
 
 

@@ -27,6 +27,27 @@ def test_lexing_and_constants():
     assert lex(f"password = {KEY}") == []  # the base span covers it
 
 
+def test_lexing_drops_nothing_by_size_blanks_lines_or_types():
+    long = KEY * 900
+    assert lex(f"db_pwd := '{long}'") == [long]
+    pieces = [f"{KEY}{n:03d}" for n in range(90)]
+    assert lex("db_pwd := " + " + ".join(f"'{x}'" for x in pieces)) == pieces
+    assert lex("db_pwd := " + " +\n   ".join(f"'{x}'" for x in pieces)) == pieces
+    assert lex("db_pwd := " + "\n   + ".join(f"'{x}'" for x in pieces)) == pieces
+    assert lex(f"db_pwd := '{KEY}' + \\\n '{KEY}x'") == [KEY, KEY + "x"]
+    assert lex(f"db_pwd := '{KEY}'\n+colour = 'blue-{KEY}'") == [KEY]
+    assert lex("db_pwd := 'correct Horse battery staple'") == ["correct Horse battery staple"]
+    assert lex("sort_key := 'Some plain Title text'") == []
+    pem = "-----BEGIN KEY----- MIIEvQIBADANBgkqhkiG9w0 -----END KEY-----"
+    assert lex(f'"key": "{pem}"') == [pem]
+    for head in ("clientCredential: string", "let credential: &'static str", "val credential: String?", "credential: str | None", "credential: Optional[str]", "var credential string"):
+        assert lex(f'{head} = "{KEY}"') == [KEY]
+    assert lex(f'colour: string = "{KEY}"') == []
+    # constants that double or grow on each line stay in proportion
+    assert lex("a = 'Zx81kLmP'\n" + "a = a + a\n" * 3000 + "db_pwd := a") == ["Zx81kLmP"]
+    assert len(lex("pwd = 'Zx81kLmP'\n" + f"pwd = pwd + '{KEY}'\n" * 3000)) == 3001
+
+
 def test_query_rows(spark):
     rows = [(1, None), (2, ""), (3, "secret: hunter22"), (3, "secret: hunter22"), (None, "nothing")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS spans")
