@@ -36,7 +36,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 #: Element and attribute vocabularies (fixed values).
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_OUTSIDE = {"head", "nav", "header", "footer", "aside", "form", "noscript", "template", "svg", "button", "select", "menu", "dialog", "canvas", "object", "audio", "video", "math"}
+_OUTSIDE = {"head", "nav", "header", "footer", "aside", "form", "noscript", "template", "svg", "button", "select", "menu", "dialog", "canvas", "object", "audio", "video"}
 _BLOCK = {
     "address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section",
@@ -51,6 +51,9 @@ _WORDS = {
     "subscription", "signup", "login", "comment", "comments", "disqus", "respond", "replies", "share", "sharing", "social",
     "related", "recommended", "widget", "pagination", "pager", "toolbar", "skip", "copyright",
 }
+#: Class and id words never bar these; paragraphs and quotes only outside a landmark.
+_NAMED = {"body", "html", "main", "h1", "h2", "h3", "h4", "h5", "h6"}
+_PROSE = {"p", "blockquote", "pre", "table", "li"}
 _REMARKS = {"comment", "comments", "disqus", "respond", "replies"}
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""(?i)\s(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -78,18 +81,19 @@ def tag_end(page: str, start: int, spent: set[str]) -> int:
     return len(page)
 
 
-def _standing(name: str, tag: str) -> str:
-    """What an element is: "remark" and "outside" give no lines, "" decides nothing."""
+def _standing(name: str, tag: str, inside: bool) -> str:
+    """What an element is: "remark" and "outside" give no lines, "" decides nothing; ``inside`` a landmark or not."""
+    free = name in _NAMED or inside and name in _PROSE
     standing = "outside" if name in _OUTSIDE else ""
     for key, *values in _ATTRIBUTE.findall(tag):
         key, value = key.lower(), next((v for v in values if v), "")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in _ROLES:
             standing = standing or "outside"
-        elif key in ("class", "id"):
+        elif key in ("class", "id") and not free:
             words = {w.lower() for w in _PARTS.findall(value)}
             if words & _REMARKS:
                 return "remark"
-            if words & _WORDS and not words & {"has", "with", "no"} and name not in ("body", "html", "main"):
+            if words & _WORDS and not words & {"has", "with", "no"} and (name != "article" or inside):
                 standing = standing or "outside"
     return standing
 
@@ -165,7 +169,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             text.append(" ")
         if name in _VOID or page[at - 2 : at] == "/>" and name not in _BLOCK:
             continue
-        standing = _standing(name, page[lt:at])
+        standing = _standing(name, page[lt:at], landmark() > 0)
         if name in ("article", "main"):
             # an unclosed menu or advert ends where the first article begins; remarks stay remarks
             if barred and not met and not any(s == "remark" for _, s, _ in stack):

@@ -43,6 +43,13 @@ def test_landmarks():
     assert text("<div class='post sidebar-left'><p>x</div>") == ""
 
 
+def test_class_words_keep_the_articles_own_text():
+    text = lambda page: html.article(html.blocks(page), None)
+    assert text("<p>out</p><article class='post share-enabled'><p>in</p></article>") == "in"
+    page = "<article><h2 id='related-work'>Related</h2><h2 id='comments'>Remarks</h2><p class='share-price'>Up <math><mi>x</mi></math></p>"
+    assert text(page + "<div class='share'>no</div><article class='related'>no</article></article>") == "Related\n\nRemarks\n\nUp x"
+
+
 def test_pairs_by_url_and_deletes_shared_lines(spark):
     page = lambda n: f"<div>Top line</div><p>Text {n}</p><p>More {n}</p><div>Bottom</div>"
     rows = [(n, f"http://h.org/en/{n}", page(n)) for n in range(6)] + [(9, "http://other.org/x", page(9))]
