@@ -1,22 +1,25 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are sorted by URL path; each is paired with the neighbour whose
-path shares the longest prefix, their text lines are aligned by longest common
-subsequence, and lines shared with the neighbour are deleted as template.
-
-Structure decides first: elements that hold no article (menus, headers,
-footers, sidebars, forms, notices, adverts, comments, scripts, styles) give no
-lines, and lines under an ``article`` or ``main`` landmark are the article by
-the page's own word, so a paragraph that two pages share there is kept.  When a
-page has such a landmark (``article`` before ``main``), nothing outside it counts.  A page whose lines are all
-shared has no line of its own to tell template from text; it is kept whole.
-
-Neighbours come from one range shuffle by (host, path, id); a task streams its
-sorted rows and holds three pages at a time.  A page at the edge of a range
-only sees the neighbour on its own side.
-
-Defined results: a null or empty page has the text ""; a null or malformed URL
-sorts under an empty host; repeated rows give equal texts; extra columns are not read.
+The distinct pages of a host are ranked by URL path.  Each is paired with its near
+pages, up to ``reach`` on either side; all its text lines are aligned with each of them by longest
+common subsequence, and a line that more than half of the near pages share is template.  A single
+pair of pages cannot tell a copied paragraph from a menu; several can.
+
+Structure corrects this in two ways.  Elements that hold no article (menus, headers,
+footers, sidebars, forms, notices, adverts, comments, scripts, styles) give no text even where no
+near page has the same line.  Lines under an ``article`` (or else ``main``) landmark are the
+article by the page's own word, so a paragraph that pages share there is restored, and
+nothing outside it counts.  A page whose candidate lines are all shared is kept whole.
+
+Ranks are counted exactly across range partitions and edges of runs are copied to the next
+run, so the text does not depend on the number of partitions.  Equal pages of a host are one page when
+pairs are made; a task holds ``2 * reach + 1`` pages' line hashes and one slice of pages at a time.
+Parsing is linear in the page's length.
+
+Defined results: a null or empty page has the text ""; a page with a null or malformed URL has
+no host and so no near page; repeated rows give equal texts; of equally near pages the earlier
+one is named as neighbour; very long pages are parsed whole; an empty table gives an empty result;
+extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+from siltstone.llm.common import slices, stored
 
 #: Element and attribute vocabularies (fixed values).
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -98,40 +104,83 @@ def _standing(name: str, tag: str, inside: bool) -> str:
     return standing
 
 
-def blocks(page: str) -> list[tuple[str, int]]:
-    """Text blocks that may be article, in page order, with the landmark that holds them: 2 article, 1 main, 0 none."""
+class _Open:
+    """The open elements of a page, with the places of what the parser asks for; closing one costs its own size."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, str, int]] = []  # name ("" once closed), standing, landmark
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.barred: list[int] = []
+        self.remarks = 0
+        self.landmarks = [0, 0, 0]
+
+    def landmark(self) -> int:
+        return 2 if self.landmarks[2] else 1 if self.landmarks[1] else 0
+
+    def push(self, name: str, standing: str, mark: int) -> None:
+        at = len(self.items)
+        self.items.append((name, standing, mark))
+        self.places.setdefault(name, []).append(at)
+        if name in _BLOCK:
+            self.blocks.append(at)
+        if standing:
+            self.barred.append(at)
+            self.remarks += standing == "remark"
+        self.landmarks[mark] += mark > 0
+
+    def cut(self, n: int) -> None:
+        """Close everything from place ``n`` on."""
+        while len(self.items) > n:
+            name, standing, mark = self.items.pop()
+            at = len(self.items)
+            if name:
+                self.places[name].pop()
+            for places in (self.blocks, self.barred):
+                if places and places[-1] == at:
+                    places.pop()
+            self.remarks -= standing == "remark"
+            self.landmarks[mark] -= mark > 0
+
+    def close_inline(self, n: int) -> None:
+        """Close the inline element at ``n`` alone; what it holds stays open."""
+        name, _, mark = self.items[n]
+        self.places[name].pop()
+        self.landmarks[mark] -= mark > 0
+        self.items[n] = ("", "", 0)
+        while self.items and not self.items[-1][0]:
+            self.items.pop()
+
+
+def page_lines(page: str) -> list[tuple[str, int]]:
+    """All text lines in page order with the landmark that holds them: 2 article, 1 main, 0 none, -1 outside the text."""
     found: list[tuple[str, int]] = []
-    stack: list[tuple[str, str, int]] = []  # name, standing, landmark
+    stack = _Open()
     text: list[str] = []
+    aside: list[str] = []
     spent: set[str] = set()
-    barred, landmarks, met = 0, [0, 0, 0], False
-
-    def landmark() -> int:
-        return 2 if landmarks[2] else 1 if landmarks[1] else 0
+    met = False
 
     def flush() -> None:
         nonlocal met
-        if text:
-            if line := " ".join(html.unescape("".join(text)).split()):
-                found.append((line, landmark()))
-                met |= landmark() == 2
-            text.clear()
+        for part, mark in ((text, stack.landmark()), (aside, -1)):
+            if part:
+                if line := " ".join(html.unescape("".join(part)).split()):
+                    found.append((line, mark))
+                    met |= mark == 2
+                part.clear()
 
     def pop(n: int) -> None:
-        nonlocal barred
         flush()
-        for _, standing, mark in stack[n:]:
-            barred -= bool(standing)
-            landmarks[mark] -= mark > 0
-        del stack[n:]
+        stack.cut(n)
 
     at, size = 0, len(page)
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
             lt = size
-        if lt > at and not barred:
-            text.append(page[at:lt])
+        if lt > at:
+            (aside if stack.barred else text).append(page[at:lt])
         if lt == size:
             break
         if page.startswith("<!--", lt):
@@ -144,8 +193,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             continue
         match = _NAME.match(page, lt)
         if not match:
-            if not barred:
-                text.append("<")
+            (aside if stack.barred else text).append("<")
             at = lt + 1
             continue
         name, closing = match[1].lower(), page[lt + 1] == "/"
@@ -153,11 +201,12 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if closing:
             if name == "br":
                 text.append(" ")
-            elif (n := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)) >= 0:
-                if name in _BLOCK or any(x[1] for x in stack[n:]):
+            elif places := stack.places.get(name):
+                n = places[-1]
+                if name in _BLOCK or stack.barred and stack.barred[-1] >= n:
                     pop(n)
                 else:
-                    del stack[n]
+                    stack.close_inline(n)
             continue
         if name in _RAW:
             end = re.compile(f"</{name}(?=[\\s/>]|$)", re.I).search(page, at)
@@ -169,25 +218,27 @@ def blocks(page: str) -> list[tuple[str, int]]:
             text.append(" ")
         if name in _VOID or page[at - 2 : at] == "/>" and name not in _BLOCK:
             continue
-        standing = _standing(name, page[lt:at], landmark() > 0)
+        standing = _standing(name, page[lt:at], stack.landmark() > 0)
         if name in ("article", "main"):
             # an unclosed menu or advert ends where the first article begins; remarks stay remarks
-            if barred and not met and not any(s == "remark" for _, s, _ in stack):
-                pop(next(i for i, x in enumerate(stack) if x[1]))
-        elif name == "header" and landmark() and not standing == "remark":
+            if stack.barred and not met and not stack.remarks:
+                pop(stack.barred[0])
+        elif name == "header" and stack.landmark() and not standing == "remark":
             standing = ""  # an article's own heading
-        if name in _CLOSES_P and stack and (n := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _BLOCK), -1)) >= 0 and (stack[n][0] == "p" or name == stack[n][0] == "li"):
-            pop(n)
+        if name in _CLOSES_P and stack.blocks and ((last := stack.items[stack.blocks[-1]][0]) == "p" or name == last == "li"):
+            pop(stack.blocks[-1])
         role = _ROLE_MAIN.search(page, lt, at) is not None
-        mark = 0 if barred or standing else 2 if name == "article" else 1 if name == "main" or role else 0
-        if name in _BLOCK or standing or len(stack) < 512:
-            stack.append((name, standing, mark))
-            barred += bool(standing)
-            landmarks[mark] += mark > 0
+        mark = 0 if stack.barred or standing else 2 if name == "article" else 1 if name == "main" or role else 0
+        stack.push(name, standing, mark)
     flush()
     return found
 
 
+def blocks(page: str) -> list[tuple[str, int]]:
+    """Text blocks that may be article, in page order, with the landmark that holds them: 2 article, 1 main, 0 none."""
+    return [x for x in page_lines(page) if x[1] >= 0]
+
+
 def _rows(a: list[int], b: list[int]) -> Iterator[int]:
     """Bit vectors of the longest-common-subsequence table, a row per element of ``a``."""
     where: dict[int, int] = {}
@@ -248,62 +299,151 @@ def article(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None) -
     if other:
         numbers: dict[str, int] = {}
         a, b = ([numbers.setdefault(t, len(numbers)) for t, mark in x if not mark] for x in (lines, other))
-        shared = set(common_lines(a, b))
+        shared = set(shared_lines(a, [b]))
         if len(shared) < len(texts):
             texts = [t for i, t in enumerate(texts) if i not in shared]
     return "\n\n".join(texts)
 
 
-def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, url, text, n_chars, neighbour (the paired URL, if any)."""
+def shared_lines(page: list[int], near: list[list[int]]) -> list[int]:
+    """Indexes of the lines that more than half of the near pages share, each by longest common subsequence."""
+    votes = [0] * len(page)
+    for other in near:
+        # a line that the other page lacks altogether is in no common subsequence
+        both = set(page) & set(other)
+        mine = [i for i, x in enumerate(page) if x in both]
+        for k in common_lines([page[i] for i in mine], [x for x in other if x in both]):
+            votes[mine[k]] += 1
+    return [i for i, n in enumerate(votes) if 2 * n > len(near)]
+
+
+def _parsed(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """One row per page: its candidate lines, a hash of every line, and the candidate number of each line (-1: none)."""
     url = F.col(url_col)
     rows = df.select(
         F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).alias("html"),
         F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit("")).alias("host"),
         F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")).alias("path"),
     )
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["host", "path", "id", "url"]
-    dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    out = StructType(
-        [StructField(id_col, df.schema[id_col].dataType), StructField("url", StringType()), StructField("text", StringType())]
-        + [StructField("n_chars", LongType()), StructField("neighbour", StringType())]
-    )
+    fields = [StructField("id", df.schema[id_col].dataType), *_parse_datatype_string("url string, host string, path string").fields]
+    made = "landmark int, texts array<string>, hashes binary, places binary, digest long"
+    out = StructType(fields + _parse_datatype_string(made).fields)
     schema = to_arrow_schema(out)
 
-    def near(page: dict, *others: dict | None) -> dict | None:
-        same = [o for o in others if o is not None and o["host"] == page["host"]]
-        return max(same, key=lambda o: len(os.path.commonprefix([o["path"], page["path"]])), default=None)
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                columns: list[list] = [[], [], [], [], []]
+                for page in part.column("html").to_pylist():
+                    lines = page_lines(page or "")
+                    best = max((mark for _, mark in lines), default=0)
+                    own = np.array([mark == max(best, 0) for _, mark in lines], bool)
+                    hashes = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _ in lines], "<u8").tobytes()
+                    places = np.where(own, np.cumsum(own) - 1, -1).astype("<i4").tobytes()
+                    digest = int(np.uint64(xxhash.xxh64_intdigest(hashes + places)).view(np.int64))
+                    texts = [t for (t, _), keep in zip(lines, own, strict=True) if keep]
+                    for column, value in zip(columns, (max(best, 0), texts, hashes, places, digest), strict=True):
+                        column.append(value)
+                kept = [part.column(n) for n in ("id", "url", "host", "path")]
+                kept += [pa.array(c, f.type) for c, f in zip(columns, list(schema)[4:], strict=True)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept, schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(apply, out)
+
+
+def _ranked(parsed: DataFrame) -> DataFrame:
+    """The distinct pages of each host (host, path, digest, ...) with their rank by path, counted across range partitions."""
+    spark = parsed.sparkSession
+    distinct = parsed.where("host <> ''").groupBy("host", "digest").agg(
+        F.min(F.struct("path", "url")).alias("low"), F.first("hashes").alias("hashes"), F.first("places").alias("places")
+    )
+    rows = distinct.select("host", "low.path", "low.url", "digest", "hashes", "places")
+    keys = ["host", "path", "digest"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    dealt = stored(dealt.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ranked")
+    # a row per host and range it reaches into
+    runs = dealt.groupBy("host", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("host").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("host", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("offset"))
+    return dealt.join(runs, ["host", "part"]).withColumn("rank", F.col("at") + F.col("offset")).drop("part", "at", "offset")
+
+
+def _differenced(ranked: DataFrame, reach: int, run: int) -> DataFrame:
+    """Per distinct page: the lines it shares with its near pages and the nearest one's URL.
+
+    Runs of ``run`` ranks are tasks' units; ``reach`` rows at either edge are copied to the next run.
+    """
+    unit, place = F.floor(F.col("rank") / run), F.col("rank") % run
+    there = F.array_compact(F.array(unit, F.when(place < reach, unit - 1), F.when(place >= run - reach, unit + 1)))
+    rows = ranked.withColumn("own", unit).withColumn("unit", F.explode(there)).where("unit >= 0")
+    rows = rows.repartition("host", "unit").sortWithinPartitions("host", "unit", "rank")
+    out = _parse_datatype_string("host string, digest long, gone array<int>, n_shared int, neighbour string")
+    schema = to_arrow_schema(out)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple] = []
-        before: dict | None = None
-        now: dict | None = None
-
-        def finish(after: dict | None) -> None:
-            if now is not None:
-                other = near(now, before, after)
-                text = article(now["lines"], other and other["lines"])
-                made.append((now["id"], now["url"], text, len(text), other and other["url"]))
+        held: list[dict] = []  # rows of one run: up to ``reach`` done ones, then those that wait for what follows
+
+        def decide(i: int) -> None:
+            page = held[i]
+            if page["own"] != page["unit"]:
+                return
+            near = held[max(0, i - reach) : i] + held[i + 1 : i + 1 + reach]
+            lines = [np.frombuffer(x["hashes"], "<u8").tolist() for x in (page, *near)]
+            shared = shared_lines(lines[0], lines[1:])
+            places = np.frombuffer(page["places"], "<i4")[shared] if shared else np.zeros(0, np.int32)
+            nearest = max(near, key=lambda o: len(os.path.commonprefix([o["path"], page["path"]])), default=None)
+            made.append((page["host"], page["digest"], places[places >= 0].tolist(), len(shared), nearest and nearest["url"]))
 
         def batch_of() -> pa.RecordBatch:
             columns = [pa.array([r[i] for r in made], f.type) for i, f in enumerate(schema)]
             made.clear()
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        held = 0
+        done = 0  # how many of ``held`` are decided
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in ("id", "url", "host", "path")}
-                page = batch.column("html")[i].as_py() or ""
-                row["lines"] = blocks(page)
-                finish(row)
-                before, now = now, row
-                held += len(page)
-                if held > 4 << 20:
-                    held = 0
-                    yield batch_of()
-        finish(None)
+            for row in batch.to_pylist():
+                if held and (held[0]["host"], held[0]["unit"]) != (row["host"], row["unit"]):
+                    for i in range(done, len(held)):
+                        decide(i)
+                    held, done = [], 0
+                held.append(row)
+                if len(held) - done > reach:
+                    decide(done)
+                    done += 1
+                if done > reach:
+                    del held[0]
+                    done -= 1
+            if len(made) > 1024:
+                yield batch_of()
+        for i in range(done, len(held)):
+            decide(i)
         yield batch_of()
 
-    return dealt.mapInArrow(apply, out)
+    return rows.select("host", "unit", "own", "path", "url", "digest", "hashes", "places").mapInArrow(apply, out)
+
+
+def extract_main_text(
+    df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", reach: int = 2, run: int = 1024, salts: int = 16
+) -> DataFrame:
+    """One row per page: id, url, text, n_chars, n_lines (candidates), n_shared (lines that near pages share),
+    n_restored (shared lines that a landmark keeps), neighbour (the nearest page's URL, if any).
+    """
+    parsed = stored(_parsed(df, id_col, url_col, html_col), "pages")
+    decided = _differenced(_ranked(parsed), reach, run)
+    # copies of one page may be a third of all rows: they meet the one decision in ``salts`` places
+    decided = decided.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    pages = parsed.drop("hashes", "places", "path").withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts).cast("long")))
+    both = pages.join(decided, ["host", "digest", "salt"], "left")
+    n = F.size("texts")
+    left = F.when(n > 0, F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>")))).otherwise(F.array().cast("array<int>"))
+    both = both.withColumn("left", left)
+    whole = (F.col("landmark") > 0) | (F.size("left") == 0)
+    texts = F.when(whole, F.col("texts")).otherwise(F.transform("left", lambda i: F.get("texts", i)))
+    both = both.select(
+        F.col("id").alias(id_col), "url", F.array_join(texts, "\n\n").alias("text"), n.alias("n_lines"),
+        F.coalesce("n_shared", F.lit(0)).alias("n_shared"),
+        F.when(whole, F.coalesce(F.size("gone"), F.lit(0))).otherwise(0).alias("n_restored"), "neighbour",
+    )
+    return both.withColumn("n_chars", F.length("text").cast("long"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 from siltstone.llm import html
 
@@ -50,19 +51,71 @@ def test_class_words_keep_the_articles_own_text():
     assert text(page + "<div class='share'>no</div><article class='related'>no</article></article>") == "Related\n\nRemarks\n\nUp x"
 
 
-def test_pairs_by_url_and_deletes_shared_lines(spark):
-    page = lambda n: f"<div>Top line</div><p>Text {n}</p><p>More {n}</p><div>Bottom</div>"
-    rows = [(n, f"http://h.org/en/{n}", page(n)) for n in range(6)] + [(9, "http://other.org/x", page(9))]
-    rows += [(20, None, None), (21, "::bad", ""), (22, "http://h.org/en/1", page(1)), (23, "http://a.org/1", PAGE)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS lines")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+def brute_texts(rows, reach=2):
+    """Texts by the definition: all distinct pages of a host in path order, near pages, votes, landmarks."""
+    from urllib.parse import urlparse
+
+    parsed, hosts = [], {}
+    for _, url, page in rows:
+        lines = html.page_lines(page or "")
+        best = max([m for _, m in lines] + [0])
+        host = (urlparse(url or "").hostname or "") if (url or "").startswith("http") else ""
+        parsed.append((host, tuple((t, m == best) for t, m in lines), best))
+        if host:
+            at = hosts.setdefault(host, {})
+            at[parsed[-1][1]] = min(at.get(parsed[-1][1], (urlparse(url).path,)), (urlparse(url).path,))
+    out = []
+    for host, lines, best in parsed:
+        texts = [t for t, own in lines if own]
+        order = sorted(hosts.get(host, {}), key=lambda x: hosts[host][x])
+        if not best and host:
+            i = order.index(lines)
+            near = order[max(0, i - reach) : i] + order[i + 1 : i + 1 + reach]
+            votes = [0] * len(lines)
+            for other in near:
+                for k in html.common_lines([t for t, _ in lines], [t for t, _ in other]):
+                    votes[k] += 1
+            left = [t for (t, own), v in zip(lines, votes) if own and 2 * v <= len(near)]
+            texts = left or texts
+        out.append("\n\n".join(texts))
+    return out
+
+
+def test_near_pages_by_url_whatever_the_partitions(spark):
+    page = lambda n: f"<nav>Menu {n}</nav><div>Top line</div><p>Text {n}</p><p>More {n}</p><div>Bottom</div>"
+    rows = [(n, f"http://h.org/en/{n:02d}", page(n)) for n in range(14)] + [(90, "http://other.org/x", page(9))]
+    rows += [(92, f"http://h.org/en/03b{n}", page(3)) for n in range(9)] + [(93, "http://h.org/en/05x", page(5).replace("More 5", "Less"))]
+    rows += [(95, "http://a.org/1", PAGE), (96, None, None), (97, "::bad", ""), (98, None, page(1))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS lines", "3 AS host")
+    want = [(r[0], r[1], t) for r, t in zip(rows, brute_texts(rows), strict=True)]
+    key = lambda r: (r[0], r[1] or "", r[2])
     try:
-        got = {r.page_id: r for r in html.extract_main_text(df).collect()}
+        for parts, run in ((1, 1024), (4, 3), (12, 1024), (60, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got = html.extract_main_text(df, run=run).collect()
+            assert sorted([(r.page_id, r.url, r.text) for r in got], key=key) == sorted(want, key=key)
+            assert all(r.n_chars == len(r.text) for r in got)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert all(got[n].text == f"Text {n}\n\nMore {n}" for n in (0, 2, 3, 4, 5))
-    assert got[9].text == "Top line\n\nText 9\n\nMore 9\n\nBottom" and got[9].neighbour is None
-    # a page and its exact copy have no line of their own
-    assert got[1].text == got[22].text == "Top line\n\nText 1\n\nMore 1\n\nBottom"
-    assert got[20].text == got[21].text == "" and all(r.n_chars == len(r.text) for r in got.values())
+    texts = {r[0]: r[2] for r in want}
+    assert texts[0] == "Text 0\n\nMore 0" and texts[92] == "Text 3\n\nMore 3" and texts[5] == "Text 5\n\nMore 5"
+    assert texts[90] == texts[98].replace("1", "9") == "Top line\n\nText 9\n\nMore 9\n\nBottom" and texts[96] == texts[97] == ""
     assert html.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_landmarks_restore_shared_paragraphs(spark):
+    page = lambda n: f"<p>Top</p><article><p>Text {n}</p><p>Same words</p></article>"
+    df = spark.createDataFrame([(n, f"http://h.org/{n}", page(n)) for n in range(5)], "page_id long, url string, html string")
+    for r in html.extract_main_text(df).collect():
+        assert r.text == f"Text {r.page_id}\n\nSame words" and r.n_shared == 2 and r.n_restored == 1
+
+
+def test_parsing_is_linear_and_unbounded_in_depth():
+    began = time.perf_counter()
+    deep = 60_000
+    assert html.blocks("<div>" * deep + "</p>" * deep + "x") == [("x", 0)]
+    assert html.blocks("<b><i>" * deep + "</b>" * deep + "<main>y") == [("y", 1)]
+    # an advert opened below many inline elements still ends with its own tag
+    assert html.blocks("<b>" * 2000 + "<span class='ad'>no</span>yes") == [("yes", 0)]
+    assert len(html.blocks("<p>word " * deep)) == deep
+    assert time.perf_counter() - began < 20
