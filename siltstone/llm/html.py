@@ -1,9 +1,9 @@
 """Main text of web pages by nearest-URL page differencing.
 
-The distinct pages of a host are ranked by URL path.  Each is paired with its near
-pages, up to ``reach`` on either side; all its text lines are aligned with each of them by longest
-common subsequence, and a line that more than half of the near pages share is template.  A single
-pair of pages cannot tell a copied paragraph from a menu; several can.
+The distinct pages of a host are ranked by URL path.  Each is paired with the ``near`` pages
+whose paths share the longest prefix with its own, out of ``reach`` on either side; all its text lines are
+aligned with each of them by longest common subsequence, and a line that all of them share is template.
+A single pair of pages cannot tell a copied paragraph from a menu, so a page needs two near pages at least.
 
 Structure corrects this in two ways.  Elements that hold no article (menus, headers,
 footers, sidebars, forms, notices, adverts, comments, scripts, styles) give no text even where no
@@ -17,8 +17,8 @@ pairs are made; a task holds ``2 * reach + 1`` pages' line hashes and one slice
 Parsing is linear in the page's length.
 
 Defined results: a null or empty page has the text ""; a page with a null or malformed URL has
-no host and so no near page; repeated rows give equal texts; of equally near pages the earlier
-one is named as neighbour; very long pages are parsed whole; an empty table gives an empty result;
+no host and so no near page; repeated rows give equal texts; of pages that share equal prefixes the
+closer one in rank, then the earlier one, is nearer; pages of one path rank by a digest of their lines; very long pages are parsed whole; an empty table gives an empty result;
 extra columns are not read, whatever their names.
 """
 
@@ -306,7 +306,7 @@ def article(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None) -
 
 
 def shared_lines(page: list[int], near: list[list[int]]) -> list[int]:
-    """Indexes of the lines that more than half of the near pages share, each by longest common subsequence."""
+    """Indexes of the lines that all near pages share, each by longest common subsequence."""
     votes = [0] * len(page)
     for other in near:
         # a line that the other page lacks altogether is in no common subsequence
@@ -314,7 +314,7 @@ def shared_lines(page: list[int], near: list[list[int]]) -> list[int]:
         mine = [i for i, x in enumerate(page) if x in both]
         for k in common_lines([page[i] for i in mine], [x for x in other if x in both]):
             votes[mine[k]] += 1
-    return [i for i, n in enumerate(votes) if 2 * n > len(near)]
+    return [i for i, n in enumerate(votes) if n == len(near) > 0]
 
 
 def _parsed(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -369,7 +369,7 @@ def _ranked(parsed: DataFrame) -> DataFrame:
     return dealt.join(runs, ["host", "part"]).withColumn("rank", F.col("at") + F.col("offset")).drop("part", "at", "offset")
 
 
-def _differenced(ranked: DataFrame, reach: int, run: int) -> DataFrame:
+def _differenced(ranked: DataFrame, reach: int, near: int, run: int) -> DataFrame:
     """Per distinct page: the lines it shares with its near pages and the nearest one's URL.
 
     Runs of ``run`` ranks are tasks' units; ``reach`` rows at either edge are copied to the next run.
@@ -389,12 +389,13 @@ def _differenced(ranked: DataFrame, reach: int, run: int) -> DataFrame:
             page = held[i]
             if page["own"] != page["unit"]:
                 return
-            near = held[max(0, i - reach) : i] + held[i + 1 : i + 1 + reach]
-            lines = [np.frombuffer(x["hashes"], "<u8").tolist() for x in (page, *near)]
-            shared = shared_lines(lines[0], lines[1:])
+            others = [(len(os.path.commonprefix([o["path"], page["path"]])), -abs(k - i), -k) for k, o in enumerate(held) if 0 < abs(k - i) <= reach]
+            nearest = [held[-k] for *_, k in sorted(others, reverse=True)[:near]]
+            lines = [np.frombuffer(x["hashes"], "<u8").tolist() for x in (page, *nearest)]
+            # a single pair of pages cannot tell a copied paragraph from a menu
+            shared = shared_lines(lines[0], lines[1:]) if len(nearest) > 1 else []
             places = np.frombuffer(page["places"], "<i4")[shared] if shared else np.zeros(0, np.int32)
-            nearest = max(near, key=lambda o: len(os.path.commonprefix([o["path"], page["path"]])), default=None)
-            made.append((page["host"], page["digest"], places[places >= 0].tolist(), len(shared), nearest and nearest["url"]))
+            made.append((page["host"], page["digest"], places[places >= 0].tolist(), len(shared), nearest[0]["url"] if nearest else None))
 
         def batch_of() -> pa.RecordBatch:
             columns = [pa.array([r[i] for r in made], f.type) for i, f in enumerate(schema)]
@@ -425,13 +426,13 @@ def _differenced(ranked: DataFrame, reach: int, run: int) -> DataFrame:
 
 
 def extract_main_text(
-    df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", reach: int = 2, run: int = 1024, salts: int = 16
+    df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", reach: int = 4, near: int = 4, run: int = 1024, salts: int = 16
 ) -> DataFrame:
     """One row per page: id, url, text, n_chars, n_lines (candidates), n_shared (lines that near pages share),
     n_restored (shared lines that a landmark keeps), neighbour (the nearest page's URL, if any).
     """
     parsed = stored(_parsed(df, id_col, url_col, html_col), "pages")
-    decided = _differenced(_ranked(parsed), reach, run)
+    decided = _differenced(_ranked(parsed), reach, near, run)
     # copies of one page may be a third of all rows: they meet the one decision in ``salts`` places
     decided = decided.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     pages = parsed.drop("hashes", "places", "path").withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts).cast("long")))

@@ -1,5 +1,7 @@
+import os
 import random
 import time
+from urllib.parse import urlparse
 
 from siltstone.llm import html
 
@@ -51,32 +53,27 @@ def test_class_words_keep_the_articles_own_text():
     assert text(page + "<div class='share'>no</div><article class='related'>no</article></article>") == "Related\n\nRemarks\n\nUp x"
 
 
-def brute_texts(rows, reach=2):
-    """Texts by the definition: all distinct pages of a host in path order, near pages, votes, landmarks."""
-    from urllib.parse import urlparse
-
+def brute_texts(rows, reach=4, near=4):
+    """Texts by the definition: the distinct pages of a host in path order, the nearest ones, their shared lines, landmarks."""
     parsed, hosts = [], {}
     for _, url, page in rows:
         lines = html.page_lines(page or "")
         best = max([m for _, m in lines] + [0])
-        host = (urlparse(url or "").hostname or "") if (url or "").startswith("http") else ""
+        host, path = (urlparse(url).hostname, urlparse(url).path) if (url or "").startswith("http") else ("", "")
         parsed.append((host, tuple((t, m == best) for t, m in lines), best))
-        if host:
-            at = hosts.setdefault(host, {})
-            at[parsed[-1][1]] = min(at.get(parsed[-1][1], (urlparse(url).path,)), (urlparse(url).path,))
+        at = hosts.setdefault(host, {})
+        at[parsed[-1][1]] = min(at.get(parsed[-1][1], path), path)
     out = []
     for host, lines, best in parsed:
         texts = [t for t, own in lines if own]
-        order = sorted(hosts.get(host, {}), key=lambda x: hosts[host][x])
+        order = sorted(hosts[host], key=lambda x: hosts[host][x])
         if not best and host:
-            i = order.index(lines)
-            near = order[max(0, i - reach) : i] + order[i + 1 : i + 1 + reach]
-            votes = [0] * len(lines)
-            for other in near:
-                for k in html.common_lines([t for t, _ in lines], [t for t, _ in other]):
-                    votes[k] += 1
-            left = [t for (t, own), v in zip(lines, votes) if own and 2 * v <= len(near)]
-            texts = left or texts
+            i, path = order.index(lines), hosts[host][lines]
+            others = [k for k in range(len(order)) if 0 < abs(k - i) <= reach]
+            others.sort(key=lambda k: (-len(os.path.commonprefix([path, hosts[host][order[k]]])), abs(k - i), k))
+            shared = [set(html.common_lines([t for t, _ in lines], [t for t, _ in order[k]])) for k in others[:near]]
+            gone = set.intersection(*shared) if len(shared) > 1 else set()
+            texts = [t for k, (t, own) in enumerate(lines) if own and k not in gone] or texts
         out.append("\n\n".join(texts))
     return out
 
