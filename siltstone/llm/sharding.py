@@ -5,13 +5,15 @@ with the smallest ``-ln(u) / weight``.  Another shard only adds a competitor, so
 records move into it and nowhere else.
 
 Slots number the records of a shard without gaps.  No task ever sorts a whole
-shard: records fall into ``buckets`` hash buckets per shard, a small table of
-bucket counts gives offsets, and equal records are counted before the shuffle
-and expanded after numbering, so a key repeated in a third of all rows is one row there.
+shard: records fall into ``buckets`` buckets per shard by a hash of key, size and CRC, so that a key
+with many texts spreads; a small table of bucket counts gives offsets.  Equal records are counted
+before the shuffle and numbered as one row; they are expanded in pieces of at most ``piece`` slots, which
+are dealt anew, so a record repeated in a third of all rows fills no task of its own.
 
-Defined results: a null key hashes as a value of its own; a null text has size
-1 and CRC 0; repeated rows land in one shard at different slots; an empty table
-gives an empty result; other columns are never read.
+Defined results: a null key hashes as a value of its own; a null or empty text has size
+1 and CRC 0; very long texts are measured whole; equal costs go to the smaller shard number;
+repeated rows land in one shard at different slots; an empty table gives an empty result; other columns
+are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,31 +44,34 @@ def assign_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = 1024,
+    piece: int = 4096,
 ) -> DataFrame:
     """One row per record: id, size, text_crc32, law, shard, slot, grown_shard."""
     key = F.coalesce(F.concat(F.lit("k"), F.col("id").cast("string")), F.lit("null"))
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed = base.withColumn("key", key)
-    placed = placed.withColumn("shard", rendezvous(F.col("key"), weights))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit("slot")), F.lit(buckets)).cast("int"))
+    measured = base.select(
+        "id", key.alias("key"),
+        (F.octet_length("text").cast("long") + 1).alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+    record = ["key", "size", "text_crc32"]
+    placed = measured.withColumn("shard", rendezvous(F.col("key"), weights))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(*record), F.lit(buckets)).cast("int"))
     # at most len(weights) * buckets rows: its size does not follow the input
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    measured = placed.select(
-        "id", "key", "shard", "bucket",
-        (F.octet_length("text").cast("long") + 1).alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-    )
-    equal = measured.groupBy("shard", "bucket", "id", "key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("key", "size", "text_crc32").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    equal = placed.groupBy("shard", "bucket", "id", *record).agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy("shard", "bucket").orderBy(*record).rowsBetween(Window.unboundedPreceding, -1)
     ranked = equal.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     numbered = ranked.join(F.broadcast(offsets), ["shard", "bucket"])
-    return numbered.select(
+    numbered = numbered.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / piece))))
+    dealt = numbered.repartition("shard", "bucket", "piece")
+    low = F.col("piece") * piece
+    high = F.least(low + piece, "n") - 1
+    return dealt.select(
         F.col("id").alias(id_col), "size", "text_crc32",
         F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("offset") + F.col("first"), F.col("offset") + F.col("first") + F.col("n") - 1)).alias("slot"),
+        F.explode(F.sequence(F.col("offset") + F.col("first") + low, F.col("offset") + F.col("first") + high)).alias("slot"),
         rendezvous(F.col("key"), [*weights, grown_weight]).alias("grown_shard"),
     )
