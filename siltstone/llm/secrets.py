@@ -37,8 +37,8 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: What a text without any cannot have: a part of a sensitive name, and an assignment.
-_HINT = re.compile(r"(?i)pass|pwd|secret|token|api_?key|key|cred|auth|bearer|private|signature|salt")
+#: One of these is in every sensitive name, and in every base assignment.
+_HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "private", "signature", "salt")
 _ANY_OPERATOR = re.compile(r"[=:]|</")
 _TOKEN = re.compile(
     r"""(?P<comment>(?<!\S)\#[^\n]*|(?<!:)//[^\n]*|(?<!\w)/\*|<!--|(?:(?<=\n)|\A)[ \t]*+(?:--|;)[^\n]*)
@@ -91,6 +91,12 @@ def target_score(name: str) -> float:
     return min(1.0, sum(_SENSITIVE.get(x, 0.0) for x in parts))
 
 
+def hinted(text: str) -> bool:
+    """Whether a sensitive name may occur at all; most texts have none and need no lexing."""
+    low = text.lower()
+    return any(x in low for x in _HINTS)
+
+
 class Value:
     """A literal, or a concatenation of values, with what scoring needs of its text; parts are shared, not copied."""
 
@@ -243,7 +249,7 @@ class _Reader:
             return
         self.at = body.end()
         text = body[1]
-        if _ANY_OPERATOR.search(text) and _HINT.search(text):
+        if _ANY_OPERATOR.search(text) and hinted(text):
             self.inner.append(body.span(1))
         self.names, self.run, self.plus = [text], 0, False
         if self.frames and self.frames[-1].depth < len(self.brackets) and self.brackets[-1][1] and _PLAIN.fullmatch(text):
@@ -388,7 +394,7 @@ def _elements(text: str, threshold: float, found: set[tuple[int, int]]) -> None:
 
 def lexed(text: str, threshold: float = 0.5) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants."""
-    if not _HINT.search(text) or not _ANY_OPERATOR.search(text):
+    if not hinted(text) or not _ANY_OPERATOR.search(text):
         return []
     found: set[tuple[int, int]] = set()
     todo = [(0, len(text))]
@@ -401,13 +407,14 @@ def lexed(text: str, threshold: float = 0.5) -> list[tuple[int, int]]:
 
 def find_secrets(text: str) -> list[tuple[int, int, int]]:
     """All spans of a text as (start, kind number, end), in order."""
-    spans = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    named = hinted(text)
+    spans = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if named else []
     spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = sorted(spans)
     starts = [x[0] for x in base]
     reach = list(accumulate((x[2] for x in base), max))
-    for a, b in lexed(text):
+    for a, b in lexed(text) if named else ():
         i = bisect_left(starts, b)
         if not i or reach[i - 1] <= a:
             spans.append((a, 3, b))
