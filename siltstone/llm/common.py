@@ -62,6 +62,24 @@ def slices(batch: pa.RecordBatch, text_col: str, budget: int = 4 << 20) -> Itera
         yield batch.slice(start)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text_col: str, budget: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut, and joined if the budget is larger than they are, to about ``budget`` text bytes."""
+    if budget <= 4 << 20:
+        for batch in batches:
+            yield from slices(batch, text_col, budget)
+        return
+    held, total = [], 0
+    for batch in batches:
+        for part in slices(batch, text_col):
+            held.append(part)
+            total += part.column(text_col).nbytes
+            if total >= budget:
+                yield pa.concat_batches(held)
+                held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def per_document(
     df: DataFrame,
     id_col: str,
@@ -79,27 +97,25 @@ def per_document(
     arrow = to_arrow_schema(out)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", budget):
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                made = run(texts)
-                columns = [part.column("id").cast(arrow.field(0).type)]
-                columns += [pa.array(made[f.name], f.type) for f in list(arrow)[1:]]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        for part in pieces(batches, "text", budget):
+            texts = [x or "" for x in part.column("text").to_pylist()]
+            made = run(texts)
+            columns = [part.column("id").cast(arrow.field(0).type)]
+            columns += [pa.array(made[f.name], f.type) for f in list(arrow)[1:]]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return kept.mapInArrow(apply, out)
 
 
-def keep_rows(df: DataFrame, text_col: str, decide: Callable[[list[str]], list[bool]]) -> DataFrame:
+def keep_rows(df: DataFrame, text_col: str, decide: Callable[[list[str]], list[bool]], budget: int = 4 << 20) -> DataFrame:
     """Rows of ``df`` whose text ``decide`` keeps; all columns stay as they are."""
     place = df.columns.index(text_col)
     names = [f"c{i}" for i in range(len(df.columns))]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, names[place]):
-                mask = decide([x or "" for x in part.column(place).to_pylist()])
-                yield part.filter(pa.array(mask, pa.bool_()))
+        for part in pieces(batches, names[place], budget):
+            mask = decide([x or "" for x in part.column(place).to_pylist()])
+            yield part.filter(pa.array(mask, pa.bool_()))
 
     schema = StructType([StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)])
     return df.toDF(*names).mapInArrow(apply, schema).toDF(*df.columns)

@@ -7,13 +7,15 @@ words picks the candidate windows, and whole windows are compared directly.
 Many scan positions advance in step, so the skips are numpy operations.
 
 The benchmark is the stated query set: it is sent to the executors in blocks of
-at most about ``block_bytes`` of text, each scanned against all records, so any
-benchmark size works and no broadcast exceeds the bound (one item's text is the least).
-
-Defined results: a null or empty text has no words; an item without words or
-with null text matches nothing; repeated items count once per distinct id; an item
-with null id is skipped; repeated rows of the corpus give equal rows; empty tables
-give zero hits.
+at most ``block_bytes`` of text, whose sizes are counted before (a single larger item is a block of
+its own), and every block meets all records.  Tables are flat arrays of word numbers, about ten bytes
+for a byte of text while they are built; a Python worker holds one block's at a time.  With more than one
+block it keeps ``held_bytes`` of records and takes them through one block after the other.
+
+Defined results: a null or empty text has no words; very long texts are scanned whole, in one piece;
+an item without words or with null text matches nothing; repeated items count once per distinct id; an item
+with null id is skipped; items with equal windows all count; repeated rows of the corpus give equal rows;
+empty tables give zero hits; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,16 +23,14 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType, _parse_datatype_string
 
-from siltstone.llm.common import keep_rows, slices
+from siltstone.llm.common import keep_rows, per_document
 
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 #: Lower-cases A-Z and turns every byte outside words into a blank.
@@ -52,23 +52,44 @@ def _mix(columns: Iterable[np.ndarray]) -> np.ndarray:
 
 
 class WindowTable:
-    """Shift table and suffix buckets of all windows of one length."""
-
-    BLOCK, SUFFIX = 2, 4
-
-    def __init__(self, windows: np.ndarray, owners: list[list[int]]) -> None:
-        self.size = windows.shape[1]
-        self.block, self.suffix = min(self.BLOCK, self.size), min(self.SUFFIX, self.size)
-        bits = max(12, math.ceil(math.log2(8 * len(windows) * self.size)))
+    """Shift table and suffix buckets of all windows of one length; a window is a place in ``flat``."""
+
+    BLOCK, SUFFIX, MOST_BITS = 2, 4, 24
+
+    def __init__(self, size: int, flat: np.ndarray, places: np.ndarray, owners: np.ndarray) -> None:
+        self.size, self.flat = size, flat
+        self.block, self.suffix = min(self.BLOCK, size), min(self.SUFFIX, size)
+        places, number = self.distinct(places)
+        # which items hold each distinct window
+        pairs = np.unique(number.astype(np.int64) * (int(owners.max()) + 1) + owners)
+        self.owner = (pairs % (int(owners.max()) + 1)).astype(np.int32)
+        self.first_owner = np.searchsorted(pairs // (int(owners.max()) + 1), np.arange(len(places) + 1))
+        bits = max(12, min(self.MOST_BITS, math.ceil(math.log2(8 * len(places) * size))), math.ceil(math.log2(2 * len(places))))
         self.mask = np.uint64((1 << bits) - 1)
-        self.shift = np.full(1 << bits, self.size - self.block + 1, np.int16 if self.size < 1 << 15 else np.int64)
-        for end in range(self.block, self.size + 1):
-            np.minimum.at(self.shift, self.slot(windows[:, end - self.block : end].T), self.size - end)
-        order = np.argsort(key := _mix(windows[:, self.size - self.suffix :].T), kind="stable")
-        self.keys, self.windows = key[order], windows[order]
-        self.owners = [owners[i] for i in order]
-
-    def slot(self, words: np.ndarray) -> np.ndarray:
+        self.shift = np.full(1 << bits, size - self.block + 1, np.int8 if size < 1 << 7 else np.int32)
+        for end in range(self.block, size + 1):
+            slots = self.slot([flat[places + k] for k in range(end - self.block, end)])
+            np.minimum.at(self.shift, slots, self.shift.dtype.type(size - end))
+        key = _mix(flat[places + k] for k in range(size - self.suffix, size))
+        self.order = np.argsort(key, kind="stable").astype(np.int32)
+        self.keys, self.places = key[self.order], places[self.order]
+
+    def distinct(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of distinct windows, and the number of each window's; equal hashes are compared word by word."""
+        kept: list[np.ndarray] = []
+        number, left = np.full(len(places), -1, np.int32), np.arange(len(places))
+        while len(left):
+            _, index, inverse = np.unique(_mix(self.flat[places[left] + k] for k in range(self.size)), return_index=True, return_inverse=True)
+            chosen = places[left][index]
+            same = np.ones(len(left), bool)
+            for k in range(self.size):
+                same &= self.flat[places[left] + k] == self.flat[chosen[inverse] + k]
+            number[left[same]] = inverse[same] + sum(map(len, kept))
+            kept.append(chosen)
+            left = left[~same]
+        return np.concatenate(kept), number
+
+    def slot(self, words: list[np.ndarray]) -> np.ndarray:
         return (_mix(words) & self.mask).astype(np.int64)
 
     def occurrences(self, ids: np.ndarray, stride: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -95,11 +116,14 @@ class WindowTable:
                 end, first, last = end[going], first[going], last[going]
                 same = np.ones(len(end), bool)
                 for k in range(self.size):
-                    same &= ids[end - (self.size - 1 - k)] == self.windows[first, k]
+                    same &= ids[end - (self.size - 1 - k)] == self.flat[self.places[first] + k]
                 if same.any():
-                    yield end[same], first[same]
+                    yield end[same], self.order[first[same]]
                 first = first + 1
 
+    def items_of(self, window: int) -> list[int]:
+        return self.owner[self.first_owner[window] : self.first_owner[window + 1]].tolist()
+
 
 class Matcher:
     """All windows of a block of benchmark items."""
@@ -107,21 +131,26 @@ class Matcher:
     def __init__(self, items: list[tuple[str, str]], size: int = 10) -> None:
         self.numbers: dict[bytes, int] = {}
         self.item_ids = [i for i, _ in items]
-        by_size: dict[int, dict[tuple[int, ...], list[int]]] = {}
-        for n, (_, text) in enumerate(items):
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
-            width = min(size, len(ids))
-            for k in range(len(ids) - width + 1 if ids else 0):
-                owners = by_size.setdefault(width, {}).setdefault(tuple(ids[k : k + width]), [])
-                if not owners or owners[-1] != n:
-                    owners.append(n)
-        self.tables = [WindowTable(np.array(list(w), np.int64), list(w.values())) for w in by_size.values()]
+        flat, lengths = array("i"), []
+        for _, text in items:
+            words = words_of(text)
+            lengths.append(len(words))
+            flat.extend([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words])
+        ids, length = np.array(flat, np.int32), np.array(lengths, np.int64)
+        start, width = np.cumsum(length) - length, np.minimum(size, length)
+        self.tables = []
+        for n in np.unique(width[width > 0]).tolist():
+            some = np.flatnonzero(width == n)
+            many = length[some] - n + 1
+            inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            places = (np.repeat(start[some], many) + inside).astype(np.int32)
+            self.tables.append(WindowTable(n, ids, places, np.repeat(some, many)))
 
     def scan(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[set[str]]]:
         """Per text: which words are hit, and the ids of the items that occur."""
         known = self.numbers.get
         # a number of no word ends each text, so no window spans two
-        ids = np.array([n for words in texts for n in (*[known(w, 0) for w in words], 0)], np.int64)
+        ids = np.array([n for words in texts for n in (*[known(w, 0) for w in words], 0)], np.int32)
         starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in texts])])
         edge, items = np.zeros(len(ids) + 1, np.int64), [set() for _ in texts]
         for table in self.tables:
@@ -129,114 +158,100 @@ class Matcher:
                 np.add.at(edge, end - table.size + 1, 1)
                 np.add.at(edge, end + 1, -1)
                 for text, w in set(zip((np.searchsorted(starts, end, "right") - 1).tolist(), window.tolist(), strict=True)):
-                    items[text].update(self.item_ids[o] for o in table.owners[w])
+                    items[text].update(self.item_ids[o] for o in table.items_of(w))
         hit = np.cumsum(edge[:-1]) > 0
         return [hit[a : b - 1] for a, b in zip(starts, starts[1:], strict=False)], items
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
-def _matcher(sent, key: str, size: int) -> Matcher:
-    """The worker's tables of a broadcast block."""
-    if key not in _MATCHERS:
-        while len(_MATCHERS) > 2:
-            _MATCHERS.pop(next(iter(_MATCHERS)))
-        _MATCHERS[key] = Matcher(sent.value, size)
-    return _MATCHERS[key]
-
-
-def _items(benchmark: DataFrame, block_bytes: int, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
-    """The benchmark's (id, text) and the number of blocks it is sent in."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
-    items = items.where("id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return items, max(1, math.ceil(total / block_bytes))
+#: The one matcher a worker keeps, under its block's key.
+_MATCHER: dict[str, Matcher] = {}
+
+
+class Blocks:
+    """The benchmark as broadcast blocks of bounded size."""
+
+    def __init__(self, benchmark: DataFrame, size: int, block_bytes: int, item_col: str, item_text_col: str) -> None:
+        items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
+        items = items.where("id IS NOT NULL AND text IS NOT NULL").distinct()
+        bytes_ = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
+        blocks = max(1, math.ceil(items.agg(bytes_).first()[0] / block_bytes))
+        while True:
+            place = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
+            large = items.groupBy(place.alias("block")).agg(bytes_.alias("bytes"), F.count(F.lit(1)).alias("n"))
+            if blocks > 1 << 16 or large.where((F.col("bytes") > block_bytes) & (F.col("n") > 1)).isEmpty():
+                break
+            blocks *= 2
+        context, self.size, self.key = benchmark.sparkSession.sparkContext, size, uuid.uuid4().hex
+        self.sent = []
+        for n in range(blocks):
+            rows = items.where(place == n).orderBy("id", "text").collect()
+            if rows or not n:
+                self.sent.append(context.broadcast([(r.id, r.text) for r in rows]))
+
+    def matcher(self, n: int) -> Matcher:
+        """The tables of block ``n``; the worker drops what it held before."""
+        key = f"{self.key}-{n}"
+        if key not in _MATCHER:
+            _MATCHER.clear()
+            _MATCHER[key] = Matcher(self.sent[n].value, self.size)
+            if len(self.sent) > 1:
+                vars(self.sent[n]).pop("_value", None)  # read again from the worker's file when its turn comes
+        return _MATCHER[key]
 
+    def scan(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[set[str]]]:
+        hits, found = self.matcher(0).scan(texts)
+        for n in range(1, len(self.sent)):
+            more, names = self.matcher(n).scan(texts)
+            hits = [a | b for a, b in zip(hits, more, strict=True)]
+            found = [a | b for a, b in zip(found, names, strict=True)]
+        return hits, found
 
-def _block(spark: SparkSession, items: DataFrame, n: int, blocks: int):
-    """One block, broadcast; its size is a bounded share of the benchmark."""
-    block = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).orderBy("id", "text")
-    return spark.sparkContext.broadcast([(r.id, r.text) for r in block.collect()])
+    def budget(self, held_bytes: int) -> int:
+        return held_bytes if len(self.sent) > 1 else 4 << 20
 
 
 def drop_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     size: int = 10,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    held_bytes: int = 32 << 20,
 ) -> DataFrame:
     """The records in which no window of the benchmark occurs, with all their columns."""
-    items, blocks = _items(benchmark, block_bytes, item_col, item_text_col)
-    for n in range(blocks):
-        sent, key = _block(docs.sparkSession, items, n, blocks), uuid.uuid4().hex
+    blocks = Blocks(benchmark, size, block_bytes, item_col, item_text_col)
 
-        def clean(texts: list[str], sent=sent, key=key) -> list[bool]:
-            _, found = _matcher(sent, key, size).scan([words_of(t) for t in texts])
-            return [not f for f in found]
+    def clean(texts: list[str]) -> list[bool]:
+        return [not f for f in blocks.scan([words_of(t) for t in texts])[1]]
 
-        docs = keep_rows(docs, text_col, clean)
-    return docs
+    return keep_rows(docs, text_col, clean, blocks.budget(held_bytes))
 
 
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
     size: int = 10,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    held_bytes: int = 32 << 20,
 ) -> DataFrame:
     """One row per record: id, n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated."""
-    items, blocks = _items(benchmark, block_bytes, item_col, item_text_col)
-    spark = docs.sparkSession
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    rows = rows.withColumns({"hit": F.lit(None).cast("binary"), "items": F.lit(None).cast("string")})
-    id_field = StructField("id", docs.schema[id_col].dataType)
-    carried = StructType([id_field, StructField("text", StringType()), StructField("hit", BinaryType()), StructField("items", StringType())])
-    final = StructType(
-        [StructField(id_col, id_field.dataType)]
-        + _parse_datatype_string("n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean").fields
-    )
-    for n in range(blocks):
-        sent = _block(spark, items, n, blocks)
-        out = final if n == blocks - 1 else carried
-        rows = rows.mapInArrow(_scan(sent, uuid.uuid4().hex, size, to_arrow_schema(out), n == blocks - 1), out)
-    return rows
-
-
-def _scan(sent, key: str, size: int, schema: pa.Schema, last: bool):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(sent, key, size)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                columns = [part.column("id").cast(schema.field(0).type)]
-                words = [words_of(t) for t in part.column("text").to_pylist()]
-                hits, found = matcher.scan(words)
-                for i, (old, names) in enumerate(zip(part.column("hit").to_pylist(), part.column("items").to_pylist(), strict=True)):
-                    if old:
-                        hits[i] = hits[i] | np.unpackbits(np.frombuffer(old, np.uint8), count=len(words[i])).astype(bool)
-                        found[i].update(names.split("\x00"))
-                if last:
-                    ids = [sorted(f) for f in found]
-                    n_hit = [int(h.sum()) for h in hits]
-                    columns += [
-                        pa.array(map(len, words), pa.int64()), pa.array(n_hit, pa.int64()),
-                        pa.array(map(len, ids), pa.int64()), pa.array(ids, schema.field(4).type),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]),
-                        pa.array([n > 0 for n in n_hit]),
-                    ]
-                else:
-                    columns += [
-                        part.column("text"),
-                        pa.array([np.packbits(h).tobytes() if f else None for h, f in zip(hits, found, strict=True)], pa.binary()),
-                        pa.array(["\x00".join(sorted(f)) if f else None for f in found], pa.string()),
-                    ]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    return apply
+    blocks = Blocks(benchmark, size, block_bytes, item_col, item_text_col)
+
+    def run(texts: list[str]) -> dict[str, list]:
+        words = [words_of(t) for t in texts]
+        hits, found = blocks.scan(words)
+        ids = [sorted(f) for f in found]
+        n_hit = [int(h.sum()) for h in hits]
+        return {
+            "n_words": [len(w) for w in words], "n_hit": n_hit, "n_items": [len(x) for x in ids], "items": ids,
+            "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], "contaminated": [n > 0 for n in n_hit],
+        }
+
+    schema = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
+    return per_document(docs, id_col, text_col, schema, run, blocks.budget(held_bytes))
