@@ -11,8 +11,10 @@ code per segment in a 16-bit table.  It reads any baseline scan with all compone
 interleaved or a single one, skips AC coefficients, and returns the luminance mean per block.
 
 Defined results: a null or empty text is stored as 64 zero bytes; equal texts
-give equal media; payloads beyond one frame's size continue in further frames;
-a stream that is not baseline JPEG raises ValueError.
+give equal media; payloads beyond one frame's size continue in further frames, and dimensions and
+feature are those of all frames' rows one below the other; an empty table gives an empty result; other columns are
+not read, whatever their names.  A stream that is not whole baseline JPEG (unknown codes, restart
+markers out of turn, missing or spare bytes) raises ValueError.
 """
 
 from __future__ import annotations
@@ -253,8 +255,12 @@ def parse(media: bytes) -> list[Frame]:
         rest = marker_at[first:]
         kinds = raw[rest + 1]
         other = np.flatnonzero((kinds < 0xD0) | (kinds > 0xD7))
-        stop = int(rest[other[0]]) if len(other) else len(media)
-        cuts = rest[: other[0]] if len(other) else rest
+        if not len(other) or kinds[other[0]] != 0xD9:
+            raise ValueError("no end of image behind the scan")
+        stop = int(rest[other[0]])
+        cuts = rest[: other[0]]
+        if (raw[cuts + 1] != 0xD0 + np.arange(len(cuts)) % 8).any():
+            raise ValueError("restart markers out of turn")
         keep = np.ones(stop - at, bool)
         inside = ff[(ff >= at) & (ff < stop)]
         stuffed = inside[raw[np.minimum(inside + 1, len(raw) - 1)] == 0] + 1
@@ -265,14 +271,16 @@ def parse(media: bytes) -> list[Frame]:
         frame.data = raw[at:stop][keep]
         frame.edges = np.concatenate([[0], place[cuts - at], [place[-1]]])
         frames.append(frame)
-        at = stop + 2 if len(other) and media[stop + 1] == 0xD9 else stop
-        if at < len(media) and media[at : at + 2] != b"\xff\xd8":
-            break
+        at = stop + 2
+    if at != len(media):
+        raise ValueError("spare bytes behind the image")
     return frames
 
 
-def _decode_segments(data: np.ndarray, starts: np.ndarray, mcus: int, plan: list[tuple[int, tuple, tuple]]) -> list[np.ndarray]:
-    """DC differences of ``mcus`` MCUs of segments in step; ``plan`` has (component, DC, AC table) per block."""
+def _decode_segments(
+    data: np.ndarray, starts: np.ndarray, stops: np.ndarray, mcus: int, plan: list[tuple[int, tuple, tuple]]
+) -> list[np.ndarray]:
+    """DC differences of ``mcus`` MCUs of segments (byte ranges) in step; ``plan`` has (component, DC, AC table) per block."""
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
     windows = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
     bit = starts.astype(np.int64) * 8
@@ -288,6 +296,8 @@ def _decode_segments(data: np.ndarray, starts: np.ndarray, mcus: int, plan: list
             w = window()
             top = (w >> np.uint64(48)).astype(np.int64)
             size, used = dc[0][top].astype(np.uint64), dc[1][top].astype(np.uint64)
+            if not used.all() or size.max(initial=0) > 11:
+                raise ValueError("no such code")
             w <<= used
             # the size's own bits; a leading 0 means a negative value
             value = ((w >> np.uint64(1)) >> (np.uint64(63) - size)).astype(np.int64)
@@ -297,6 +307,8 @@ def _decode_segments(data: np.ndarray, starts: np.ndarray, mcus: int, plan: list
             used += size
             top = (w >> np.uint64(48)).astype(np.int64)
             symbol, n = ac[0][top], ac[1][top]
+            if not n.all():
+                raise ValueError("no such code")
             bit += (used + n + (symbol & 15)).astype(np.int64)
             place = np.where(symbol == 0, 64, 1 + (symbol >> 4).astype(np.int64) + 1)
             open_ = np.flatnonzero(place < 64)
@@ -304,9 +316,14 @@ def _decode_segments(data: np.ndarray, starts: np.ndarray, mcus: int, plan: list
                 w = windows[np.minimum(bit[open_], limit) >> 3].view(">u8")[:, 0].astype(np.uint64) << (bit[open_] & 7).astype(np.uint64)
                 top = (w >> np.uint64(48)).astype(np.int64)
                 symbol, n = ac[0][top], ac[1][top]
+                if not n.all():
+                    raise ValueError("no such code")
                 bit[open_] += (n + (symbol & 15)).astype(np.int64)
                 place[open_] = np.where(symbol == 0, 64, place[open_] + (symbol >> 4) + 1)
-                open_ = open_[(place[open_] < 64) & (n > 0)]
+                open_ = open_[place[open_] < 64]
+    # what is left of a segment is less than a byte
+    if (bit > stops * 8).any() or (bit + 8 <= stops * 8).any():
+        raise ValueError("a scan of another length")
     return out
 
 
@@ -338,6 +355,8 @@ def thumbnails(frames: list[Frame]) -> list[np.ndarray]:
             n = 1 if single else f.components[c][0] * f.components[c][1]
             plan += [(c, f.huffman[dc], f.huffman[ac])] * n
         step = f.interval or total
+        if len(f.edges) - 1 != -(-total // step):
+            raise ValueError("a scan of another length")
         values.append(np.zeros((total, per_mcu), np.int32))
         for s, low in enumerate(range(0, total, step)):
             jobs.setdefault((min(step, total - low), tuple(plan), f.luma), []).append((i, s, low, step))
@@ -352,15 +371,13 @@ def thumbnails(frames: list[Frame]) -> list[np.ndarray]:
                 spans.setdefault(j, []).append(s)
             pieces, offset, starts = [], 0, {}
             for i in used:
-                f, low, high = frames[i], min(spans[i]), max(spans[i])
-                a = int(f.edges[low]) if low < len(f.edges) else len(f.data)
-                z = int(f.edges[min(high + 1, len(f.edges) - 1)])
+                f, a, z = frames[i], int(frames[i].edges[min(spans[i])]), int(frames[i].edges[max(spans[i]) + 1])
                 pieces.append(f.data[a:z])
                 starts[i] = offset - a
                 offset += z - a
             data = np.concatenate(pieces)
-            begin = np.array([starts[i] + int(frames[i].edges[min(s, len(frames[i].edges) - 1)]) for i, s, *_ in part], np.int64)
-            diffs = _decode_segments(data, begin, mcus, tables)
+            begin, end = (np.array([starts[i] + int(frames[i].edges[s + k]) for i, s, *_ in part], np.int64) for k in (0, 1))
+            diffs = _decode_segments(data, begin, end, mcus, tables)
             mine = [d for d, (c, _, _) in zip(diffs, tables, strict=True) if c == luma]
             # a component's blocks follow each other within and across MCUs
             levels = np.cumsum(np.stack(mine, axis=2).reshape(len(part), -1), axis=1).reshape(len(part), mcus, len(mine))
@@ -381,15 +398,24 @@ def difference_hash(thumb: np.ndarray) -> str:
     """64-bit difference hash of a thumbnail, as 16 hex digits."""
     rows = np.linspace(0, thumb.shape[0], 9).astype(np.int64)
     columns = np.linspace(0, thumb.shape[1], 10).astype(np.int64)
-    sums = np.zeros((thumb.shape[0] + 1, thumb.shape[1] + 1), np.int64)
-    sums[1:, 1:] = thumb.cumsum(0, dtype=np.int64).cumsum(1)
     top, bottom = rows[:-1], np.maximum(rows[1:], np.minimum(rows[:-1] + 1, thumb.shape[0]))
     left, right = columns[:-1], np.maximum(columns[1:], np.minimum(columns[:-1] + 1, thumb.shape[1]))
-    total = sums[bottom][:, right] - sums[top][:, right] - sums[bottom][:, left] + sums[top][:, left]
+    bands = np.stack([thumb[a:z].sum(axis=0, dtype=np.int64) for a, z in zip(top, bottom, strict=True)])
+    sums = np.concatenate([np.zeros((len(bands), 1), np.int64), bands.cumsum(axis=1)], axis=1)
+    total = sums[:, right] - sums[:, left]
     mean = total / np.maximum((bottom - top)[:, None] * (right - left)[None, :], 1)
     return np.packbits(mean[:, 1:] > mean[:, :-1]).tobytes().hex()
 
 
+def whole_thumbnail(thumbs: list[np.ndarray]) -> np.ndarray:
+    """The blocks of all frames of a stream, in rows as wide as the first frame's; a last row is filled with 0."""
+    if len(thumbs) == 1:
+        return thumbs[0]
+    flat = np.concatenate([t.reshape(-1) for t in thumbs])
+    width = thumbs[0].shape[1]
+    return np.concatenate([flat, np.zeros(-len(flat) % width, np.uint8)]).reshape(-1, width)
+
+
 def payload_of(data: bytes) -> bytes:
     """UTF-8 bytes with zeros up to a positive multiple of 64."""
     return data + bytes(-len(data) % 64 or (0 if data else 64))
@@ -414,7 +440,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         raw = [t.encode() for t in texts]
         media = store_batch([payload_of(x) for x in raw])
         back = read_batch(media)
-        first = [thumbs[0] for _, thumbs in back]
+        whole = [whole_thumbnail(thumbs) for _, thumbs in back]
         return {
             "n_bytes": [len(x) for x in raw],
             "payload_bytes": [len(p) for p, _ in back],
@@ -422,9 +448,9 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             "tail_crc32": [zlib.crc32(p[-64:]) for p, _ in back],
             "media_bytes": [len(m) for m in media],
             "media_sha256": [hashlib.sha256(m).hexdigest() for m in media],
-            "width": [8 * t.shape[1] for t in first],
-            "height": [8 * t.shape[0] for t in first],
-            "feature": [f"{8 * t.shape[1]}x{8 * t.shape[0]}:{difference_hash(t)}" for t in first],
+            "width": [8 * t.shape[1] for t in whole],
+            "height": [8 * t.shape[0] for t in whole],
+            "feature": [f"{8 * t.shape[1]}x{8 * t.shape[0]}:{difference_hash(t)}" for t in whole],
             "media": media,
         }
 

@@ -103,3 +103,47 @@ def test_query_rows(spark):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
     assert got[2][1:] == got[3][1:] and jpeg.media_columns(df.limit(0)).count() == 0
+
+
+def test_damaged_streams_are_refused():
+    media = jpeg.store_batch([bytes(range(256)) * 8])[0]
+    assert len(jpeg.thumbnails(jpeg.parse(media))) == 1
+    at = media.index(b"\xff\xd1")
+    scan = media.index(b"\xff\xda") + 10
+    no_code = media[:scan] + b"\xfb" * (media.index(b"\xff\xd0") - scan) + media[media.index(b"\xff\xd0") :]
+    for bad in (media[:-2], media + b"x", media[:at] + b"\xff\xd5" + media[at + 2 :], media[: at - 8] + media[at:], media[:at] + media[at + 2 :],
+                media[:scan] + b"\x00" * 40 + media[scan:], no_code, media[: len(media) // 2]):
+        with pytest.raises(ValueError):
+            jpeg.thumbnails(jpeg.parse(bad))
+
+
+def test_feature_follows_all_frames(monkeypatch):
+    monkeypatch.setattr(jpeg, "MAX_SIDE", 3)
+    monkeypatch.setattr(jpeg, "MAX_WIDTH", 128)
+    rng = random.Random(4)
+    head = rng.randbytes(384)
+    thumbs = [jpeg.whole_thumbnail(t) for _, t in jpeg.read_batch(jpeg.store_batch([head + rng.randbytes(640) for _ in range(2)]))]
+    assert [t.shape for t in thumbs] == [(8, 128)] * 2 and jpeg.difference_hash(thumbs[0]) != jpeg.difference_hash(thumbs[1])
+
+
+def test_reads_what_another_encoder_writes(spark):
+    """Block means of images that Java's image library wrote, against the pixels it reads back."""
+    jvm, rng = spark.sparkContext._jvm, random.Random(9)
+    for kind, (width, height) in ((10, (40, 24)), (10, (17, 9)), (5, (64, 32))):
+        image, bands = jvm.java.awt.image.BufferedImage(width, height, kind), 1 if kind == 10 else 3
+        for y in range(height):
+            for x in range(width):
+                for band in range(bands):
+                    image.getRaster().setSample(x, y, band, rng.randrange(70, 180))
+        out = jvm.java.io.ByteArrayOutputStream()
+        assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+        back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(out.toByteArray())).getRaster()
+        thumb = jpeg.thumbnails(jpeg.parse(bytes(out.toByteArray())))[0]
+        for by in range(height // 8):
+            for bx in range(width // 8):
+                total = 0.0
+                for y in range(8):
+                    for x in range(8):
+                        c = [back.getSample(8 * bx + x, 8 * by + y, band) for band in range(bands)]
+                        total += c[0] if bands == 1 else 0.299 * c[0] + 0.587 * c[1] + 0.114 * c[2]
+                assert abs(thumb[by, bx] - total / 64) < 4
