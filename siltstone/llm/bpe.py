@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 import unicodedata
 from itertools import islice
@@ -123,8 +124,8 @@ class Merger:
 class ByteBPE:
     """A byte-level BPE vocabulary read from a tokenizer file's JSON text."""
 
-    #: Words that are remembered at most; about 200 bytes each in every worker.
-    remembered = 400_000
+    #: Words that are remembered at most, about 200 bytes each in every worker; longer ones than ``longest`` are not.
+    remembered, longest = 400_000, 64
 
     def __init__(self, text: str) -> None:
         spec = json.loads(text)
@@ -152,6 +153,8 @@ class ByteBPE:
         self.fast, self.general = re.compile(plain).findall, regex.compile(full).findall
         self.exotic = re.compile(f"[^\x00-{chr(_FAST_BELOW - 1)}]").search
         self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")").split if self.specials else None
+        #: What every special begins with; a text without it has none.
+        self.lead = os.path.commonprefix(list(self.specials))
 
     @staticmethod
     def patterns(low: dict[str, str]) -> tuple[str, str]:
@@ -189,7 +192,7 @@ class ByteBPE:
         """
         plans: list[list] = []
         for text in texts:
-            parts = self.cut(text) if self.cut and "<|" in text else [text]
+            parts = self.cut(text) if self.cut and self.lead in text else [text]
             plan = self.pieces(parts[0])
             for special, plain in zip(parts[1::2], parts[2::2], strict=True):
                 plan = [*plan, (special,), *self.pieces(plain)]
@@ -211,6 +214,9 @@ class ByteBPE:
                 [get(w) if i is None else i for w, i in zip(plan, ids, strict=True)] if None in ids else ids
                 for plan, ids in zip(plans, found, strict=True)
             ]
+            for w in new:
+                if len(w) > self.longest:
+                    del self.known[w]
         return [b"".join(ids) for ids in found]
 
     def decode(self, ids: bytes) -> str:

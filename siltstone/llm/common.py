@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +49,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``stored`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {os.path.dirname(f) for f in df.inputFiles()}:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def slices(batch: pa.RecordBatch, text_col: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of at most ``budget`` text bytes (one row at least)."""
     sizes = batch.column(text_col)

@@ -1,8 +1,8 @@
 """Connected components of an edge list, by alternating large and small stars.
 
 Each round hangs the larger neighbours of a node on its smallest one, then the
-smaller ones, until the edge list is a set of stars.  Rounds grow with the
-logarithm of a component's size; each is written to the shared folder.
+smaller ones, until the edge list is a set of stars.  Labels only ever get smaller, so it ends; rounds grow
+with the logarithm of a component's size.  Each is written to the shared folder, and the one before it removed.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import stored
+from siltstone.llm.common import discard, stored
 
 
 def _digest(edges: DataFrame) -> tuple[int, int]:
@@ -20,7 +20,7 @@ def _digest(edges: DataFrame) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
-def component_stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def component_stars(edges: DataFrame) -> DataFrame:
     """(src, dst) with dst the smallest node of src's component; roots have no row.
 
     ``edges`` are undirected pairs (src, dst) of longs; loops and repeats are fine.
@@ -28,9 +28,7 @@ def component_stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
     now = stored(now.where("src <> dst").distinct(), "edges")
     before = _digest(now)
-    for _ in range(max_rounds):
-        if not before[0]:
-            return now
+    while before[0]:
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("low"))
         low = low.select("src", F.least("src", "low").alias("low"))
@@ -38,9 +36,11 @@ def component_stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = stored(large.where("src <> dst").distinct(), "large")
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
         hung = large.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
-        now = stored(hung.unionByName(low.withColumnRenamed("low", "dst")).distinct(), "small")
+        old, now = now, stored(hung.unionByName(low.withColumnRenamed("low", "dst")).distinct(), "small")
+        discard(old)
+        discard(large)
         after = _digest(now)
         if after == before:
-            return now
+            break
         before = after
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return now

@@ -4,15 +4,17 @@ A record is the set of its n-gram indicators: words, and runs of one to three
 word shapes (case pattern plus punctuation) and repetition patterns, hashed into fixed spaces.  Each
 indicator is scaled by its class log-count ratio r; a linear hinge-loss model is
 fitted on the scaled indicators by dual coordinate descent, and the score is
-the logistic of its margin.
+the logistic of four times its margin (labels lie beyond margins of 1 and -1).
 
 The model is fitted in one task on at most ``sample`` labelled records, those
 with the smallest hash of their id, chosen before any text is read; ``sample``
 bounds that task whatever the table's size.  Every record is then scored whole.
 
 Defined results: a null or empty text has no indicators and gets the logistic
-of the intercept; without labels of both classes every score is 0.5; repeated
-rows score alike; extra columns are not read.
+of the intercept's margin; very long texts and words are read whole; without labels of both classes, as in
+empty tables, every score is 0.5, and a score of 0.5 is predicted 1; repeated
+rows score alike; a labelled id that occurs more than once counts once, with its largest label and smallest
+text; rows without id or label teach nothing; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import keep_rows, per_document
+from siltstone.llm.common import keep_rows, per_document, slices
 
 WORD_BITS, SHAPE_BITS = 18, 17
-DIM = (1 << WORD_BITS) + (1 << SHAPE_BITS)
-_CACHE_LIMIT = 200_000
+LAGS = 4
+#: Words, shapes, and repetition patterns have numbers of their own, in this order.
+DIM = (1 << WORD_BITS) + (1 << SHAPE_BITS) + LAGS
+#: Words that a worker remembers, and the longest of them.
+_CACHE_LIMIT, _LONGEST = 200_000, 64
 _MARKS = (".", ",", ";", ":")
 _RUN = re.compile(r"([A-Z]+)|([a-z]+)|([0-9]+)|([^A-Za-z0-9])\4*")
 
@@ -49,7 +54,7 @@ def shape(word: str) -> str:
 
 
 def long_shape(word: str) -> str:
-    """The pattern of any word, run by run."""
+    """The pattern of any word, run by run; a run counts as one, two or more capitals, as letters, digits, or up to three marks."""
     out = []
     for run in _RUN.finditer(word):
         text = run[0]
@@ -62,9 +67,9 @@ def long_shape(word: str) -> str:
         elif text[0].isalpha():
             out.append("A" if text[0].isupper() else "a")
         else:
-            out.append(text[:3])
+            out.append(text[0] * min(len(text), 3))
     kept = [x for i, x in enumerate(out) if not i or x != out[i - 1]]
-    return "".join(kept)[:12]
+    return "".join(kept)
 
 
 class Indicators:
@@ -88,7 +93,7 @@ class Indicators:
                 self.known = dict(islice(self.known.items(), _CACHE_LIMIT // 4))
             fresh = {w: self.one(w) for w in new}
             if len(self.known) + len(fresh) <= _CACHE_LIMIT:
-                self.known |= fresh
+                self.known |= {w: x for w, x in fresh.items() if len(w) <= _LONGEST}
             found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
         packed = np.array(found, np.int64)
         return self.combined(np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1))
@@ -109,13 +114,13 @@ class Indicators:
         return np.unique(np.concatenate([ids[:, 0], shapes.astype(np.int64) + (1 << WORD_BITS), repeats(ids[:, 0])]))
 
 
-def repeats(words: np.ndarray, lags: int = 4, run: int = 3) -> np.ndarray:
+def repeats(words: np.ndarray, lags: int = LAGS, run: int = 3) -> np.ndarray:
     """Indicators of ``run`` words in a row that equal the word 1 to ``lags`` places before."""
     found = []
     for lag in range(1, lags + 1):
         same = np.concatenate([[0], np.cumsum(words[lag:] == words[:-lag])])
         if (same[run:] - same[:-run] == run).any():
-            found.append((1 << WORD_BITS) + lag)
+            found.append(DIM - lag)
     return np.array(found, np.int64)
 
 
@@ -180,9 +185,10 @@ def train(
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indicators, keys, found, marks = Indicators(), [], [], []
         for batch in batches:
-            keys += batch.column("id").to_pylist()
-            marks += batch.column("label").to_pylist()
-            found += [indicators(t or "").astype(np.int32) for t in batch.column("text").to_pylist()]
+            for part in slices(batch, "text"):
+                keys += part.column("id").to_pylist()
+                marks += part.column("label").to_pylist()
+                found += [indicators(t or "").astype(np.int32) for t in part.column("text").to_pylist()]
         order = sorted(range(len(keys)), key=lambda i: keys[i])
         weights, ratio = fit([found[i] for i in order], np.array([marks[i] for i in order]))
         packed = np.concatenate([weights[:-1], ratio, weights[-1:]]).astype("<f4").tobytes()

@@ -1,4 +1,4 @@
-"""Token ids as one wavelet matrix per shard, in a single compressed file each.
+"""Token ids as one wavelet matrix per shard, in a compressed file of its own.
 
 A wavelet matrix stores a sequence of b-bit symbols as b bit planes, highest bit first;
 each plane is followed by a stable partition of the sequence by that
@@ -8,13 +8,16 @@ prefix and finding its k-th occurrence take b rank or select steps.
 A shard holds whole documents in ascending id order, so a token id may occur as
 text and as end mark alike; document borders are kept beside the planes.
 
-File layout (zstandard frame around it): magic, header length, JSON header with
+Each shard is one file: a Parquet file with one row, whose binary value is the shard and can be read without
+any other file.  Its layout (with a zstandard frame around it): magic, header length, JSON header with
 symbol bits, length, documents and zeros per plane; document ids (int64) and
 lengths (int64); per plane its bits (64-bit words, lowest bit first) and its
 counts (uint32).
 
-Defined results: a null or empty text is a document with its end mark alone;
-rows with equal ids follow each other in any order; an empty table writes no shard.
+Defined results: a null or empty text is a document with its end mark alone; a very long text is one document of
+one shard, which may exceed ``shard_tokens`` by it; ids are integers, a null id comes first;
+rows with equal ids follow each other in any order; an empty table writes no shard; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -93,6 +96,19 @@ class WaveletMatrix:
     def count(self, symbol: int) -> int:
         return self.rank(symbol, self.n)
 
+    def ranks(self, symbol: int, i: np.ndarray) -> np.ndarray:
+        """Occurrences of ``symbol`` before each position."""
+        end, start = np.asarray(i, np.int64), 0
+        if symbol >> len(self.planes):
+            return np.zeros(end.shape, np.int64)
+        for level in range(len(self.planes)):
+            ones, first = self.ones(level, end), int(self.ones(level, np.array([start]))[0])
+            if symbol >> len(self.planes) - 1 - level & 1:
+                start, end = self.zeros[level] + first, self.zeros[level] + ones
+            else:
+                start, end = start - first, end - ones
+        return end - start
+
     def _range(self, symbol: int, i: int) -> tuple[int, int]:
         start, end = 0, i
         if symbol >> len(self.planes):
@@ -149,6 +165,11 @@ class Shard:
     def __init__(self, doc_ids: np.ndarray, lengths: np.ndarray, matrix: WaveletMatrix) -> None:
         self.doc_ids, self.lengths, self.matrix = doc_ids, lengths, matrix
 
+    def document(self, k: int) -> np.ndarray:
+        """Tokens of the ``k``-th document, read one by one from the planes."""
+        start = int(self.lengths[:k].sum())
+        return self.matrix.access(np.arange(start, start + int(self.lengths[k])))
+
     def to_bytes(self) -> bytes:
         m = self.matrix
         header = json.dumps({"bits": len(m.planes), "n": m.n, "docs": len(self.lengths), "zeros": m.zeros}).encode()
@@ -235,12 +256,16 @@ def write_shards(
 
     path = shared_path(spark, "shards")
     made = dealt.mapInArrow(encode, "part int, shard long, n_tokens long, n_docs long, data binary")
-    made.write.option("compression", "none").parquet(path)
+    made.write.option("compression", "none").option("maxRecordsPerFile", 1).parquet(path)
     return path
 
 
-def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """One row per document, from the shards: id, start, n_tokens, ids_crc32."""
+def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", end_id: int = 1) -> DataFrame:
+    """One row per document, from the shards: id, start, n_tokens, ids_crc32, n_end_ids.
+
+    ``n_end_ids`` is how often the end mark's id occurs in the document, by rank at its borders; a
+    document that does not end with it, by access at its last place, raises ValueError.
+    """
     shards = spark.read.schema("part int, shard long, n_tokens long, n_docs long, data binary").parquet(path)
     sizes = shards.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
     # a row per range partition: as many as the session's shuffle partitions
@@ -251,8 +276,9 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     offsets = sizes.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(totals, "part")
     offsets = offsets.select("part", "shard", (F.col("base") + F.col("first")).alias("offset"))
     schema = pa.schema(
-        [("part", pa.int32()), ("shard", pa.int64()), ("id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
-    )
+        [("part", pa.int32()), ("shard", pa.int64()), ("id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()),
+         ("ids_crc32", pa.int64()), ("n_end_ids", pa.int64())]
+    )
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,18 +288,22 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
                 flat = shard.matrix.decode().astype("<u4").tobytes()
                 ends = np.cumsum(shard.lengths)
                 starts = ends - shard.lengths
+                if (shard.matrix.access(ends - 1) != end_id).any():
+                    raise ValueError("a document without its end mark")
+                upto = shard.matrix.ranks(end_id, ends)
+                marks = np.diff(upto, prepend=0)
                 crc = [zlib.crc32(flat[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
                 ids = pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == NULL_ID)
                 n = len(crc)
                 columns = [pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int64()), ids]
-                columns += [pa.array(starts), pa.array(shard.lengths), pa.array(crc, pa.int64())]
+                columns += [pa.array(starts), pa.array(shard.lengths), pa.array(crc, pa.int64()), pa.array(marks)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     docs = shards.select("part", "shard", "data").mapInArrow(
-        decode, "part int, shard long, id long, local long, n_tokens long, ids_crc32 long"
+        decode, "part int, shard long, id long, local long, n_tokens long, ids_crc32 long, n_end_ids long"
     )
     return docs.join(offsets, ["part", "shard"]).select(
-        F.col("id").alias(id_col), (F.col("offset") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"
+        F.col("id").alias(id_col), (F.col("offset") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "n_end_ids"
     )
 
 

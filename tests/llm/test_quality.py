@@ -26,3 +26,13 @@ def test_shapes():
     assert [quality.shape(w) for w in ("THE!!", "Thnd,", "of", "a1", "Éx", "%%%")] == ["AA!!", "Aa,", "a", "a0", "Aa", "%%%"]
     words = ["Été,", "ß", "İx.", "ªb", "ǅa", "a,,", ".", ",", "x:", "日本", "O'Neil", "ÉÉ", "Aé;", "mixedCase", "ｈ"]
     assert [quality.shape(w) for w in words] == [quality.long_shape(w) for w in words]
+
+
+def test_no_prefix_of_words_or_texts_decides():
+    assert quality.shape("aB1.c-D,e;F:g/h=i+J") != quality.shape("aB1.c-D,e;F:g/h=i+K2")
+    long = "word " * 400_000
+    a, b = quality.INDICATORS(long + "Tail%%"), quality.INDICATORS(long + "tail")
+    assert set(a.tolist()) ^ set(b.tolist()) and len(quality.INDICATORS("x" * 3_000_000)) == 2
+    assert max(map(len, quality.INDICATORS.known)) <= 64
+    # repetition has numbers of its own
+    assert quality.DIM - 1 in quality.INDICATORS("no no no no no") and quality.INDICATORS("a b").max() < quality.DIM - quality.LAGS

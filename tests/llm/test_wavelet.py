@@ -50,3 +50,27 @@ def test_query_rows(spark):
     assert wavelet.find_token(spark, path, token).count() == sum(n % 7 for n in range(1, 61))
     empty = wavelet.write_shards(df.limit(0), PATH)
     assert wavelet.read_documents(spark, empty).count() == 0
+
+
+def test_one_file_a_shard_readable_alone(spark, tmp_path):
+    rows = [(n, f"word{n} some text " * 5) for n in range(50)] + [(100, "very long " * 200_000), (101, "end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS data")
+    path = wavelet.write_shards(df, PATH, shard_tokens=100)
+    files = spark.read.parquet(path).inputFiles()
+    assert len(files) == spark.read.parquet(path).count() > 5
+    library, seen = Tokenizer.from_file(PATH), 0
+    texts = dict(rows)
+    for f in files:
+        alone = spark.read.parquet(f).collect()
+        assert len(alone) == 1
+        shard = wavelet.Shard.from_bytes(bytes(alone[0].data))
+        for k, d in enumerate(shard.doc_ids.tolist()):
+            ids = [*library.encode(texts[d], add_special_tokens=False).ids, 1]
+            assert shard.document(k).tolist() == ids
+            seen += 1
+        ends = np.cumsum(shard.lengths)
+        flat = shard.matrix.decode()
+        for symbol in {1, int(flat[0]), 70_000}:
+            assert shard.matrix.ranks(symbol, ends).tolist() == [int((flat[:e] == symbol).sum()) for e in ends]
+    assert seen == len(rows)
+    assert all(r.n_end_ids == 1 for r in wavelet.read_documents(spark, path).collect())
