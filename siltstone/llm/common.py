@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
@@ -57,6 +58,21 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread_join(rows: DataFrame, decided: DataFrame, keys: list[str], n: str = "n", share: int = 1024, how: str = "inner") -> DataFrame:
+    """``rows`` joined to the one row per key of ``decided``, whose column ``n`` says how many of the rows have the key.
+
+    Keys with over a ``share``-th of all rows, fewer than ``share``, are dealt in pieces of about that many rows.
+    ``decided`` is read three times and should be a stored table.
+    """
+    total = decided.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    pieces = F.ceil(F.col(n) * share / F.lit(max(total, 1))).cast("long")
+    hot = F.broadcast(decided.where(F.col(n) * share > total).select(*keys, pieces.alias("__pieces")))
+    many = F.coalesce("__pieces", F.lit(1).cast("long"))
+    dealt = rows.join(hot, keys, "left").withColumn("__piece", F.pmod(F.monotonically_increasing_id(), many)).drop("__pieces")
+    copies = decided.drop(n).join(hot, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+    return dealt.join(copies.drop("__pieces"), [*keys, "__piece"], how).drop("__piece")
+
+
 def slices(batch: pa.RecordBatch, text_col: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of at most ``budget`` text bytes (one row at least)."""
     sizes = batch.column(text_col)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from siltstone.llm.common import slices, stored
+from siltstone.llm.common import slices, spread_join, stored
 
 #: Element and attribute vocabularies (fixed values).
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -355,9 +355,10 @@ def _ranked(parsed: DataFrame) -> DataFrame:
     """The distinct pages of each host (host, path, digest, ...) with their rank by path, counted across range partitions."""
     spark = parsed.sparkSession
     distinct = parsed.where("host <> ''").groupBy("host", "digest").agg(
-        F.min(F.struct("path", "url")).alias("low"), F.first("hashes").alias("hashes"), F.first("places").alias("places")
-    )
-    rows = distinct.select("host", "low.path", "low.url", "digest", "hashes", "places")
+        F.min(F.struct("path", "url")).alias("low"), F.first("hashes").alias("hashes"), F.first("places").alias("places"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    rows = distinct.select("host", "low.path", "low.url", "digest", "hashes", "places", "n")
     keys = ["host", "path", "digest"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
@@ -378,7 +379,7 @@ def _differenced(ranked: DataFrame, reach: int, near: int, run: int) -> DataFram
     there = F.array_compact(F.array(unit, F.when(place < reach, unit - 1), F.when(place >= run - reach, unit + 1)))
     rows = ranked.withColumn("own", unit).withColumn("unit", F.explode(there)).where("unit >= 0")
     rows = rows.repartition("host", "unit").sortWithinPartitions("host", "unit", "rank")
-    out = _parse_datatype_string("host string, digest long, gone array<int>, n_shared int, neighbour string")
+    out = _parse_datatype_string("host string, digest long, n long, gone array<int>, n_shared int, neighbour string")
     schema = to_arrow_schema(out)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +396,7 @@ def _differenced(ranked: DataFrame, reach: int, near: int, run: int) -> DataFram
             # a single pair of pages cannot tell a copied paragraph from a menu
             shared = shared_lines(lines[0], lines[1:]) if len(nearest) > 1 else []
             places = np.frombuffer(page["places"], "<i4")[shared] if shared else np.zeros(0, np.int32)
-            made.append((page["host"], page["digest"], places[places >= 0].tolist(), len(shared), nearest[0]["url"] if nearest else None))
+            made.append((page["host"], page["digest"], page["n"], places[places >= 0].tolist(), len(shared), nearest[0]["url"] if nearest else None))
 
         def batch_of() -> pa.RecordBatch:
             columns = [pa.array([r[i] for r in made], f.type) for i, f in enumerate(schema)]
@@ -422,21 +423,19 @@ def _differenced(ranked: DataFrame, reach: int, near: int, run: int) -> DataFram
             decide(i)
         yield batch_of()
 
-    return rows.select("host", "unit", "own", "path", "url", "digest", "hashes", "places").mapInArrow(apply, out)
+    return rows.select("host", "unit", "own", "path", "url", "digest", "hashes", "places", "n").mapInArrow(apply, out)
 
 
 def extract_main_text(
-    df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", reach: int = 4, near: int = 4, run: int = 1024, salts: int = 16
+    df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", reach: int = 4, near: int = 4, run: int = 1024
 ) -> DataFrame:
     """One row per page: id, url, text, n_chars, n_lines (candidates), n_shared (lines that near pages share),
     n_restored (shared lines that a landmark keeps), neighbour (the nearest page's URL, if any).
     """
     parsed = stored(_parsed(df, id_col, url_col, html_col), "pages")
-    decided = _differenced(_ranked(parsed), reach, near, run)
-    # copies of one page may be a third of all rows: they meet the one decision in ``salts`` places
-    decided = decided.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    pages = parsed.drop("hashes", "places", "path").withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts).cast("long")))
-    both = pages.join(decided, ["host", "digest", "salt"], "left")
+    decided = stored(_differenced(_ranked(parsed), reach, near, run), "decided")
+    # copies of one page may be a third of all rows
+    both = spread_join(parsed.drop("hashes", "places", "path"), decided, ["host", "digest"], how="left")
     n = F.size("texts")
     left = F.when(n > 0, F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>")))).otherwise(F.array().cast("array<int>"))
     both = both.withColumn("left", left)

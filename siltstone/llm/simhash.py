@@ -16,7 +16,8 @@ are joined into components.
 
 Defined results: a null, empty or blank text has fingerprint 0, which links
 like any other; repeated rows share a component; a component's id is its
-smallest non-null document id, null if it has none; an empty table gives an empty result.
+smallest non-null document id, null if it has none; very long texts are hashed whole; a tie of set and unset
+hashes leaves a bit 0; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import per_document, stored
+from siltstone.llm.common import per_document, spread_join, stored
 from siltstone.llm.graph import component_stars
 
 WIDTH = 64
@@ -237,13 +238,13 @@ def link_stars(nodes: DataFrame, radius: int = 3, limit: int = 4096, levels: int
 
 
 def classes(marked: DataFrame, radius: int, limit: int) -> DataFrame:
-    """(fp, low) of all fingerprints in ``marked`` (id, fp): the smallest id of each linked class."""
-    nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    """(fp, n, low) of all fingerprints in ``marked`` (id, fp): their rows and the smallest id of each linked class."""
+    nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
     stars = component_stars(link_stars(nodes.select("fp"), radius, limit))
     roots = nodes.join(stars.select(F.col("src").alias("fp"), F.col("dst").alias("root")), "fp", "left")
-    roots = roots.select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    lows = roots.groupBy("root").agg(F.min("low").alias("class_low"))
-    return roots.join(lows, "root").select("fp", F.col("class_low").alias("low"))
+    roots = stored(roots.select("fp", F.coalesce("root", "fp").alias("root"), "low", "n"), "roots")
+    lows = roots.groupBy("root").agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("members"))
+    return spread_join(roots.select("fp", "root", "n"), stored(lows, "lows"), ["root"], "members").drop("root")
 
 
 def near_duplicates(
@@ -251,6 +252,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per record: id, fingerprint (hex) and component_id."""
     marked = stored(fingerprints(df, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
-    return marked.join(classes(marked, radius, limit), "fp").select(
+    # one fingerprint may have a third of all rows
+    return spread_join(marked, stored(classes(marked, radius, limit), "classes"), ["fp"]).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id")
     )
