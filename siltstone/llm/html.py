@@ -355,10 +355,10 @@ def _ranked(parsed: DataFrame) -> DataFrame:
     """The distinct pages of each host (host, path, digest, ...) with their rank by path, counted across range partitions."""
     spark = parsed.sparkSession
     distinct = parsed.where("host <> ''").groupBy("host", "digest").agg(
-        F.min(F.struct("path", "url")).alias("low"), F.first("hashes").alias("hashes"), F.first("places").alias("places"),
+        F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("places").alias("places"),
         F.count(F.lit(1)).alias("n"),
     )
-    rows = distinct.select("host", "low.path", "low.url", "digest", "hashes", "places", "n")
+    rows = distinct.select("host", "path", "digest", "hashes", "places", "n")
     keys = ["host", "path", "digest"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
@@ -371,7 +371,7 @@ def _ranked(parsed: DataFrame) -> DataFrame:
 
 
 def _differenced(ranked: DataFrame, reach: int, near: int, run: int) -> DataFrame:
-    """Per distinct page: the lines it shares with its near pages and the nearest one's URL.
+    """The distinct pages that share lines with all their near pages, and which.
 
     Runs of ``run`` ranks are tasks' units; ``reach`` rows at either edge are copied to the next run.
     """
@@ -379,7 +379,7 @@ def _differenced(ranked: DataFrame, reach: int, near: int, run: int) -> DataFram
     there = F.array_compact(F.array(unit, F.when(place < reach, unit - 1), F.when(place >= run - reach, unit + 1)))
     rows = ranked.withColumn("own", unit).withColumn("unit", F.explode(there)).where("unit >= 0")
     rows = rows.repartition("host", "unit").sortWithinPartitions("host", "unit", "rank")
-    out = _parse_datatype_string("host string, digest long, n long, gone array<int>, n_shared int, neighbour string")
+    out = _parse_datatype_string("host string, digest long, n long, gone array<int>, n_shared int")
     schema = to_arrow_schema(out)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,8 +395,9 @@ def _differenced(ranked: DataFrame, reach: int, near: int, run: int) -> DataFram
             lines = [np.frombuffer(x["hashes"], "<u8").tolist() for x in (page, *nearest)]
             # a single pair of pages cannot tell a copied paragraph from a menu
             shared = shared_lines(lines[0], lines[1:]) if len(nearest) > 1 else []
-            places = np.frombuffer(page["places"], "<i4")[shared] if shared else np.zeros(0, np.int32)
-            made.append((page["host"], page["digest"], page["n"], places[places >= 0].tolist(), len(shared), nearest[0]["url"] if nearest else None))
+            if shared:
+                places = np.frombuffer(page["places"], "<i4")[shared]
+                made.append((page["host"], page["digest"], page["n"], places[places >= 0].tolist(), len(shared)))
 
         def batch_of() -> pa.RecordBatch:
             columns = [pa.array([r[i] for r in made], f.type) for i, f in enumerate(schema)]
@@ -423,18 +424,18 @@ def _differenced(ranked: DataFrame, reach: int, near: int, run: int) -> DataFram
             decide(i)
         yield batch_of()
 
-    return rows.select("host", "unit", "own", "path", "url", "digest", "hashes", "places", "n").mapInArrow(apply, out)
+    return rows.select("host", "unit", "own", "path", "digest", "hashes", "places", "n").mapInArrow(apply, out)
 
 
 def extract_main_text(
-    df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", reach: int = 4, near: int = 4, run: int = 1024
+    df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", reach: int = 4, near: int = 4, run: int = 128
 ) -> DataFrame:
     """One row per page: id, url, text, n_chars, n_lines (candidates), n_shared (lines that near pages share),
-    n_restored (shared lines that a landmark keeps), neighbour (the nearest page's URL, if any).
+    n_restored (shared candidate lines that stay, as a landmark's or as all that the page has).
     """
     parsed = stored(_parsed(df, id_col, url_col, html_col), "pages")
     decided = stored(_differenced(_ranked(parsed), reach, near, run), "decided")
-    # copies of one page may be a third of all rows
+    # copies of one page may be a third of all rows; texts move only if the pages that share lines are many
     both = spread_join(parsed.drop("hashes", "places", "path"), decided, ["host", "digest"], how="left")
     n = F.size("texts")
     left = F.when(n > 0, F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>")))).otherwise(F.array().cast("array<int>"))
@@ -444,6 +445,6 @@ def extract_main_text(
     both = both.select(
         F.col("id").alias(id_col), "url", F.array_join(texts, "\n\n").alias("text"), n.alias("n_lines"),
         F.coalesce("n_shared", F.lit(0)).alias("n_shared"),
-        F.when(whole, F.coalesce(F.size("gone"), F.lit(0))).otherwise(0).alias("n_restored"), "neighbour",
+        F.when(whole, F.coalesce(F.size("gone"), F.lit(0))).otherwise(0).alias("n_restored"),
     )
     return both.withColumn("n_chars", F.length("text").cast("long"))

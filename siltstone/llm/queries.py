@@ -19,7 +19,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract_main_text(table(spark, sf_dir, "pages")).drop("neighbour")
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
