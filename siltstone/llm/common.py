@@ -66,11 +66,14 @@ def spread_join(rows: DataFrame, decided: DataFrame, keys: list[str], n: str = "
     """
     total = decided.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     pieces = F.ceil(F.col(n) * share / F.lit(max(total, 1))).cast("long")
-    hot = F.broadcast(decided.where(F.col(n) * share > total).select(*keys, pieces.alias("__pieces")))
+    hot = decided.where(F.col(n) * share > total).select(*keys, pieces.alias("__pieces"))
+    # without hot keys the stored table is joined as it is, and broadcast if its size is small
+    if hot.isEmpty():
+        return rows.join(decided.drop(n), keys, how)
     many = F.coalesce("__pieces", F.lit(1).cast("long"))
-    dealt = rows.join(hot, keys, "left").withColumn("__piece", F.pmod(F.monotonically_increasing_id(), many)).drop("__pieces")
-    copies = decided.drop(n).join(hot, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
-    return dealt.join(copies.drop("__pieces"), [*keys, "__piece"], how).drop("__piece")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__piece", F.pmod(F.monotonically_increasing_id(), many)).drop("__pieces")
+    copies = decided.drop(n).join(F.broadcast(hot), keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+    return dealt.join(stored(copies.drop("__pieces"), "copies"), [*keys, "__piece"], how).drop("__piece")
 
 
 def slices(batch: pa.RecordBatch, text_col: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
