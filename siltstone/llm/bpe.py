@@ -10,8 +10,9 @@ length, merge through a priority queue instead.
 Decoding gathers the tokens' bytes from one flat table and reads them as
 UTF-8, malformed bytes replaced.
 
-Defined results: a null or empty text has no ids and decodes to ""; repeated rows give
-equal rows; extra columns are not read.
+Defined results: a null or empty text has no ids and decodes to ""; very long texts and words are encoded whole;
+of equal ranks the leftmost pair merges first; repeated rows give equal rows; an empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from siltstone.llm.common import per_document
+from siltstone.llm.common import hold, per_document
 
 LONG = 4096
 _FAST_BELOW = 0x250
@@ -125,7 +126,7 @@ class ByteBPE:
     """A byte-level BPE vocabulary read from a tokenizer file's JSON text."""
 
     #: Words that are remembered at most, about 200 bytes each in every worker; longer ones than ``longest`` are not.
-    remembered, longest = 400_000, 64
+    remembered, longest = 300_000, 64
 
     def __init__(self, text: str) -> None:
         spec = json.loads(text)
@@ -254,6 +255,7 @@ _VOCABS: dict[tuple[type, str], ByteBPE] = {}
 
 def vocabulary(kind: type[ByteBPE], text: str) -> ByteBPE:
     """The worker's copy of a vocabulary; its text identifies it."""
+    hold("bpe", _VOCABS.clear)
     key = (kind, hashlib.sha256(text.encode()).hexdigest())
     if key not in _VOCABS:
         _VOCABS[key] = kind(text)

@@ -15,6 +15,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
+#: What a Python worker remembers between tasks, by operator: how to forget it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(operator: str, forget: Callable[[], None]) -> None:
+    """Keep one operator's memory in a worker; what others left from earlier stages goes."""
+    for other in [x for x in _HELD if x != operator]:
+        _HELD.pop(other)()
+    _HELD[operator] = forget
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 

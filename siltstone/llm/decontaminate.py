@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import keep_rows, per_document
+from siltstone.llm.common import hold, keep_rows, per_document
 
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 #: Lower-cases A-Z and turns every byte outside words into a blank.
@@ -190,6 +190,7 @@ class Blocks:
 
     def matcher(self, n: int) -> Matcher:
         """The tables of block ``n``; the worker drops what it held before."""
+        hold("decontaminate", _MATCHER.clear)
         key = f"{self.key}-{n}"
         if key not in _MATCHER:
             _MATCHER.clear()

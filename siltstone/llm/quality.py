@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import keep_rows, per_document, slices
+from siltstone.llm.common import hold, keep_rows, per_document, slices
 
 WORD_BITS, SHAPE_BITS = 18, 17
 LAGS = 4
@@ -90,7 +90,9 @@ class Indicators:
             new = {w for w, x in zip(words, found, strict=True) if x is None}
             if len(self.known) + len(new) > _CACHE_LIMIT:
                 # common words come early, so the oldest ones stay
-                self.known = dict(islice(self.known.items(), _CACHE_LIMIT // 4))
+                kept = list(islice(self.known.items(), _CACHE_LIMIT // 4))
+                self.known.clear()
+                self.known.update(kept)
             fresh = {w: self.one(w) for w in new}
             if len(self.known) + len(fresh) <= _CACHE_LIMIT:
                 self.known |= {w: x for w, x in fresh.items() if len(w) <= _LONGEST}
@@ -214,6 +216,7 @@ def _scorer(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_c
     packed = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, id_col, text_col, label_col))
 
     def score(texts: list[str]) -> list[float]:
+        hold("quality", INDICATORS.known.clear)
         flat = np.frombuffer(packed.value, "<f4")
         return score_texts(texts, flat[:DIM], flat[DIM:-1], float(flat[-1]), INDICATORS)
 

@@ -40,3 +40,16 @@ def test_query_rows(spark):
     ids = Tokenizer.from_file(BYTE).encode("Hello world").ids
     assert out[3].ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
     assert bpe.tokenize(df.limit(0), BYTE).count() == 0
+
+
+def test_long_words_are_not_remembered(monkeypatch):
+    vocab = bpe.ByteBPE(open(BYTE, encoding="utf-8").read())
+    text = "q" * 3000 + " " + "z" * 70 + " short"
+    assert vocab.encode_batch([text]) == vocab.encode_batch([text]) and max(len(w) for w in vocab.known if isinstance(w, str)) <= 64
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    text = "Größe 12,5 km – and so on!\n" * 120_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "2 AS ids_sha256", "3 AS id")
+    row = bpe.tokenize(df, BYTE).first()
+    assert row.decoded == text and row.n_tokens == len(Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids)

@@ -93,3 +93,12 @@ def test_edge_cases(spark):
     assert got[:4] == [(-1, mark, 7), (1, "0" * 16, 1), (2, "0" * 16, 1), (3, "0" * 16, 1)]
     assert got[4:6] == [(7, mark, 7)] * 2
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_long_text_and_hot_fingerprints(spark):
+    long = "one two three four " * 200_000
+    rows = [(n, "" if n % 3 else f"words of document number {n} differ") for n in range(6000)] + [(9000, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fingerprint", "2 AS n", "3 AS root")
+    got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
+    assert len(got) == 6001 and got[9000].fingerprint == f"{brute_fingerprint(long):016x}"
+    assert {got[n].component_id for n in range(6000) if n % 3} == {1}
