@@ -43,8 +43,7 @@ class Engine:
 
     def ingest(self, name: str, docs: DataFrame, size: int = 512, overlap: int = 50, id_col: str = "path", text_col: str = "content") -> None:
         """Chunk, enrich with grade and subject, encode and append documents (id, text, metadata)."""
-        chunks = chunking.fixed_chunks(docs, size, overlap, id_col, text_col).withColumnRenamed("content", "document")
-        base = chunks.join(docs.select(id_col, "metadata"), id_col)
+        base = chunking.fixed_chunks(docs, size, overlap, id_col, text_col, keep=["metadata"]).withColumnRenamed("content", "document")
         hint = F.concat_ws(" ", F.col(id_col).cast("string"), "document")
         own = F.map_filter(
             F.create_map(F.lit("edu_grade"), T.grade_of(hint), F.lit("edu_subject"), T.subject_of(hint), F.lit("chunk_index"), F.col("chunk_index").cast("string")),

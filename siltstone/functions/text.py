@@ -13,20 +13,24 @@ from pyspark.sql.types import DoubleType
 GRADES: dict[str, list[str]] = {
     "PreK": [r"\bpre-?k\b", r"\bpre-?kindergarten\b", r"\bpreschool\b"],
     "K": [r"\bkindergarten\b", r"grade\s*k", "gradek"],
-}
-_ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth"]
-_YEARS = {9: "freshman", 10: "sophomore", 11: "junior", 12: "senior"}
-for _n, _word in enumerate(_ORDINALS, 1):
-    _suffix = {1: "st", 2: "nd", 3: "rd"}.get(_n, "th")
-    GRADES[str(_n)] = [rf"grade\s*{_n}", f"grade{_n}", rf"\b{_word} grade\b", rf"\b{_n}{_suffix} grade\b"]
-    GRADES[str(_n)] += [rf"\b{_YEARS[_n]}\b"] if _n in _YEARS else []
-GRADES |= {
+    "1": [r"grade\s*1", "grade1", r"\bfirst grade\b", r"\b1st grade\b"],
+    "2": [r"grade\s*2", "grade2", r"\bsecond grade\b", r"\b2nd grade\b"],
+    "3": [r"grade\s*3", "grade3", r"\bthird grade\b", r"\b3rd grade\b"],
+    "4": [r"grade\s*4", "grade4", r"\bfourth grade\b", r"\b4th grade\b"],
+    "5": [r"grade\s*5", "grade5", r"\bfifth grade\b", r"\b5th grade\b"],
+    "6": [r"grade\s*6", "grade6", r"\bsixth grade\b", r"\b6th grade\b"],
+    "7": [r"grade\s*7", "grade7", r"\bseventh grade\b", r"\b7th grade\b"],
+    "8": [r"grade\s*8", "grade8", r"\beighth grade\b", r"\b8th grade\b"],
+    "9": [r"grade\s*9", "grade9", r"\bninth grade\b", r"\b9th grade\b", r"\bfreshman\b"],
+    "10": [r"grade\s*10", "grade10", r"\btenth grade\b", r"\b10th grade\b", r"\bsophomore\b"],
+    "11": [r"grade\s*11", "grade11", r"\beleventh grade\b", r"\b11th grade\b", r"\bjunior\b"],
+    "12": [r"grade\s*12", "grade12", r"\btwelfth grade\b", r"\b12th grade\b", r"\bsenior\b"],
     "K-2": [r"\bk-2\b", r"\bearly elementary\b", r"grades\s*k-2"],
     "3-5": [r"\b3-5\b", r"\bupper elementary\b", r"grades\s*3-5"],
     "6-8": [r"\b6-8\b", r"\bmiddle school\b", r"grades\s*6-8"],
     "9-12": [r"\b9-12\b", r"\bhigh school\b", r"grades\s*9-12", r"\bsecondary\b"],
     "College": [r"\bcollege\b", r"\buniversity\b", r"\bundergraduate\b", r"\bpost-secondary\b"],
-}
+}
 
 #: Subject patterns, in order (fixed values).
 SUBJECTS: dict[str, list[str]] = {

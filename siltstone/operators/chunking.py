@@ -7,42 +7,74 @@ and fold over a document's array, one pass per document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ATOMIC = ("table", "equation", "image")
 
 
-def _cut(df: DataFrame, size: int, step: int, count: Column, id_col: str, text_col: str) -> DataFrame:
-    length = F.length(text_col)
-    slots = df.select(id_col, text_col, F.explode(F.sequence(F.lit(0), count - 1)).alias("slot")) if id_col else df
-    start = F.col("slot") * step
-    chunks = slots.select(
-        id_col, start.cast("int").alias("start_index"), F.least(start + size, length).cast("int").alias("end_index"),
-        F.substring(F.col(text_col), (start + 1).cast("int"), F.lit(size)).alias("content"),
-    )
-    solid = chunks.where(F.col("content").rlike(r"(?U)\S"))
-    order = Window.partitionBy(id_col).orderBy("start_index")
-    return solid.withColumn("chunk_index", F.row_number().over(order) - 1)
-
+def _cut(
+    df: DataFrame, size: int, step: int, count: Column, id_col: str, text_col: str, keep: Sequence[str], pages: Column | None
+) -> DataFrame:
+    """Chunks made and numbered inside the row, so nothing is shuffled; ``keep`` names columns to carry along."""
+    # the text in pieces of one step; a chunk lies in the first few from its own
+    width = -(-size // step)
+
+    def chunk(pieces: Column, slot: Column) -> Column:
+        start = (slot * step).cast("int")
+        end = F.least(start + size, F.length(text_col)).cast("int")
+        body = F.substring(F.array_join(F.slice(pieces, slot + 1, F.lit(width)), ""), 1, size)
+        fields = [start.alias("start_index"), end.alias("end_index"), body.alias("content")]
+        return F.struct(*fields, *([_on_pages(pages, start, end).alias("on")] if pages is not None else []))
+
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    chunks = F.transform(F.array(pieces), lambda x: F.transform(F.sequence(F.lit(0), count - 1), lambda slot: chunk(x, slot)))[0]
+    solid = df.select(id_col, *keep, F.filter(chunks, lambda c: c["content"].rlike(r"(?U)\S")).alias("chunks"))
+    each = solid.select(id_col, *keep, F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "c"))
+    made = each.select(id_col, *keep, "c.start_index", "c.end_index", "c.content", "chunk_index", "total_chunks", *(["c.on.*"] if pages is not None else []))
+    return made if keep or pages is not None else made.drop("total_chunks")
+
+
+def _on_pages(pages: Column, start: Column, end: Column) -> Column:
+    """Primary page, all pages and their number of a range, from an array of (page_number, page_start, page_end)."""
+    met = F.filter(pages, lambda p: F.greatest(start, p["page_start"]) < F.least(end, p["page_end"]))
+    shared = F.transform(met, lambda p: F.struct(F.least(end, p["page_end"]) - F.greatest(start, p["page_start"]), (-p["page_number"]).alias("back")))
+    numbers = F.sort_array(F.transform(met, lambda p: p["page_number"]))
+    return F.struct((-F.array_max(shared)["back"]).alias("page_number"), numbers.alias("page_numbers"), F.size(met).alias("pages_spanned"))
+
+
+def fixed_chunks(
+    df: DataFrame, size: int = 512, overlap: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), pages: Column | None = None
+) -> DataFrame:
+    """Chunks of ``size`` with ``overlap``; blank ones are dropped and numbering stays dense.
 
-def fixed_chunks(df: DataFrame, size: int = 512, overlap: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks of ``size`` with ``overlap``; blank ones are dropped and numbering stays dense."""
+    With ``pages``, an array of page boundaries in the row, each chunk gets its primary page, all its pages and their number.
+    """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
     count = F.greatest(F.lit(1), F.ceil((F.length(text_col) - overlap) / F.lit(size - overlap))).cast("int")
-    return _cut(df.where(F.length(text_col) > 0), size, size - overlap, count, id_col, text_col)
+    return _cut(df.where(F.length(text_col) > 0), size, size - overlap, count, id_col, text_col, keep, pages)
 
 
-def sliding_chunks(df: DataFrame, window: int = 512, step: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sliding_chunks(
+    df: DataFrame, window: int = 512, step: int = 256, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), pages: Column | None = None
+) -> DataFrame:
     """Windows that start every ``step``, up to the first that reaches the end."""
     if not 0 < step < window:
         raise ValueError("need 0 < step < window")
     count = F.when(F.length(text_col) <= window, 1).otherwise(F.ceil((F.length(text_col) - window) / F.lit(step)) + 1).cast("int")
-    return _cut(df.where(F.length(text_col) > 0), window, step, count, id_col, text_col)
+    return _cut(df.where(F.length(text_col) > 0), window, step, count, id_col, text_col, keep, pages)
+
+
+def page_boundaries(text: Column, size: int = 1000) -> Column:
+    """Array of (page_number, page_start, page_end): a page every ``size`` characters."""
+    count = F.ceil(F.length(text) / size).cast("int")
+    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda n: F.struct(
+        n.alias("page_number"), ((n - 1) * size).alias("page_start"), F.least(n * size, F.length(text)).alias("page_end")
+    )))
 
 
 def packed_sentences(parts: Column, max_size: int, overlap: int) -> Column:

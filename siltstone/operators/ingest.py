@@ -71,7 +71,9 @@ def chunk_metadata(chunks: DataFrame, base: Column, own: Column, id_col: str = "
     defaults = F.create_map(F.lit("region_type"), F.lit("text"), F.lit("page"), F.lit("0"), F.lit("modality"), F.lit("text"))
     merged = F.map_concat(kept, own)
     rest = F.map_filter(defaults, lambda k, _: ~F.map_contains_key(merged, k))
-    return chunks.withColumn("total_chunks", total).select(
+    # the chunkers know a document's total; others are counted
+    counted = chunks if "total_chunks" in chunks.columns else chunks.withColumn("total_chunks", total)
+    return counted.select(
         F.concat_ws("_", F.col(id_col).cast("string"), F.lit("chunk"), F.col("chunk_index").cast("string")).alias("id"),
         "*", F.map_concat(merged, rest).alias("metadata"),
     )

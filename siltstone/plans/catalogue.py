@@ -152,11 +152,11 @@ def two_stage_search(spark, sf_dir):
 
 
 @query("""
-    SELECT vec_id, array_to_string(list_transform(list_slice(embedding, 1, 4), lambda x: trunc(x::DOUBLE * 127)::INT), ',') AS int8,
-        array_to_string(list_transform(list_slice(embedding, 1, 4), lambda x: trunc((x::DOUBLE + 1) / 2 * 255)::INT), ',') AS uint8,
+    SELECT vec_id, array_to_string(list_transform(embedding, lambda x: trunc(x::DOUBLE * 127)::INT), ',') AS int8,
+        array_to_string(list_transform(embedding, lambda x: trunc((x::DOUBLE + 1) / 2 * 255)::INT), ',') AS uint8,
         len(list_slice(embedding, 1, 32))::INT AS dimension FROM embeddings""")
 def quantized_vectors(spark, sf_dir):
-    short = V.truncated(F.col("embedding"), 4)
+    short = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.array_join(V.to_int8(short).cast("array<string>"), ",").alias("int8"),
         F.array_join(V.to_uint8(short).cast("array<string>"), ",").alias("uint8"),
@@ -289,7 +289,8 @@ _PAGES = """p AS (SELECT doc_id, n AS page_number, (n - 1) * 1000 AS page_start,
         string_agg(page_number::VARCHAR, ',' ORDER BY page_number) AS page_numbers FROM r GROUP BY doc_id, chunk_index""")
 def page_attribution(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = chunking.attribute_pages(chunking.fixed_chunks(docs, 512, 64), chunking.pages_of_length(docs))
+    found = chunking.fixed_chunks(docs, 512, 64, pages=chunking.page_boundaries(F.col("text")))
+    found = found.select("doc_id", "chunk_index", "page_number", "pages_spanned", "page_numbers")
     return found.withColumn("page_numbers", F.array_join(F.col("page_numbers").cast("array<string>"), ","))
 
 
@@ -297,7 +298,7 @@ def page_attribution(spark, sf_dir):
     FROM k JOIN documents USING (doc_id) GROUP BY lang""")
 def chunk_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    chunks = chunking.fixed_chunks(docs, 512, 64).join(docs.select("doc_id", "lang"), "doc_id")
+    chunks = chunking.fixed_chunks(docs, 512, 64, keep=["lang"])
     return chunks.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg(F.length("content")), 4).alias("avg_chars")
     )
@@ -704,7 +705,7 @@ def slowest_events(spark, sf_dir):
     FROM n JOIN documents USING (doc_id)""")
 def ingested_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    chunks = chunking.fixed_chunks(docs, 512, 64).join(docs.select("doc_id", "source"), "doc_id")
+    chunks = chunking.fixed_chunks(docs, 512, 64, keep=["source"])
     own = F.when(F.col("chunk_index") == 0, F.create_map(F.lit("region_type"), F.lit("title"))).otherwise(F.create_map().cast("map<string,string>"))
     found = ingest.chunk_metadata(chunks, F.create_map(F.lit("source"), "source", F.lit("region_type"), F.lit("text")), own)
     m = F.col("metadata")

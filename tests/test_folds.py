@@ -8,32 +8,50 @@ from pyspark.sql import functions as F
 from siltstone.operators import chunking, metrics, numbering, regions
 
 
-def sentence_loop(parts, most, overlap):
-    out, cur, size, pos = [], [], 0, 0
-    for s in parts:
-        if size + len(s) > most and cur:
-            out.append((" ".join(cur), pos - size, pos, len(cur)))
-            cur = cur[-overlap:] if overlap else []
-            size = sum(map(len, cur)) + len(cur) - 1
-        cur = [*cur, s]
-        size += len(s) + (1 if size > 0 else 0)
-        pos += len(s) + 1
-    if cur:
-        out.append((" ".join(cur), pos - size, pos, len(cur)))
-    return out
-
-
-def test_sentence_chunks(spark):
+def test_sentence_chunks_by_hand(spark):
+    """Worked by hand: sentences of 4, 6 and 3 characters; without overlap a new chunk's size starts at -1."""
+    df = spark.createDataFrame([(1, "aaa. bbbbb. cc."), (2, ""), (3, "one")], "doc_id long, text string")
+
+    def got(most, overlap):
+        rows = chunking.sentence_chunks(df, most, overlap).orderBy("doc_id", "chunk_index").collect()
+        return [(r.doc_id, r.chunk_index, r.content, r.start_index, r.end_index, r.sentence_count) for r in rows]
+
+    assert got(100, 1) == [(1, 0, "aaa. bbbbb. cc.", 1, 16, 3), (3, 0, "one", 1, 4, 1)]
+    assert got(11, 0) == [(1, 0, "aaa. bbbbb.", 1, 12, 2), (1, 1, "cc.", 14, 16, 1), (3, 0, "one", 1, 4, 1)]
+    assert got(11, 1) == [(1, 0, "aaa. bbbbb.", 1, 12, 2), (1, 1, "bbbbb. cc.", 6, 16, 2), (3, 0, "one", 1, 4, 1)]
+
+
+def test_sentence_chunks_keep_their_promises(spark):
     rng = random.Random(1)
     texts = [" ".join("x" * rng.randint(1, 40) + rng.choice(".!?") for _ in range(rng.randint(0, 30))) for _ in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for most, overlap in ((60, 1), (60, 0), (10, 2), (200, 3)):
-        got = {}
+        chunks = {}
         for r in chunking.sentence_chunks(df, most, overlap).orderBy("doc_id", "chunk_index").collect():
-            got.setdefault(r.doc_id, []).append((r.content, r.start_index, r.end_index, r.sentence_count))
-        for n, t in enumerate(texts):
-            parts = [s.strip() for s in re.split(r"(?<=[.!?])\s+", t) if s.strip()]
-            assert got.get(n, []) == sentence_loop(parts, most, overlap)
+            chunks.setdefault(r.doc_id, []).append(r)
+        for n, text in enumerate(texts):
+            whole, seen = [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()], []
+            for i, r in enumerate(chunks.get(n, [])):
+                parts = r.content.split(" ")
+                assert r.chunk_index == i and r.sentence_count == len(parts)
+                repeated = min(overlap, len(chunks[n][i - 1].content.split(" "))) if i else 0
+                assert not i or parts[:repeated] == chunks[n][i - 1].content.split(" ")[-repeated or len(parts) + 999 :]
+                seen += parts[repeated:]
+                # the check leaves out the last separator; only a repeated tail or a long sentence goes further
+                assert len(r.content) <= most + 1 or len(parts) <= overlap + 1
+                # positions advance by each new sentence and one separator
+                assert r.end_index == sum(len(x) + 1 for x in seen)
+            assert seen == whole
+
+
+def test_chunks_of_repeated_ids_are_numbered_apart(spark):
+    rows = [(1, "a" * 900, "x"), (1, "b" * 900, "y"), (2, " " * 448 + "é" * 100, "z"), (3, "", "w"), (4, None, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((r.lang, r.chunk_index, r.start_index, r.end_index, r.content[0], len(r.content), r.total_chunks) for r in chunking.fixed_chunks(df, 512, 64, keep=["lang"]).collect())
+    assert got == [("x", 0, 0, 512, "a", 512, 2), ("x", 1, 448, 900, "a", 452, 2), ("y", 0, 0, 512, "b", 512, 2), ("y", 1, 448, 900, "b", 452, 2),
+                   ("z", 0, 0, 512, " ", 512, 2), ("z", 1, 448, 548, "é", 100, 2)]
+    plan = chunking.fixed_chunks(df, 512, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def region_loop(rows, most):
