@@ -23,15 +23,17 @@ def _cut(
     # the text in pieces of one step; a chunk lies in the first few from its own
     width = -(-size // step)
 
-    def chunk(pieces: Column, slot: Column) -> Column:
+    def chunk(row: Column, slot: Column) -> Column:
         start = (slot * step).cast("int")
-        end = F.least(start + size, F.length(text_col)).cast("int")
-        body = F.substring(F.array_join(F.slice(pieces, slot + 1, F.lit(width)), ""), 1, size)
+        end = F.least(start + size, row["length"]).cast("int")
+        body = F.substring(F.array_join(F.slice(row["pieces"], slot + 1, F.lit(width)), ""), 1, size)
         fields = [start.alias("start_index"), end.alias("end_index"), body.alias("content")]
-        return F.struct(*fields, *([_on_pages(pages, start, end).alias("on")] if pages is not None else []))
+        return F.struct(*fields, *([_on_pages(row["pages"], start, end).alias("on")] if pages is not None else []))
 
+    # what all chunks of a row need is computed once, as a variable
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-    chunks = F.transform(F.array(pieces), lambda x: F.transform(F.sequence(F.lit(0), count - 1), lambda slot: chunk(x, slot)))[0]
+    row = F.struct(pieces.alias("pieces"), F.length(text_col).alias("length"), *([pages.alias("pages")] if pages is not None else []))
+    chunks = F.transform(F.array(row), lambda x: F.transform(F.sequence(F.lit(0), count - 1), lambda slot: chunk(x, slot)))[0]
     solid = df.select(id_col, *keep, F.filter(chunks, lambda c: c["content"].rlike(r"(?U)\S")).alias("chunks"))
     each = solid.select(id_col, *keep, F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "c"))
     made = each.select(id_col, *keep, "c.start_index", "c.end_index", "c.content", "chunk_index", "total_chunks", *(["c.on.*"] if pages is not None else []))
@@ -40,10 +42,14 @@ def _cut(
 
 def _on_pages(pages: Column, start: Column, end: Column) -> Column:
     """Primary page, all pages and their number of a range, from an array of (page_number, page_start, page_end)."""
-    met = F.filter(pages, lambda p: F.greatest(start, p["page_start"]) < F.least(end, p["page_end"]))
-    shared = F.transform(met, lambda p: F.struct(F.least(end, p["page_end"]) - F.greatest(start, p["page_start"]), (-p["page_number"]).alias("back")))
-    numbers = F.sort_array(F.transform(met, lambda p: p["page_number"]))
-    return F.struct((-F.array_max(shared)["back"]).alias("page_number"), numbers.alias("page_numbers"), F.size(met).alias("pages_spanned"))
+    def of(met: Column) -> Column:
+        shared = F.transform(met, lambda p: F.struct(F.least(end, p["page_end"]) - F.greatest(start, p["page_start"]), (-p["page_number"]).alias("back")))
+        first = F.when(F.size(met) < 2, F.get(met, 0)["page_number"]).otherwise(-F.array_max(shared)["back"])
+        numbers = F.transform(met, lambda p: p["page_number"])
+        return F.struct(first.alias("page_number"), F.when(F.size(met) < 2, numbers).otherwise(F.sort_array(numbers)).alias("page_numbers"), F.size(met).alias("pages_spanned"))
+
+    met = F.filter(pages, lambda p: (p["page_start"] < end) & (p["page_end"] > start) & (p["page_start"] < p["page_end"]))
+    return F.transform(F.array(met), of)[0]
 
 
 def fixed_chunks(
@@ -69,6 +75,17 @@ def sliding_chunks(
     return _cut(df.where(F.length(text_col) > 0), window, step, count, id_col, text_col, keep, pages)
 
 
+def on_regular_pages(chunks: DataFrame, size: int = 1000) -> DataFrame:
+    """Chunks with their primary page, all pages and their number, if a page has ``size`` characters: no boundaries are looked up."""
+    first, last = F.floor(F.col("start_index") / size).cast("int") + 1, F.floor((F.col("end_index") - 1) / size).cast("int") + 1
+    on_first = F.least(F.col("end_index"), first * size) - F.col("start_index")
+    rest = F.least(F.col("end_index") - first * size, F.lit(size))
+    return chunks.select(
+        "*", F.when((first == last) | (on_first >= rest), first).otherwise(first + 1).alias("page_number"),
+        F.sequence(first, last).alias("page_numbers"), (last - first + 1).alias("pages_spanned"),
+    )
+
+
 def page_boundaries(text: Column, size: int = 1000) -> Column:
     """Array of (page_number, page_start, page_end): a page every ``size`` characters."""
     count = F.ceil(F.length(text) / size).cast("int")

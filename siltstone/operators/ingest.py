@@ -72,7 +72,7 @@ def chunk_metadata(chunks: DataFrame, base: Column, own: Column, id_col: str = "
     merged = F.map_concat(kept, own)
     rest = F.map_filter(defaults, lambda k, _: ~F.map_contains_key(merged, k))
     # the chunkers know a document's total; others are counted
-    counted = chunks if "total_chunks" in chunks.columns else chunks.withColumn("total_chunks", total)
+    counted = chunks.withColumn("total_chunks", F.col("total_chunks").cast("long") if "total_chunks" in chunks.columns else total)
     return counted.select(
         F.concat_ws("_", F.col(id_col).cast("string"), F.lit("chunk"), F.col("chunk_index").cast("string")).alias("id"),
         "*", F.map_concat(merged, rest).alias("metadata"),

@@ -289,7 +289,7 @@ _PAGES = """p AS (SELECT doc_id, n AS page_number, (n - 1) * 1000 AS page_start,
         string_agg(page_number::VARCHAR, ',' ORDER BY page_number) AS page_numbers FROM r GROUP BY doc_id, chunk_index""")
 def page_attribution(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = chunking.fixed_chunks(docs, 512, 64, pages=chunking.page_boundaries(F.col("text")))
+    found = chunking.on_regular_pages(chunking.fixed_chunks(docs, 512, 64))
     found = found.select("doc_id", "chunk_index", "page_number", "pages_spanned", "page_numbers")
     return found.withColumn("page_numbers", F.array_join(F.col("page_numbers").cast("array<string>"), ","))
 
@@ -776,3 +776,6 @@ def box_pairs(spark, sf_dir):
     pairs = boxed.where(V.box_valid(F.col("box"))).join(other, "doc_id").where("n < second")
     a, b = F.col("box"), F.col("other")
     return pairs.select("doc_id", F.col("n").alias("first"), "second", F.round(V.box_iou(a, b), 6).alias("iou"), V.box_contains(a, b).alias("contains"), V.box_overlaps(a, b).alias("overlaps"))
+
+
+import siltstone.plans.records  # noqa: E402,F401  registers its queries with these

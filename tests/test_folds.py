@@ -44,6 +44,19 @@ def test_sentence_chunks_keep_their_promises(spark):
             assert seen == whole
 
 
+def test_three_ways_to_pages_agree(spark):
+    rng = random.Random(6)
+    rows = [(n, "y" * rng.randint(1, 900)) for n in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, overlap, page in ((100, 10, 37), (30, 0, 100), (64, 60, 64)):
+        chunks = chunking.fixed_chunks(df, size, overlap)
+        key = ["doc_id", "chunk_index", "page_number", "page_numbers", "pages_spanned"]
+        joined = sorted(map(tuple, chunking.attribute_pages(chunks, chunking.pages_of_length(df, page)).select(key).collect()))
+        inside = chunking.fixed_chunks(df, size, overlap, pages=chunking.page_boundaries(F.col("text"), page))
+        assert joined == sorted(map(tuple, inside.select(key).collect()))
+        assert joined == sorted(map(tuple, chunking.on_regular_pages(chunks, page).select(key).collect()))
+
+
 def test_chunks_of_repeated_ids_are_numbered_apart(spark):
     rows = [(1, "a" * 900, "x"), (1, "b" * 900, "y"), (2, " " * 448 + "é" * 100, "z"), (3, "", "w"), (4, None, "v")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
