@@ -1,12 +1,14 @@
 """Document sources: files to rows, by suffix; offices formats through the standard library.
 
-Every loader gives (path, content, format, metadata, error).  A file that
-cannot be read is a row with its error, never a failed job.
+Every loader gives (path, content, format, metadata, pages, error).  ``pages`` are the boundaries of a
+PDF's pages or a presentation's slides in the content.  A file that cannot be read is a row with its
+error, never a failed job.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 DOCUMENTS = (".pdf", ".docx", ".pptx", ".txt", ".md", ".markdown")
 IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".webp")
 MAX_DOCUMENT, MAX_IMAGE = 1 << 30, 100 << 20
-SCHEMA = "path string, content string, format string, metadata map<string,string>, error string"
+SCHEMA = "path string, content string, format string, metadata map<string,string>, pages array<struct<page_number:int,start_index:int,end_index:int>>, error string"
 
-_LOADERS: list[tuple[tuple[str, ...], Callable[[bytes], tuple[str, str, dict]]]] = []
+#: bytes to (content, format, metadata), with the page boundaries as a fourth value if there are any
+Loader = Callable[[bytes], tuple]
+_LOADERS: list[tuple[tuple[str, ...], Loader]] = []
 
 
 def suffix(path: Column) -> Column:
@@ -46,12 +50,31 @@ def checked(found: DataFrame) -> DataFrame:
     return found.withColumn("error", reason)
 
 
-def register(suffixes: tuple[str, ...], load: Callable[[bytes], tuple[str, str, dict]]) -> None:
-    """Add a loader: bytes to (content, format, metadata); earlier ones win."""
+def register(suffixes: tuple[str, ...], load: Loader) -> None:
+    """Add a loader; earlier ones win."""
     _LOADERS.append((tuple(s.lower() for s in suffixes), load))
 
 
-def _plain(name: str) -> Callable[[bytes], tuple[str, str, dict]]:
+def joined_pages(texts: list[str]) -> tuple[str, list[dict]]:
+    """Page texts joined by a blank line, and where each of them lies."""
+    pages, at = [], 0
+    for n, text in enumerate(texts, 1):
+        pages.append({"page_number": n, "start_index": at, "end_index": at + len(text)})
+        at += len(text) + 2
+    return "\n\n".join(texts), pages
+
+
+def _properties(z: zipfile.ZipFile) -> dict:
+    """Title, author and times of an office file; empty ones are left out."""
+    names = {"title": "title", "creator": "author", "created": "created", "modified": "modified"}
+    if "docProps/core.xml" not in z.namelist():
+        return {}
+    root = ElementTree.fromstring(z.read("docProps/core.xml"))
+    found = {names[t]: e.text for e in root.iter() if (t := e.tag.rsplit("}", 1)[-1]) in names and e.text}
+    return {k: v.strip() for k, v in found.items() if v.strip()}
+
+
+def _plain(name: str) -> Loader:
     return lambda data: (data.decode("utf-8"), name, {})
 
 
@@ -59,37 +82,46 @@ def _words(node: ElementTree.Element, tag: str) -> str:
     return "".join(t.text or "" for t in node.iter() if t.tag.endswith(tag))
 
 
-def _docx(data: bytes) -> tuple[str, str, dict]:
+def _docx(data: bytes) -> tuple:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
+        root, more = ElementTree.fromstring(z.read("word/document.xml")), _properties(z)
     paragraphs = [_words(p, "}t") for p in root.iter() if p.tag.endswith("}p")]
     solid = [p for p in paragraphs if p.strip()]
-    return "\n\n".join(solid), "docx", {"paragraph_count": str(len(solid))}
+    return "\n\n".join(solid), "docx", {"paragraph_count": str(len(solid)), **more}
 
 
-def _pptx(data: bytes) -> tuple[str, str, dict]:
-    slides = []
+def _pptx(data: bytes) -> tuple:
+    slides, described = [], []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
+        more = _properties(z)
         names = [n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)]
         for n, name in enumerate(sorted(names, key=lambda x: int(re.findall(r"\d+", x)[-1])), 1):
             root = ElementTree.fromstring(z.read(name))
-            parts = []
+            parts, shapes = [], 0
             for shape in root.iter():
+                shapes += shape.tag.endswith(("}sp", "}pic", "}graphicFrame"))
                 if shape.tag.endswith("}sp"):
                     parts.append("\n".join(_words(p, "}t") for p in shape.iter() if p.tag.endswith("}p")))
                 elif shape.tag.endswith("}tr"):
                     parts.append(" | ".join(_words(c, "}t") for c in shape if c.tag.endswith("}tc")))
-            slides.append(f"--- Slide {n} ---\n" + "\n".join(p for p in parts if p.strip()))
-    return "\n\n".join(slides), "pptx", {"slide_count": str(len(slides))}
+            body = "\n".join(p for p in parts if p.strip())
+            slides.append(f"--- Slide {n} ---\n" + body)
+            described.append({"slide_number": n, "shape_count": shapes, "text_length": len(body)})
+    content, pages = joined_pages(slides)
+    total = sum(d["shape_count"] for d in described)
+    return content, "pptx", {"slide_count": str(len(slides)), "total_shapes": str(total), "slides": json.dumps(described), **more}, pages
 
 
-def _pdf(data: bytes) -> tuple[str, str, dict]:
+def _pdf(data: bytes) -> tuple:
     try:
         from pypdf import PdfReader
     except ImportError as e:
         raise RuntimeError("reading PDF needs pypdf") from e
-    pages = [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
-    return "\n\n".join(pages), "pdf", {"page_count": str(len(pages))}
+    reader = PdfReader(io.BytesIO(data))
+    content, pages = joined_pages([p.extract_text() or "" for p in reader.pages])
+    about = reader.metadata or {}
+    more = {k: str(about.get(f"/{k.capitalize()}") or "") for k in ("title", "author", "creator", "producer", "subject")} if about else {}
+    return content, "pdf", {"page_count": str(len(pages)), **more}, pages
 
 
 register((".txt",), _plain("text"))
@@ -111,27 +143,28 @@ def loaded(found: DataFrame) -> DataFrame:
                 try:
                     if load is None:
                         raise ValueError("no loader for this format")
-                    content, kind, metadata = load(bytes(data))
+                    content, kind, metadata, *pages = load(bytes(data))
                     if not content.strip():
                         raise ValueError("no content")
-                    rows.append((path, content, kind, {"source": path, **metadata}, None))
+                    rows.append((path, content, kind, {"source": path, **metadata}, pages[0] if pages else None, None))
                 except Exception as e:  # noqa: BLE001  the row carries the error
-                    rows.append((path, None, None, {"source": path}, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "content", "format", "metadata", "error"])
+                    rows.append((path, None, None, {"source": path}, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "content", "format", "metadata", "pages", "error"])
 
     return found.select("path", "content").mapInPandas(run, SCHEMA)
 
 
 def page_rows(docs: DataFrame, key: str = "path") -> DataFrame:
-    """Pages of loaded contents (joined by blank lines) with their boundaries."""
-    pages = docs.select(key, F.posexplode(F.split("content", "\n\n")).alias("page", "content"))
-    from pyspark.sql import Window
-
-    before = F.sum(F.length("content") + 2).over(Window.partitionBy(key).orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
-    start = F.coalesce(before, F.lit(0))
-    return pages.select(
-        key, (F.col("page") + 1).alias("page_number"), start.alias("start_index"), (start + F.length("content")).alias("end_index"), "content"
-    )
+    """Pages of loaded contents by their boundaries; a content without any is cut at its blank lines."""
+    def step(acc: Column, part: Column) -> Column:
+        start = F.coalesce(F.get(acc, F.size(acc) - 1)["end_index"] + 2, F.lit(0))
+        return F.concat(acc, F.array(F.struct((F.size(acc) + 1).alias("page_number"), start.alias("start_index"), (start + F.length(part)).alias("end_index"))))
+
+    empty = F.array().cast("array<struct<page_number:int,start_index:int,end_index:int>>")
+    parts = F.aggregate(F.split("content", "\n\n"), empty, step)
+    pages = docs.where("content IS NOT NULL").select(key, "content", F.explode(F.coalesce("pages", parts)).alias("p"))
+    body = F.substring(F.col("content"), F.col("p.start_index") + 1, F.col("p.end_index") - F.col("p.start_index"))
+    return pages.select(key, "p.page_number", "p.start_index", "p.end_index", body.alias("content"))
 
 
 def query_set(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import zipfile
 
 import pytest
@@ -67,6 +68,26 @@ def test_loaders(spark, tmp_path):
     assert [(p.page_number, p.start_index, p.end_index) for p in pages] == [(1, 0, 7), (2, 9, 14)]
 
 
+def test_pages_and_properties(spark, tmp_path):
+    core = "<title>My deck</title><creator>A. N.</creator><created>2024-01-02T03:04:05Z</created><modified> </modified>"
+    slide = "<p:sp><a:p><a:t>First</a:t></a:p><a:p><a:t> line</a:t></a:p></p:sp><p:pic/>"
+    office(tmp_path / "s.pptx", {"ppt/slides/slide2.xml": "<p:sp><a:p><a:t>Two</a:t></a:p></p:sp>", "ppt/slides/slide1.xml": slide, "docProps/core.xml": core})
+    office(tmp_path / "d.docx", {"word/document.xml": "<w:p><w:t>One</w:t></w:p>", "docProps/core.xml": core})
+    got = {r.path.rsplit("/")[-1]: r for r in loaders.loaded(loaders.files(spark, f"file://{tmp_path}")).collect()}
+    m = got["s.pptx"].metadata
+    assert m["title"] == "My deck" and m["author"] == "A. N." and m["created"].startswith("2024") and "modified" not in m
+    assert m["slide_count"] == "2" and m["total_shapes"] == "3" and json.loads(m["slides"])[0] == {"slide_number": 1, "shape_count": 2, "text_length": 11}
+    assert got["d.docx"].metadata["author"] == "A. N." and got["d.docx"].pages is None
+    pages = loaders.page_rows(loaders.loaded(loaders.files(spark, f"file://{tmp_path}", "*.pptx"))).orderBy("page_number").collect()
+    assert [p.content for p in pages] == ["--- Slide 1 ---\nFirst\n line", "--- Slide 2 ---\nTwo"]
+    assert all(got["s.pptx"].content[p.start_index : p.end_index] == p.content for p in pages)
+    # a page may hold blank lines of its own
+    content, where = loaders.joined_pages(["a\n\nb", "", "c"])
+    assert [content[w["start_index"] : w["end_index"]] for w in where] == ["a\n\nb", "", "c"]
+    df = spark.createDataFrame([("x", content, where)], "path string, content string, pages array<struct<page_number:int,start_index:int,end_index:int>>")
+    assert [p.content for p in loaders.page_rows(df).orderBy("page_number").collect()] == ["a\n\nb", "", "c"]
+
+
 def test_query_set(spark, tmp_path):
     (tmp_path / "q.json").write_text('{"categories": {"a": {"description": "d", "queries": ["1", "2"]}, "b": {"queries": ["3"]}}}')
     assert sorted(r.query for r in loaders.query_set(spark, f"file://{tmp_path}/q.json").collect()) == ["1", "2", "3"]
