@@ -125,8 +125,8 @@ class Merger:
 class ByteBPE:
     """A byte-level BPE vocabulary read from a tokenizer file's JSON text."""
 
-    #: Words that are remembered at most, about 200 bytes each in every worker; longer ones than ``longest`` are not.
-    remembered, longest = 300_000, 64
+    #: Words that are remembered at most, about 200 bytes each in every worker, and all their characters.
+    remembered, characters = 400_000, 16 << 20
 
     def __init__(self, text: str) -> None:
         spec = json.loads(text)
@@ -149,6 +149,7 @@ class ByteBPE:
         self.sizes = np.array([len(p) for p in pieces], np.int64)
         self.marks = {(t,): i.to_bytes(4, "little") for t, i in self.specials.items()}
         self.known: dict = dict(self.marks)
+        self.weight = 0
         low = {k: latin_class(p) for k, p in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
         plain, full = self.patterns(low)
         self.fast, self.general = re.compile(plain).findall, regex.compile(full).findall
@@ -205,19 +206,19 @@ class ByteBPE:
             if None in ids:
                 new.update([w for w, i in zip(plan, ids, strict=True) if i is None])
         if new:
-            if len(self.known) + len(new) > self.remembered:
-                # common words come early, so the oldest ones stay
-                self.known = self.marks | dict(islice(self.known.items(), self.remembered // 4))
-                new -= self.known.keys()
+            self.weight += sum(map(len, new))
+            if len(self.known) + len(new) > self.remembered or self.weight > self.characters:
+                # common words come early, so the oldest short ones stay
+                kept = islice(((w, i) for w, i in self.known.items() if len(w) <= 64), self.remembered // 4)
+                self.known = self.marks | dict(kept)
+                new = {w for plan in plans for w in plan} - self.known.keys()
+                self.weight = sum(map(len, self.known)) + sum(map(len, new))
             self.learn(list(new))
             get = self.known.get
             found = [
                 [get(w) if i is None else i for w, i in zip(plan, ids, strict=True)] if None in ids else ids
                 for plan, ids in zip(plans, found, strict=True)
             ]
-            for w in new:
-                if len(w) > self.longest:
-                    del self.known[w]
         return [b"".join(ids) for ids in found]
 
     def decode(self, ids: bytes) -> str:

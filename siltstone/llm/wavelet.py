@@ -256,7 +256,7 @@ def write_shards(
 
     path = shared_path(spark, "shards")
     made = dealt.mapInArrow(encode, "part int, shard long, n_tokens long, n_docs long, data binary")
-    made.write.option("compression", "none").option("maxRecordsPerFile", 1).parquet(path)
+    made.write.option("compression", "none").option("maxRecordsPerFile", 1).option("parquet.enable.dictionary", "false").parquet(path)
     return path
 
 

@@ -42,10 +42,15 @@ def test_query_rows(spark):
     assert bpe.tokenize(df.limit(0), BYTE).count() == 0
 
 
-def test_long_words_are_not_remembered(monkeypatch):
+def test_remembered_characters_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe.ByteBPE, "characters", 5000)
     vocab = bpe.ByteBPE(open(BYTE, encoding="utf-8").read())
-    text = "q" * 3000 + " " + "z" * 70 + " short"
-    assert vocab.encode_batch([text]) == vocab.encode_batch([text]) and max(len(w) for w in vocab.known if isinstance(w, str)) <= 64
+    library = Tokenizer.from_file(BYTE)
+    for n in range(30):
+        text = f"{'q' * (900 + n)} {'z' * 70}{n} short {n} <|endoftext|>"
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert vocab.encode_batch([text]) == [b"".join(i.to_bytes(4, "little") for i in ids)]
+        assert sum(map(len, vocab.known)) < 7000
 
 
 def test_very_long_text_and_clashing_columns(spark):
