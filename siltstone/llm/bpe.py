@@ -77,11 +77,11 @@ class Merger:
                 ready.append((np.full(len(merged), w), merged))
             short = ~np.isin(word, long)
             symbols, word = symbols[short], word[short]
+        rank = np.full(len(symbols), self.none)
+        at = np.flatnonzero(word[1:] == word[:-1])
+        rank[at] = self.ranks(symbols[at], symbols[at + 1])
         while len(symbols):
-            inside = word[1:] == word[:-1]
-            rank = np.full(len(symbols), self.none)
-            rank[:-1][inside] = self.ranks(symbols[:-1][inside], symbols[1:][inside])
-            starts = np.flatnonzero(np.concatenate([[True], ~inside]))
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             counts = np.diff(np.concatenate([starts, [len(symbols)]]))
             low = np.repeat(np.minimum.reduceat(rank, starts), counts)
             going = low < self.none
@@ -92,9 +92,17 @@ class Merger:
             first = merge & ~np.concatenate([[False], merge[:-1]])
             at = np.arange(len(merge))
             merge &= (at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0
-            symbols = np.where(merge, self.merged[np.where(merge, rank, 0)], symbols)
-            keep = ~np.concatenate([[False], merge[:-1]])[: len(merge)]
-            symbols, word = symbols[keep], word[keep]
+            at = np.flatnonzero(merge)
+            symbols[at] = self.merged[rank[at]]
+            keep = np.ones(len(merge), bool)
+            keep[at + 1] = False
+            symbols, word, rank, merge = symbols[keep], word[keep], rank[keep], merge[keep]
+            # only the pairs on either side of a merged symbol are looked up again
+            stale = merge.copy()
+            stale[:-1] |= merge[1:]
+            rank[stale] = self.none
+            at = np.flatnonzero(stale[:-1] & (word[1:] == word[:-1]))
+            rank[at] = self.ranks(symbols[at], symbols[at + 1])
         word, symbols = (np.concatenate(x) for x in zip(*ready, strict=True))
         order = np.argsort(word, kind="stable")
         return symbols[order], np.bincount(word, minlength=len(sizes))
