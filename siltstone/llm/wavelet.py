@@ -299,7 +299,9 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", end_i
                 columns += [pa.array(starts), pa.array(shard.lengths), pa.array(crc, pa.int64()), pa.array(marks)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    docs = shards.select("part", "shard", "data").mapInArrow(
+    # a task reads several files, as starting one costs more than a shard
+    tasks = max(spark.sparkContext.defaultParallelism, -(-shards.count() // 16))
+    docs = shards.select("part", "shard", "data").coalesce(tasks).mapInArrow(
         decode, "part int, shard long, id long, local long, n_tokens long, ids_crc32 long, n_end_ids long"
     )
     return docs.join(offsets, ["part", "shard"]).select(
