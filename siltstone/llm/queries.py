@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontaminate, html, jpeg, pii, quality, secrets, sharding, simhash, wavelet
+from siltstone.llm import bpe, decontaminate, html, jpeg, lexical, pii, quality, secrets, sharding, simhash, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,11 +66,15 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("values")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_page_differencing, op3_jpeg_media, op4_wavelet_shards, op5_byte_bpe, op6_rendezvous_shards, op7_nbsvm_quality,
-        op8_wu_manber_decontamination, op9_simhash_near_dedup, op10_weak_pii,
+        op8_wu_manber_decontamination, op9_simhash_near_dedup, op10_weak_pii, op13_lexical_search,
     )
 }
 
@@ -91,4 +95,14 @@ ORACLE_SQL: dict[str, str] = {
     SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
         sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op13_lexical_search": f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, w, len(w)::BIGINT AS n FROM (SELECT doc_id, {_FOLDED} AS w FROM documents) WHERE len(w) > 0),
+    s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM d),
+    q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_FOLDED}) AS t FROM benchmark)),
+    tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+    w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, s GROUP BY t),
+    p AS (SELECT tf.r, doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) AS part FROM tf JOIN w USING (t) JOIN d USING (r), s),
+    k AS (SELECT item_id, doc_id, r, sum(part)::BIGINT AS score FROM p JOIN q USING (t) GROUP BY item_id, doc_id, r HAVING sum(part) > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM
+        (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM k) WHERE rank <= 50""",
 }
