@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontaminate, html, jpeg, lexical, pii, quality, secrets, sharding, simhash, wavelet
+from siltstone.llm import bpe, decontaminate, dialogue, html, jpeg, lexical, pii, quality, secrets, sharding, simhash, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("values")
 
 
+def op12_dijkstra_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialogue.damaged(table(spark, sf_dir, "conversations"))
+    return dialogue.repair_conversations(rows, copies=F.col("copies"), messages=False)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,12 +79,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_page_differencing, op3_jpeg_media, op4_wavelet_shards, op5_byte_bpe, op6_rendezvous_shards, op7_nbsvm_quality,
-        op8_wu_manber_decontamination, op9_simhash_near_dedup, op10_weak_pii, op13_lexical_search,
+        op8_wu_manber_decontamination, op9_simhash_near_dedup, op10_weak_pii, op12_dijkstra_repair, op13_lexical_search,
     )
 }
 
 _FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_SPACE = "\\x20\\x09-\\x0D"
+
+
+def _edit(key: str, cost: str, letter: str) -> str:
+    """SQL of a key (nine digits of cost, then the audit) after one more edit."""
+    return f"lpad((left({key}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({key}, 10) || '{letter}'"
+
+
+def _to(key: str, role: str) -> str:
+    """SQL of a key after the row was kept or reroled to ``role``; null where only deleting it helps."""
+    return f"CASE WHEN o.fault IN (1, 2) THEN NULL WHEN left(o.role, 1) = '{role}' THEN {_edit(key, 'late', 'K')} ELSE {_edit(key, '2 + late', 'R')} END"
+
+
+#: A dynamic programme over the rows of a conversation, state by state, beside the operator's search by cost.
+_REPAIR = f"""
+    WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(4294967295, list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT),
+            lambda a, b: list_reduce(generate_series(0::BIGINT, 7::BIGINT), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b)), 4294967295::BIGINT)) % 20 AS kind FROM conversations),
+    d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(generate_series(1, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+    k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM d),
+    o AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{_SPACE}]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 2
+        WHEN NOT regexp_matches(text, '[.!?][{_SPACE}]*\\z') THEN 3 ELSE 0 END AS fault,
+        left(lag(role) OVER (PARTITION BY conv_id ORDER BY k), 1) || left(role, 1) AS pair FROM k),
+    r AS (SELECT conv_id, 0::BIGINT AS k, '000000000' AS p0, NULL::VARCHAR AS ps, '000000002I' AS pu, '000000004II' AS pa FROM (SELECT DISTINCT conv_id FROM k)
+      UNION ALL SELECT conv_id, k, n0, ns, u, least(na, {_edit("u", "2", "I")}) FROM
+        (SELECT *, least(nu, {_edit("n0", "2", "I")}, {_edit("ns", "2", "I")}, {_edit("na", "2", "I")}) AS u FROM
+          (SELECT conv_id, k, {_edit("p0", "3", "D")} AS n0,
+            least({_edit("ps", "3", "D")}, CASE WHEN fault NOT IN (1, 2) AND left(role, 1) = 's' THEN {_edit("p0", "late", "K")} END) AS ns,
+            least({_edit("pu", "3", "D")}, {_to("p0", "u")}, {_to("ps", "u")}, {_to("pa", "u")}) AS nu,
+            least({_edit("pa", "3", "D")}, {_to("pu", "a")}) AS na FROM
+            (SELECT o.conv_id, o.k, o.role, o.fault, (o.fault = 3)::INT AS late, p0, ps, pu, pa FROM r JOIN o ON o.conv_id IS NOT DISTINCT FROM r.conv_id AND o.k = r.k + 1) o))),
+    f AS (SELECT conv_id, left(key, 9)::BIGINT AS cost, substr(key, 10) AS audit FROM (SELECT conv_id, arg_max(least(p0, pa), k) AS key FROM r GROUP BY conv_id)),
+    e AS (SELECT conv_id, audit, unnest(generate_series(1, length(audit))) AS j FROM f),
+    x AS (SELECT conv_id, j, audit[j] AS edit, length(replace(left(audit, j), 'I', '')) AS k, length(replace(left(audit, j), 'D', '')) AS place FROM e),
+    y AS (SELECT x.*, o.role, o.text, bool_or(edit = 'K' AND place = 1 AND left(o.role, 1) = 's') OVER (PARTITION BY x.conv_id)::INT AS has_s
+        FROM x LEFT JOIN o ON edit <> 'I' AND x.conv_id IS NOT DISTINCT FROM o.conv_id AND x.k = o.k),
+    z AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - coalesce(has_s, 0)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+        CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS digest FROM y WHERE edit <> 'D' GROUP BY conv_id),
+    g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 1) AS blank, count_if(fault = 2) AS duplicate,
+        count_if(fault = 3) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv_id)
+    SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+        coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON a.conv_id IS NOT DISTINCT FROM g.conv_id
+        LEFT JOIN f ON a.conv_id IS NOT DISTINCT FROM f.conv_id LEFT JOIN z ON a.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
 #: DuckDB SQL where SQL can express an operator; the others are tested by brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op8_wu_manber_decontamination": f"""
@@ -105,4 +157,5 @@ ORACLE_SQL: dict[str, str] = {
     k AS (SELECT item_id, doc_id, r, sum(part)::BIGINT AS score FROM p JOIN q USING (t) GROUP BY item_id, doc_id, r HAVING sum(part) > 0)
     SELECT item_id, rank::INT AS rank, doc_id, score FROM
         (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM k) WHERE rank <= 50""",
+    "op12_dijkstra_repair": _REPAIR,
 }
