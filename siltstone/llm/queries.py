@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontaminate, dialogue, html, jpeg, lexical, pii, quality, secrets, sharding, simhash, wavelet
+from siltstone.llm import bpe, decontaminate, dialogue, html, jpeg, lexical, licences, pii, quality, secrets, sharding, simhash, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("values")
 
 
+def op11_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op12_dijkstra_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dialogue.damaged(table(spark, sf_dir, "conversations"))
     return dialogue.repair_conversations(rows, copies=F.col("copies"), messages=False)
@@ -79,7 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_page_differencing, op3_jpeg_media, op4_wavelet_shards, op5_byte_bpe, op6_rendezvous_shards, op7_nbsvm_quality,
-        op8_wu_manber_decontamination, op9_simhash_near_dedup, op10_weak_pii, op12_dijkstra_repair, op13_lexical_search,
+        op8_wu_manber_decontamination, op9_simhash_near_dedup, op10_weak_pii, op11_licence_automaton, op12_dijkstra_repair, op13_lexical_search,
     )
 }
 
