@@ -57,7 +57,7 @@ class Engine:
         validated({"top_k": k})
         condition = compiled(where, lambda key: F.col("metadata")[key])
         rows = self.store.read(name) if condition is None else self.store.read(name).where(condition)
-        metric = self.store._entry(name).metric
+        metric = self.store.snapshot(name).metric
         return search.top_k(rows, self.load()([query])[0], k, metric)
 
     def chat_context(self, name: str, query: str, first_k: int = 20, text_k: int = 5, image_k: int = 3) -> DataFrame:
