@@ -7,12 +7,17 @@ and fold over a document's array, one pass per document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators import scans
+from siltstone.sources.scratch import written
+
 ATOMIC = ("table", "equation", "image")
 
 
@@ -32,7 +37,7 @@ def _cut(
 
     # what all chunks of a row need is computed once, as a variable
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-    row = F.struct(pieces.alias("pieces"), F.length(text_col).alias("length"), *([pages.alias("pages")] if pages is not None else []))
+    row = F.struct(pieces.alias("pieces"), F.length(text_col).alias("length"), *([_searchable(pages).alias("pages")] if pages is not None else []))
     chunks = F.transform(F.array(row), lambda x: F.transform(F.sequence(F.lit(0), count - 1), lambda slot: chunk(x, slot)))[0]
     solid = df.select(id_col, *keep, F.filter(chunks, lambda c: c["content"].rlike(r"(?U)\S")).alias("chunks"))
     each = solid.select(id_col, *keep, F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "c"))
@@ -40,16 +45,49 @@ def _cut(
     return made if keep or pages is not None else made.drop("total_chunks")
 
 
-def _on_pages(pages: Column, start: Column, end: Column) -> Column:
-    """Primary page, all pages and their number of a range, from an array of (page_number, page_start, page_end)."""
+def _searchable(pages: Column) -> Column:
+    """Page boundaries by start, without empty ones, and for each the furthest end so far: what a binary search needs.
+
+    The running maximum doubles its reach in each round.
+    """
+    full = F.filter(pages, lambda p: (p["page_start"] < p["page_end"]) & p["page_number"].isNotNull())
+    by_start = F.array_sort(F.transform(full, lambda p: F.struct(p["page_start"].alias("start"), p["page_end"].alias("end"), p["page_number"].alias("number"))))
+
+    def reached(sorted_: Column) -> Column:
+        rounds = F.ceil(F.log2(F.greatest(F.size(sorted_), F.lit(2)))).cast("int")
+        further = lambda ends, k: F.transform(ends, lambda x, i: F.greatest(x, F.get(ends, i - F.pow(2, k - 1).cast("int"))))
+        return F.aggregate(F.sequence(F.lit(1), rounds), F.transform(sorted_, lambda p: p["end"]), further)
+
+    return F.transform(F.array(by_start), lambda x: F.struct(x.alias("pages"), reached(x).alias("reach")))[0]
+
+
+def _first_over(values: Column, at: Column, of: Callable[[Column], Column], strictly: bool) -> Column:
+    """Place (from 0) of the first value over ``at`` (or at it, unless ``strictly``) in an array that never falls."""
+    start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = ((s["low"] + s["high"]) / 2).cast("int")
+        value = of(F.get(values, mid))
+        right = F.when(s["low"] < s["high"], value <= at if strictly else value < at).otherwise(False)
+        done = s["low"] >= s["high"]
+        return F.struct(F.when(right, mid + 1).otherwise(s["low"]).alias("low"), F.when(right | done, s["high"]).otherwise(mid).alias("high"))
+
+    rounds = F.ceil(F.log2(F.size(values) + 2)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, halve, lambda s: s["low"])
+
+
+def _on_pages(found: Column, start: Column, end: Column) -> Column:
+    """Primary page (largest overlap, first on ties), all pages in order and their number of a range; ``found`` is ``_searchable``."""
+
     def of(met: Column) -> Column:
-        shared = F.transform(met, lambda p: F.struct(F.least(end, p["page_end"]) - F.greatest(start, p["page_start"]), (-p["page_number"]).alias("back")))
-        first = F.when(F.size(met) < 2, F.get(met, 0)["page_number"]).otherwise(-F.array_max(shared)["back"])
-        numbers = F.transform(met, lambda p: p["page_number"])
-        return F.struct(first.alias("page_number"), F.when(F.size(met) < 2, numbers).otherwise(F.sort_array(numbers)).alias("page_numbers"), F.size(met).alias("pages_spanned"))
+        shared = F.transform(met, lambda p: F.struct(F.least(end, p["end"]) - F.greatest(start, p["start"]), (-p["number"]).alias("back")))
+        return F.struct((-F.array_max(shared)["back"]).alias("page_number"), F.sort_array(F.transform(met, lambda p: p["number"])).alias("page_numbers"), F.size(met).alias("pages_spanned"))
 
-    met = F.filter(pages, lambda p: (p["page_start"] < end) & (p["page_end"] > start) & (p["page_start"] < p["page_end"]))
-    return F.transform(F.array(met), of)[0]
+    first = _first_over(found["reach"], start, lambda x: x, strictly=True)
+    behind = _first_over(found["pages"], end, lambda p: p["start"], strictly=False)
+    near = F.transform(F.array(F.struct(first.alias("a"), behind.alias("b"))), lambda r: F.slice(found["pages"], r["a"] + 1, F.greatest(r["b"] - r["a"], F.lit(0))))[0]
+    met = F.filter(near, lambda p: p["end"] > start)
+    return F.transform(F.array(met), lambda m: F.when(F.size(m) > 0, of(m)))[0]
 
 
 def fixed_chunks(
@@ -57,7 +95,8 @@ def fixed_chunks(
 ) -> DataFrame:
     """Chunks of ``size`` with ``overlap``; blank ones are dropped and numbering stays dense.
 
-    With ``pages``, an array of page boundaries in the row, each chunk gets its primary page, all its pages and their number.
+    With ``pages``, an array of (page_number, page_start, page_end) in the row, each chunk gets its primary page, all its pages
+    and their number, found by binary search.  Pages may have any lengths, overlap, leave gaps or be empty; a chunk on none has nulls.
     """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
@@ -75,17 +114,6 @@ def sliding_chunks(
     return _cut(df.where(F.length(text_col) > 0), window, step, count, id_col, text_col, keep, pages)
 
 
-def on_regular_pages(chunks: DataFrame, size: int = 1000) -> DataFrame:
-    """Chunks with their primary page, all pages and their number, if a page has ``size`` characters: no boundaries are looked up."""
-    first, last = F.floor(F.col("start_index") / size).cast("int") + 1, F.floor((F.col("end_index") - 1) / size).cast("int") + 1
-    on_first = F.least(F.col("end_index"), first * size) - F.col("start_index")
-    rest = F.least(F.col("end_index") - first * size, F.lit(size))
-    return chunks.select(
-        "*", F.when((first == last) | (on_first >= rest), first).otherwise(first + 1).alias("page_number"),
-        F.sequence(first, last).alias("page_numbers"), (last - first + 1).alias("pages_spanned"),
-    )
-
-
 def page_boundaries(text: Column, size: int = 1000) -> Column:
     """Array of (page_number, page_start, page_end): a page every ``size`` characters."""
     count = F.ceil(F.length(text) / size).cast("int")
@@ -146,9 +174,22 @@ def pages_of_length(df: DataFrame, size: int = 1000, id_col: str = "doc_id", tex
     return pages.select(id_col, "page_number", start.alias("page_start"), F.least(start + size, F.col("n")).alias("page_end"))
 
 
-def attribute_pages(chunks: DataFrame, pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Primary page (largest overlap, first on ties), all pages and their number, for each chunk with any."""
-    both = chunks.join(pages, id_col).where("greatest(start_index, page_start) < least(end_index, page_end)")
+def attribute_pages(chunks: DataFrame, pages: DataFrame, id_col: str = "doc_id", width: int | None = None) -> DataFrame:
+    """Primary page (largest overlap, first on ties), all pages and their number, for each chunk with any.
+
+    A range join: both sides go to the bins of ``width`` characters (the mean page, if not given) that they touch, rows of one
+    document and bin meet, and a pair counts in the first bin that both touch.  A document is thus dealt in as many parts as it
+    has bins, and no chunk meets pages far from it.
+    """
+    full = pages.where((F.col("page_start") < F.col("page_end")) & F.col("page_number").isNotNull())
+    if width is None:
+        width = max(64, math.ceil(full.agg(F.avg(F.col("page_end") - F.col("page_start"))).first()[0] or 0))
+    bin_of = lambda c: F.floor(F.col(c) / width) if isinstance(c, str) else F.floor(c / width)
+    binned = lambda df, a, b: df.where(F.col(a) < F.col(b)).withColumn("__bin", F.explode(F.sequence(bin_of(a), bin_of(F.col(b) - 1))))
+    left = binned(chunks.select(id_col, "chunk_index", "start_index", "end_index"), "start_index", "end_index")
+    right = binned(full.select(id_col, "page_number", "page_start", "page_end"), "page_start", "page_end")
+    first = F.greatest(bin_of("start_index"), bin_of("page_start"))
+    both = left.join(right, [id_col, "__bin"]).where((F.greatest("start_index", "page_start") < F.least("end_index", "page_end")) & (F.col("__bin") == first))
     shared = F.least("end_index", "page_end") - F.greatest("start_index", "page_start")
     found = both.groupBy(id_col, "chunk_index").agg(
         F.max_by("page_number", F.struct(shared, -F.col("page_number"))).alias("page_number"),
@@ -213,26 +254,76 @@ def region_chunks(
     return dealt.mapInPandas(fold, schema)
 
 
-def token_batches(df: DataFrame, max_tokens: int = 8192, max_items: int = 32, key_col: str = "key", order_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Greedy batches by estimated tokens (1.3 a word) within each key: batch_number, tokens per row."""
-    id_type, key_type = (df.schema[c].dataType.simpleString() for c in (order_col, key_col))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, number, total, items = None, 0, 0, 0
-        begun = False
-        for pdf in batches:
-            numbers = []
-            for key, tokens in zip(pdf[key_col], pdf["tokens"], strict=True):
-                if not begun or key != now:
-                    now, begun, number, total, items = key, True, 0, 0, 0
-                if items and (total + tokens > max_tokens or items >= max_items):
-                    number, total, items = number + 1, 0, 0
-                total, items = total + tokens, items + 1
-                numbers.append(number)
-            yield pdf.assign(batch_number=numbers)
+def token_batches(
+    df: DataFrame, max_tokens: int = 8192, max_items: int = 32, key_col: str = "key", order_col: str = "id", text_col: str = "text", rows: int = 65_536
+) -> DataFrame:
+    """Greedy batches by estimated tokens (1.3 a word) within each key: batch_number, tokens per row.
 
+    A batch holds ``max_items`` rows at most, so where the next one starts follows from a few rows.  A key is cut into pieces of
+    ``rows`` rows, each with a look at the rows behind it.  For a first batch starting at each of the first
+    ``max_items`` rows, a piece tells where the first batch behind it starts and how many start inside.  These maps are composed over the
+    pieces of a key by doubling, which gives every piece its first batch and number; then batches are numbered inside the pieces.
+    """
     from siltstone.functions.text import token_estimate
 
-    rows = df.select(key_col, order_col, token_estimate(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    dealt = rows.repartition(key_col).sortWithinPartitions(key_col, order_col)
-    return dealt.mapInPandas(fold, f"{key_col} {key_type}, {order_col} {id_type}, tokens int, batch_number int")
+    tokens = df.select(key_col, order_col, token_estimate(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    placed = scans.numbered(tokens, key_col, [order_col, "tokens"], "__n", rows)
+    rows = max(rows, max_items)
+    own = F.floor(F.col("__n") / rows)
+    # the first rows of a piece are also seen by the piece before
+    seen = F.when((F.col("__n") % rows < max_items) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = written(placed.withColumn(scans.GROUP, F.struct(key_col)).withColumn(scans.PIECE, F.explode(seen)), "token_pieces")
+    narrow = dealt.select(scans.GROUP, scans.PIECE, "__n", "tokens")
+    group = dealt.schema[scans.GROUP].dataType.simpleString()
+
+    def ends(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, int]:
+        """Rows in order, for each the row at which the batch after its own starts, and how many rows are the piece's."""
+        pdf = pdf.sort_values("__n", ignore_index=True)
+        sums = np.concatenate([[0], np.cumsum(pdf["tokens"].to_numpy(np.int64))])
+        at = np.arange(len(pdf))
+        full = np.searchsorted(sums, sums[:-1] + max_tokens, "right") - 1  # a sum of max_tokens still fits
+        own_rows = int((pdf["__n"] // rows == pdf[scans.PIECE].iloc[0]).sum())
+        return pdf, np.minimum(np.maximum(full, at + 1), at + max_items), own_rows
+
+    def mapped(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, after, n = ends(pdf)
+        exits, counts = [], []
+        known: dict[int, tuple[int, int]] = {}
+        for first in range(max_items):
+            path, at = [], first
+            while at < n and at not in known:
+                path.append(at)
+                at = int(after[at])
+            leaves, more = known[at] if at in known else (at - n, 0)
+            for i in reversed(path):
+                more += 1
+                known[i] = (leaves, more)
+            exits.append(leaves)
+            counts.append(more)
+        return pd.DataFrame({scans.GROUP: [pdf[scans.GROUP].iloc[0]], scans.PIECE: [pdf[scans.PIECE].iloc[0]], "exits": [exits], "counts": [counts]})
+
+    def marked(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, after, n = ends(pdf)
+        starts, at = np.zeros(n, np.int64), int(pdf["first"].iloc[0])
+        while at < n:
+            starts[at] = 1
+            at = int(after[at])
+        numbers = pdf["before"].iloc[0] + np.cumsum(starts) - 1
+        return pd.DataFrame({scans.GROUP: pdf[scans.GROUP][:n], "__n": pdf["__n"][:n], "batch_number": numbers})
+
+    maps = written(narrow.groupBy(*scans.KEYS).applyInPandas(mapped, f"{scans.GROUP} {group}, {scans.PIECE} long, exits array<int>, counts array<long>"), "token_maps")
+    most = maps.agg(F.max(scans.PIECE)).first()[0] or 0
+    step = 1
+    while step <= most:
+        early = maps.select(scans.GROUP, (F.col(scans.PIECE) + step).alias(scans.PIECE), F.col("exits").alias("e"), F.col("counts").alias("c"))
+        both = maps.join(early, scans.KEYS, "left")
+        # an entry goes through the earlier pieces first
+        exits = F.transform("e", lambda x: F.get("exits", x))
+        counts = F.zip_with("c", "e", lambda n, x: n + F.get("counts", x))
+        maps = written(both.select(*scans.KEYS, F.coalesce(exits, "exits").alias("exits"), F.coalesce(counts, "counts").alias("counts")), "token_maps")
+        step *= 2
+    state = maps.select(scans.GROUP, (F.col(scans.PIECE) + 1).alias(scans.PIECE), F.get("exits", F.lit(0)).alias("first"), F.get("counts", F.lit(0)).alias("before"))
+    entered = narrow.join(state, scans.KEYS, "left").fillna(0, ["first", "before"])
+    numbers = entered.groupBy(*scans.KEYS).applyInPandas(marked, f"{scans.GROUP} {group}, __n long, batch_number int")
+    kept = dealt.where(F.col(scans.PIECE) == own)
+    return kept.join(numbers, [scans.GROUP, "__n"]).select(key_col, order_col, "tokens", "batch_number")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import scans
 from siltstone.operators.numbering import dense_numbers, with_lookback
 
 
@@ -84,11 +85,24 @@ def adaptive_sizes(throughputs: Column, first: int = 32, every: int = 5) -> Colu
     return F.aggregate(F.sequence(F.lit(1), F.size(throughputs)), F.array(F.lit(first)), step, lambda acc: F.slice(acc, F.lit(2), F.size(acc)))
 
 
-def gap_groups(df: DataFrame, by: str, position: str, gap: float, tie: str) -> DataFrame:
-    """Number of the run each row belongs to; a step over ``gap`` starts a new one."""
-    w = Window.partitionBy(by).orderBy(position, tie)
-    starts = F.coalesce((F.col(position) - F.lag(position).over(w) > gap).cast("int"), F.lit(0))
-    return df.withColumn("starts", starts).withColumn("gap_group", F.sum("starts").over(w)).drop("starts")
+def gap_groups(df: DataFrame, by: str, position: str, gap: float, tie: str, rows: int = 65_536) -> DataFrame:
+    """Number of the run each row belongs to; a step over ``gap`` starts a new one.
+
+    A piece of a group carries on with the run and the position that the pieces before it end with.
+    """
+    over = lambda before: F.coalesce((F.col(position) - before > gap).cast("int"), F.lit(0))
+    sofar, inside = scans.within()
+    placed = scans.in_pieces(df, by, [position, tie], rows)
+    runs = placed.withColumn("__starts", over(F.lag(position).over(inside))).withColumn("__run", F.sum("__starts").over(sofar))
+    each = scans.totals(runs, __runs=F.sum("__starts"), __head=F.min_by(position, scans.SEQ), __last=F.max_by(position, scans.SEQ))
+    # whether the first row of a piece starts a run is decided by the row before the piece
+    order = Window.partitionBy(scans.GROUP).orderBy(scans.PIECE)
+    joint = F.coalesce((F.col("__head") - F.lag("__last").over(order) > gap).cast("int"), F.lit(0))
+    state = each.withColumn("__joint", joint).select(
+        *scans.KEYS,
+        (F.coalesce(F.sum("__runs").over(scans.earlier()), F.lit(0)) + F.sum("__joint").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("__before"),
+    )
+    return runs.join(state, scans.KEYS).select(*df.columns, (F.col("__before") + F.col("__run")).alias("gap_group"))
 
 
 def fixed_batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
@@ -135,9 +149,15 @@ def queue_stats(jobs: DataFrame, states: tuple[str, ...] = ("queued", "started",
     return jobs.groupBy("queue").agg(*[F.count_if(F.col("state") == s).alias(s) for s in states])
 
 
-def progress(df: DataFrame, by: str, order: str, seconds: str) -> DataFrame:
-    """Running share done and remaining seconds at the mean pace so far."""
-    w = Window.partitionBy(by)
-    sofar = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    done, total = F.count(F.lit(1)).over(sofar), F.count(F.lit(1)).over(w)
-    return df.withColumn("done", done).withColumn("share", done / total).withColumn("eta", F.avg(seconds).over(sofar) * (total - done))
+def progress(df: DataFrame, by: str, order: str, seconds: str, rows: int = 65_536) -> DataFrame:
+    """Running share done and remaining seconds at the mean pace so far; rows without seconds count as done."""
+    sofar = scans.within()[0]
+    sums = {"rows": F.count(F.lit(1)), "timed": F.count(seconds), "seconds": F.sum(seconds)}
+    placed = scans.in_pieces(df, by, [order], rows)
+    each = scans.totals(placed, **sums)
+    before = [F.sum(n).over(scans.earlier()).alias(f"__{n}_before") for n in sums]
+    state = each.select(*scans.KEYS, *before, F.sum("rows").over(Window.partitionBy(scans.GROUP)).alias("__total"))
+    met = placed.select("*", *[c.over(sofar).alias(f"__{n}") for n, c in sums.items()]).join(state, scans.KEYS)
+    rows_, timed, spent = (F.coalesce(f"__{n}_before", F.lit(0)) + F.coalesce(f"__{n}", F.lit(0)) for n in sums)
+    pace = spent / F.nullif(timed, F.lit(0))
+    return met.select(*df.columns, rows_.alias("done"), (rows_ / F.col("__total")).alias("share"), (pace * (F.col("__total") - rows_)).alias("eta"))

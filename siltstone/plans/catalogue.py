@@ -277,21 +277,45 @@ def chunk_sentence(spark, sf_dir):
     return chunking.sentence_chunks(table(spark, sf_dir, "documents"))
 
 
-_PAGES = """p AS (SELECT doc_id, n AS page_number, (n - 1) * 1000 AS page_start, least(n * 1000, length(text)) AS page_end
-    FROM (SELECT doc_id, text, unnest(generate_series(1, ceil(length(text) / 1000.0)::BIGINT)) AS n FROM documents WHERE length(text) > 0))"""
-
-
-@query(f"""{_FIXED}, {_PAGES},
+# pages of uneven lengths: every third one runs on into the next, every seventh is empty, every eleventh leaves a gap
+_PAGES = """p AS (SELECT doc_id, n AS page_number, n * 700 - (n * n * 37) % 400 AS page_start, CASE WHEN n % 7 = 3 THEN n * 700 - (n * n * 37) % 400
+      ELSE least((n + 1) * 700 - ((n + 1) * (n + 1) * 37) % 400 + CASE WHEN n % 3 = 0 THEN 150 WHEN n % 11 = 5 THEN -200 ELSE 0 END, length(text)) END AS page_end
+    FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) // 700)) AS n FROM documents WHERE length(text) > 0)),
     j AS (SELECT k.doc_id, chunk_index, page_number, least(end_index, page_end) - greatest(start_index, page_start) AS shared
           FROM k JOIN p ON k.doc_id = p.doc_id AND greatest(start_index, page_start) < least(end_index, page_end)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY shared DESC, page_number) AS o FROM j)
-    SELECT doc_id, chunk_index, max(CASE WHEN o = 1 THEN page_number END)::INT AS page_number, count(*)::INT AS pages_spanned,
-        string_agg(page_number::VARCHAR, ',' ORDER BY page_number) AS page_numbers FROM r GROUP BY doc_id, chunk_index""")
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY shared DESC, page_number) AS o FROM j),
+    a AS (SELECT doc_id, chunk_index, max(CASE WHEN o = 1 THEN page_number END)::INT AS page_number, count(*)::INT AS pages_spanned,
+        string_agg(page_number::VARCHAR, ',' ORDER BY page_number) AS page_numbers FROM r GROUP BY doc_id, chunk_index)"""
+
+
+def _page_of(n):
+    """Start and end of the ``n``-th page before it is cut at the end of the text."""
+    start = lambda n: n * 700 - (n * n * 37) % 400
+    end = start(n + 1) + F.when(n % 3 == 0, 150).when(n % 11 == 5, -200).otherwise(0)
+    return F.struct(n.alias("page_number"), start(n).alias("page_start"), F.when(n % 7 == 3, start(n)).otherwise(F.least(end, F.length("text"))).alias("page_end"))
+
+
+def _pages(text="text"):
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 700).cast("int")), _page_of)
+
+
+def _attributed(found):
+    return found.select("doc_id", "chunk_index", "page_number", "pages_spanned", F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("page_numbers"))
+
+
+@query(f"{_FIXED}, {_PAGES} SELECT k.doc_id, k.chunk_index, page_number, pages_spanned, page_numbers FROM k LEFT JOIN a USING (doc_id, chunk_index)")
 def page_attribution(spark, sf_dir):
+    """Boundaries in the row: binary search, nothing is shuffled."""
+    docs = table(spark, sf_dir, "documents")
+    return _attributed(chunking.fixed_chunks(docs, 512, 64, pages=_pages()))
+
+
+@query(f"{_FIXED}, {_PAGES} SELECT doc_id, chunk_index, page_number, pages_spanned, page_numbers FROM a")
+def page_ranges_joined(spark, sf_dir):
+    """Boundaries as a table: range join."""
     docs = table(spark, sf_dir, "documents")
-    found = chunking.on_regular_pages(chunking.fixed_chunks(docs, 512, 64))
-    found = found.select("doc_id", "chunk_index", "page_number", "pages_spanned", "page_numbers")
-    return found.withColumn("page_numbers", F.array_join(F.col("page_numbers").cast("array<string>"), ","))
+    pages = docs.where(F.length("text") > 0).select("doc_id", F.inline(_pages()))
+    return _attributed(chunking.attribute_pages(chunking.fixed_chunks(docs, 512, 64), pages))
 
 
 @query(f"""{_FIXED} SELECT lang, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, round(avg(length(content)), 4) AS avg_chars

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import chunking, metrics, numbering, regions
+from siltstone.operators import chunking, metrics, numbering, regions, scans
 
 
 def test_sentence_chunks_by_hand(spark):
@@ -44,17 +44,49 @@ def test_sentence_chunks_keep_their_promises(spark):
             assert seen == whole
 
 
-def test_three_ways_to_pages_agree(spark):
+def pages_by_hand(spans, pages):
+    """(page, pages, number) of each span: every page that shares characters, the largest share first, then the smallest number."""
+    out = []
+    for start, end in spans:
+        shared = sorted((-(min(end, b) - max(start, a)), n) for n, a, b in pages if max(start, a) < min(end, b))
+        numbers = sorted(n for _, n in shared)
+        out.append((shared[0][1] if shared else None, numbers or None, len(numbers) or None))
+    return out
+
+
+def test_pages_with_any_boundaries(spark):
+    """Irregular, overlapping, nested, empty, repeated and missing pages, in any order."""
     rng = random.Random(6)
-    rows = [(n, "y" * rng.randint(1, 900)) for n in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for size, overlap, page in ((100, 10, 37), (30, 0, 100), (64, 60, 64)):
-        chunks = chunking.fixed_chunks(df, size, overlap)
-        key = ["doc_id", "chunk_index", "page_number", "page_numbers", "pages_spanned"]
-        joined = sorted(map(tuple, chunking.attribute_pages(chunks, chunking.pages_of_length(df, page)).select(key).collect()))
-        inside = chunking.fixed_chunks(df, size, overlap, pages=chunking.page_boundaries(F.col("text"), page))
-        assert joined == sorted(map(tuple, inside.select(key).collect()))
-        assert joined == sorted(map(tuple, chunking.on_regular_pages(chunks, page).select(key).collect()))
+    rows = []
+    for n in range(40):
+        length = rng.randint(1, 900)
+        pages = [(k, a := rng.randint(0, length), a + rng.choice([0, 1, 30, 200, 900])) for k in range(rng.choice([0, 1, 3, 40]))]
+        rng.shuffle(pages)
+        rows.append((n, "y" * length, pages))
+    rows += [(40, "z" * 100, None), (41, "z" * 100, [(1, 0, 60), (2, 40, 100), (3, 100, 100), (4, 500, 900)]), (42, "z" * 100, [(2, 0, 50), (1, 50, 100)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pages array<struct<page_number:int,page_start:int,page_end:int>>")
+    table = df.select("doc_id", F.inline("pages"))
+    key = ["doc_id", "chunk_index", "page_number", "page_numbers", "pages_spanned"]
+    for size, overlap, width in ((100, 10, None), (30, 0, 64), (64, 60, 7)):
+        inside = chunking.fixed_chunks(df, size, overlap, pages=F.col("pages"))
+        want = {}
+        for r in inside.collect():
+            want.setdefault(r.doc_id, []).append((r.start_index, r.end_index, r.chunk_index))
+        want = {(d, c[2], *p) for d, cs in want.items() for c, p in zip(cs, map(lambda x: (x[0], tuple(x[1]) if x[1] else None, x[2]), pages_by_hand([c[:2] for c in cs], rows[d][2] or [])), strict=True)}
+        plain = lambda d: {(*r[:3], tuple(r[3]) if r[3] else None, r[4]) for r in d.select(key).collect()}
+        assert plain(inside) == want
+        joined = chunking.attribute_pages(chunking.fixed_chunks(df, size, overlap), table, width=width)
+        assert plain(joined) == {w for w in want if w[2] is not None}
+    assert (41, 0, 1, (1, 2), 2) in {(*r[:3], tuple(r[3]), r[4]) for r in chunking.fixed_chunks(df.where("doc_id = 41"), 100, 0, pages=F.col("pages")).select(key).collect()}
+
+
+def test_pages_of_a_long_document(spark):
+    """5,000 pages and 20,000 chunks of one document: the search looks at few pages for each."""
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcd "), 500_000).alias("text"))
+    pages = F.transform(F.sequence(F.lit(1), F.lit(5000)), lambda n: F.struct(n.alias("page_number"), ((n - 1) * 500).alias("page_start"), (n * 500).alias("page_end")))
+    found = chunking.fixed_chunks(df, 125, 0, pages=pages)
+    wrong = found.where("page_number <> start_index DIV 500 + 1 OR pages_spanned <> 1")
+    assert found.count() == 20_000 and wrong.count() == 0
 
 
 def test_chunks_of_repeated_ids_are_numbered_apart(spark):
@@ -97,19 +129,62 @@ def test_region_chunks(spark):
         assert got[d] == want
 
 
+def greedy(tokens, most, items):
+    """Numbers of the batches, by closing one as soon as the next row does not fit."""
+    out, number, total, held = [], 0, 0, 0
+    for t in tokens:
+        if held and (total + t > most or held == items):
+            number, total, held = number + 1, 0, 0
+        total, held = total + t, held + 1
+        out.append(number)
+    return out
+
+
 def test_token_batches(spark):
     rng = random.Random(3)
-    rows = [(n % 2, n, "w " * rng.randint(0, 3000)) for n in range(80)]
-    got = chunking.token_batches(spark.createDataFrame(rows, "key int, id long, text string")).orderBy("key", "id").collect()
-    now, number, total, items = None, 0, 0, 0
-    for r in got:
-        tokens = int(len(rows[r.id][2].split()) * 1.3)
-        if r.key != now:
-            now, number, total, items = r.key, 0, 0, 0
-        if items and (total + tokens > 8192 or items >= 32):
-            number, total, items = number + 1, 0, 0
-        total, items = total + tokens, items + 1
-        assert (r.tokens, r.batch_number) == (tokens, number)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), n, "w " * rng.choice([0, 0, 3, 40, 400, 9000])) for n in range(700)]
+    rows += [("one", 5000, "x"), ("last", 5001, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, id long, text string").repartition(5).withColumn("batch_number", F.lit("clash"))
+    for most, items, piece in ((8192, 32, 65_536), (8192, 32, 32), (300, 8, 16), (1, 3, 4), (10**9, 5, 8)):
+        got = {}
+        for r in chunking.token_batches(df, most, items, rows=piece).collect():
+            got.setdefault(r.key, []).append((r.id, r.tokens, r.batch_number))
+        assert sum(map(len, got.values())) == len(rows)
+        for key, found in got.items():
+            own = sorted((i, int(len((t or "").split()) * 1.3)) for k, i, t in rows if k == key)
+            assert sorted(found) == [(i, t, b) for (i, t), b in zip(own, greedy([t for _, t in own], most, items), strict=True)]
+
+
+def test_runs_and_progress_over_pieces(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 6 + ["b", None]), rng.randint(0, 3000) * 1.5, n, rng.choice([None, 1.0, 2.5, 4.0])) for n in range(900)] + [("none", 1.0, 5000, None)]
+    df = spark.createDataFrame(rows, "g string, at double, id long, seconds double").repartition(6)
+    groups = {g: sorted((a, i, s) for h, a, i, s in rows if h == g) for g in {r[0] for r in rows}}
+    for piece in (65_536, 32, 1):
+        runs = {r.id: r.gap_group for r in metrics.gap_groups(df, "g", "at", 6, "id", piece).collect()}
+        share = {r.id: (r.done, r.share, r.eta) for r in metrics.progress(df, "g", "id", "seconds", piece).collect()}
+        numbers = {r.id: r.n for r in scans.numbered(df, "g", ["at", "id"], rows=piece).collect()}
+        assert len(runs) == len(share) == len(numbers) == len(rows)
+        for own in groups.values():
+            run = 0
+            for k, (a, i, _) in enumerate(own):
+                run += bool(k and a - own[k - 1][0] > 6)
+                assert (runs[i], numbers[i]) == (run, k)
+            times = []
+            for k, (i, s) in enumerate(sorted((i, s) for _, i, s in own), 1):
+                times += [s] * (s is not None)
+                done, part, eta = share[i]
+                assert (done, part) == (k, k / len(own))
+                assert eta is None if not times else abs(eta - sum(times) / len(times) * (len(own) - k)) < 1e-9
+
+
+def test_a_large_group_lies_in_many_pieces(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("g"), "id")
+    placed = scans.in_pieces(df.repartition(8), "g", ["id"], 1024)
+    pieces = placed.groupBy("g", scans.PIECE).count()
+    assert pieces.agg(F.max("count")).first()[0] <= 1024 and pieces.where("g = -1").count() >= 10
+    assert placed.select(scans.SEQ).distinct().count() == 30_000
 
 
 def test_fixed_and_sliding_boundaries(spark):
