@@ -8,7 +8,7 @@ and fold over a document's array, one pass per document.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -198,60 +198,50 @@ def attribute_pages(chunks: DataFrame, pages: DataFrame, id_col: str = "doc_id",
     return found.withColumn("pages_spanned", F.size("page_numbers"))
 
 
+def packed_regions(regions: Column, max_size: int) -> Column:
+    """Array of sections, each an array of regions, from an array of regions in order.
+
+    A table, equation or image is a section of its own, a title or heading opens one, and others join the section before them
+    while the sum of their lengths stays within ``max_size``.
+    """
+    atomic = lambda r: r["region_type"].isin(*ATOMIC)
+    title = lambda r: r["region_type"].isin("title", "heading")
+    length = lambda r: F.coalesce(F.length(r["content"]), F.lit(0))
+
+    def number(s: Column, r: Column) -> Column:
+        joins = s["open"] & ~atomic(r) & ~title(r) & (s["size"] + length(r) <= max_size)
+        return F.struct(
+            F.when(joins, s["number"]).otherwise(s["number"] + 1).alias("number"), (~atomic(r)).alias("open"),
+            F.when(joins, s["size"]).otherwise(F.lit(0)) + length(r), F.concat(s["starts"], F.when(joins, F.array().cast("array<int>")).otherwise(F.array(s["at"]))).alias("starts"),
+            (s["at"] + 1).alias("at"),
+        )
+
+    begin = F.struct(F.lit(-1).alias("number"), F.lit(False).alias("open"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"))
+    starts = F.aggregate(regions, begin, lambda s, r: _renamed(number(s, r)), lambda s: s["starts"])
+    cut = lambda at: F.transform(at, lambda a, i: F.slice(regions, a + 1, F.coalesce(F.get(at, i + 1), F.size(regions)) - a))
+    return F.transform(F.array(starts), cut)[0]
+
+
+def _renamed(state: Column) -> Column:
+    return state.cast("struct<number:int,open:boolean,size:int,starts:array<int>,at:int>")
+
+
 def region_chunks(
     regions: DataFrame, max_size: int = 1000, id_col: str = "doc_id", order_col: str = "region_sequence"
 ) -> DataFrame:
     """Chunks of regions: tables, equations and images alone, titles open a section, text fills up to ``max_size``.
 
-    A document's regions are folded in order inside one group; a section closes as soon as it is full.
+    A document's regions are gathered in one row, in order, and packed there.
     """
-    columns = [id_col, order_col, "region_type", "content", "page_number"]
-    id_type = regions.schema[id_col].dataType.simpleString()
-    schema = (
-        f"{id_col} {id_type}, chunk_index int, content string, region_types array<string>, "
-        "page_numbers array<int>, n_regions int, atomic boolean"
-    )
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key: object = None
-        begun, index = False, 0
-        section: list = []
-        size = 0
-        out: list[tuple] = []
-
-        def flush(rows: list, atomic: bool = False) -> None:
-            nonlocal index
-            if rows:
-                pages = sorted({int(r.page_number) for r in rows if r.page_number == r.page_number and r.page_number is not None})
-                text = "\n\n".join(r.content or "" for r in rows)
-                out.append((key, index, text, [r.region_type for r in rows], pages, len(rows), atomic))
-                index += 1
-
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                own = getattr(r, id_col)
-                if not begun or own != key:
-                    flush(section)
-                    key, begun, index, section, size = own, True, 0, [], 0
-                n = len(r.content or "")
-                if r.region_type in ATOMIC:
-                    if section:
-                        flush(section)
-                        section, size = [], 0
-                    flush([r], True)
-                elif r.region_type in ("title", "heading") or (size + n > max_size and section):
-                    flush(section)
-                    section, size = [r], n
-                else:
-                    section.append(r)
-                    size += n
-            yield pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in schema.split(", ")])
-            out = []
-        flush(section)
-        yield pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in schema.split(", ")])
-
-    dealt = regions.select(*columns).repartition(id_col).sortWithinPartitions(id_col, order_col)
-    return dealt.mapInPandas(fold, schema)
+    own = F.sort_array(F.collect_list(F.struct(order_col, "region_type", "content", F.col("page_number").cast("int").alias("page_number"))))
+    each = regions.groupBy(id_col).agg(own.alias("regions"))
+    chunks = each.select(id_col, F.posexplode(packed_regions(F.col("regions"), max_size)).alias("chunk_index", "c"))
+    of = lambda name: F.transform("c", lambda r: r[name])
+    return chunks.select(
+        id_col, "chunk_index", F.array_join(F.transform("c", lambda r: F.coalesce(r["content"], F.lit(""))), "\n\n").alias("content"),
+        of("region_type").alias("region_types"), F.array_compact(F.sort_array(F.array_distinct(of("page_number")))).alias("page_numbers"),
+        F.size("c").alias("n_regions"), F.coalesce(F.get("c", F.lit(0))["region_type"].isin(*ATOMIC), F.lit(False)).alias("atomic"),
+    )
 
 
 def token_batches(

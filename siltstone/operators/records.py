@@ -32,9 +32,18 @@ def created_tasks(requests: DataFrame, now: Column) -> tuple[DataFrame, DataFram
     return task_rows, file_rows
 
 
-def updated_files(files: DataFrame, changes: DataFrame, now: Column, keys: Sequence[str] = ("task_id", "filename")) -> DataFrame:
-    """Files with the status and error of the change of their task and name; others stay as they are."""
-    new = changes.select(*keys, F.col("status").alias("__status"), F.col("error").alias("__error"), F.lit(True).alias("__changed"))
+def last_of_each(rows: DataFrame, keys: Sequence[str], at: str | None = None) -> DataFrame:
+    """One row for each key: the one that is last by ``at``, and of those with one time (or without any) the greatest."""
+    rest = [c for c in rows.columns if c not in keys and c != at]
+    order = F.struct(*([at] if at else []), *rest)
+    kept = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("__last"))
+    return kept.select(*keys, "__last.*")
+
+
+def updated_files(files: DataFrame, changes: DataFrame, now: Column, keys: Sequence[str] = ("task_id", "filename"), at: str | None = None) -> DataFrame:
+    """Files with the status and error of the last change (by ``at``) of their task and name; others stay as they are."""
+    last = last_of_each(changes.select(*keys, "status", "error", *([at] if at else [])), keys, at)
+    new = last.select(*keys, F.col("status").alias("__status"), F.col("error").alias("__error"), F.lit(True).alias("__changed"))
     both = files.join(new, list(keys), "left")
     changed = F.coalesce("__changed", F.lit(False))
     return both.select(
@@ -55,9 +64,11 @@ def store_statistics(tasks: DataFrame, files: DataFrame, now: Column, updated: s
 
 
 def restored(tasks: DataFrame, files: DataFrame, done: Sequence[str] = ("completed", "failed"), key: str = "task_id") -> DataFrame:
-    """Unfinished tasks with their files in order, as a restart needs them."""
-    lists = files.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in files.columns if c != key]))).alias("files"))
-    return tasks.where(~F.col("status").isin(*done)).join(lists, key, "left")
+    """Unfinished tasks with their files in order, as a restart needs them; only their files are gathered."""
+    open_ = tasks.where(~F.col("status").isin(*done))
+    own = files.join(open_.select(key), key, "left_semi")
+    lists = own.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in files.columns if c != key]))).alias("files"))
+    return open_.join(lists, key, "left")
 
 
 def lesson_list(
@@ -74,11 +85,13 @@ def lesson_list(
 # ---- sessions
 
 
-def sessions_after(sessions: DataFrame, created: DataFrame, read: DataFrame, deleted: DataFrame, now: Column) -> DataFrame:
+def sessions_after(sessions: DataFrame, created: DataFrame, read: DataFrame, deleted: DataFrame, now: Column, at: str | None = None) -> DataFrame:
     """Sessions (session_id, collection_name, created_at, last_accessed) after creations, reads and deletions.
 
-    A created id replaces an old session, a read refreshes the last access, a deleted one goes.
+    A created id replaces an old session, and of several creations of one id the last (by ``at``) counts; a read refreshes the
+    last access, a deleted one goes.
     """
+    created = last_of_each(created.select("session_id", "collection_name", *([at] if at else [])), ["session_id"], at)
     fresh = created.select("session_id", "collection_name", now.alias("created_at"), now.alias("last_accessed"))
     kept = sessions.join(created.select("session_id"), "session_id", "left_anti").unionByName(fresh)
     kept = kept.join(deleted.select("session_id"), "session_id", "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -42,15 +43,18 @@ def created_files(spark, sf_dir):
     return made.groupBy("task_id", "filename", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("bytes"))
 
 
-@query("""SELECT l_orderkey AS task_id, 'f' || l_linenumber AS filename, CASE WHEN l_linenumber = 2 AND l_orderkey % 3 = 0 THEN 'failed' ELSE 'pending' END AS status,
-    CASE WHEN l_linenumber = 2 AND l_orderkey % 3 = 0 THEN 'broken' END AS error, l_linenumber = 2 AND l_orderkey % 3 = 0 AS touched FROM lineitem""")
+@query("""SELECT l_orderkey AS task_id, 'f' || l_linenumber AS filename, CASE WHEN l_linenumber = 2 AND l_orderkey % 3 = 0 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'completed' ELSE 'failed' END ELSE 'pending' END AS status,
+    CASE WHEN l_linenumber = 2 AND l_orderkey % 3 = 0 AND l_orderkey % 2 = 1 THEN 'broken' END AS error, l_linenumber = 2 AND l_orderkey % 3 = 0 AS touched FROM lineitem""")
 def file_status_update(spark, sf_dir):
+    """Every changed file has two changes; the later one counts."""
     files = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("task_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("filename"), F.lit("pending").alias("status"),
         F.lit(None).cast("string").alias("error"), F.lit(None).cast("timestamp").alias("updated_at"),
     )
-    failed = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("task_id"), F.lit("f2").alias("filename"), F.lit("failed").alias("status"), F.lit("broken").alias("error"))
-    made = records.updated_files(files, failed, _now())
+    hit = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("task_id"), F.lit("f2").alias("filename"))
+    failed = hit.select("*", F.lit("failed").alias("status"), F.lit("broken").alias("error"), (F.col("task_id") % 2).alias("at"))
+    done = hit.select("*", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"), (1 - F.col("task_id") % 2).alias("at"))
+    made = records.updated_files(files, failed.unionByName(done), _now(), at="at")
     return made.select("task_id", "filename", "status", "error", F.col("updated_at").isNotNull().alias("touched"))
 
 
@@ -94,10 +98,14 @@ def stale_tasks(spark, sf_dir):
 @query(f"""SELECT conv_id AS session_id, CASE WHEN conv_id % 5 = 0 THEN 'new' ELSE 'old' END AS collection_name, conv_id % 5 = 0 AS fresh, conv_id % 5 = 0 OR conv_id % 3 = 0 AS touched
     FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 7 <> 0""")
 def sessions_after(spark, sf_dir):
-    ids = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")).distinct()
+    """Created ids come once for each turn of a conversation, the last turn's collection counts."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn")
+    ids = turns.select("session_id").distinct()
+    last = F.max("turn").over(Window.partitionBy("session_id")) == F.col("turn")
+    created = turns.where("session_id % 5 = 0").select("session_id", "turn", F.when(last, "new").otherwise("stale").alias("collection_name"))
     before = F.expr(f"{_NOW} - INTERVAL 1 HOUR")
     old = ids.where("session_id % 2 = 0 OR session_id % 5 <> 0").select("session_id", F.lit("old").alias("collection_name"), before.alias("created_at"), before.alias("last_accessed"))
-    made = records.sessions_after(old, ids.where("session_id % 5 = 0").withColumn("collection_name", F.lit("new")), ids.where("session_id % 3 = 0"), ids.where("session_id % 7 = 0"), _now())
+    made = records.sessions_after(old, created, ids.where("session_id % 3 = 0"), ids.where("session_id % 7 = 0"), _now(), at="turn")
     return made.select("session_id", "collection_name", (F.col("created_at") == _now()).alias("fresh"), (F.col("last_accessed") == _now()).alias("touched"))
 
 

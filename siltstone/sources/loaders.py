@@ -155,14 +155,9 @@ def loaded(found: DataFrame) -> DataFrame:
 
 
 def page_rows(docs: DataFrame, key: str = "path") -> DataFrame:
-    """Pages of loaded contents by their boundaries; a content without any is cut at its blank lines."""
-    def step(acc: Column, part: Column) -> Column:
-        start = F.coalesce(F.get(acc, F.size(acc) - 1)["end_index"] + 2, F.lit(0))
-        return F.concat(acc, F.array(F.struct((F.size(acc) + 1).alias("page_number"), start.alias("start_index"), (start + F.length(part)).alias("end_index"))))
-
-    empty = F.array().cast("array<struct<page_number:int,start_index:int,end_index:int>>")
-    parts = F.aggregate(F.split("content", "\n\n"), empty, step)
-    pages = docs.where("content IS NOT NULL").select(key, "content", F.explode(F.coalesce("pages", parts)).alias("p"))
+    """Pages of loaded contents by their boundaries; a content without any is one page."""
+    whole = F.array(F.struct(F.lit(1).alias("page_number"), F.lit(0).alias("start_index"), F.length("content").alias("end_index")))
+    pages = docs.where("content IS NOT NULL").select(key, "content", F.explode(F.coalesce("pages", whole)).alias("p"))
     body = F.substring(F.col("content"), F.col("p.start_index") + 1, F.col("p.end_index") - F.col("p.start_index"))
     return pages.select(key, "p.page_number", "p.start_index", "p.end_index", body.alias("content"))
 

@@ -99,34 +99,42 @@ def test_chunks_of_repeated_ids_are_numbered_apart(spark):
     assert "Exchange" not in plan
 
 
-def region_loop(rows, most):
-    out, sec, size = [], [], 0
-    for kind, text in rows:
-        if kind in ("table", "equation", "image"):
-            if sec:
-                out.append(sec)
-                sec, size = [], 0
-            out.append([(kind, text)])
-        elif kind in ("title", "heading") or (size + len(text) > most and sec):
-            if sec:
-                out.append(sec)
-            sec, size = [(kind, text)], len(text)
-        else:
-            sec, size = [*sec, (kind, text)], size + len(text)
-    return [*out, sec] if sec else out
-
-
-def test_region_chunks(spark):
+def regions_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, region_sequence int, region_type string, content string, page_number int").repartition(3)
+
+
+def test_region_chunks_by_hand(spark):
+    kinds = [
+        ("text", "aaaa", 1), ("text", "bbbb", 1), ("list", "cc", 2),  # 4 + 4 fit into 9, 2 more do not
+        ("table", "a very long table", 2),  # alone, however long
+        ("text", "d", 2), ("title", "T", 3), ("text", "eeeeeeeee", None), ("heading", "H", 3),  # titles open a chunk; 1 + 9 is too much
+        ("text", "x" * 30, 4), ("text", None, 4), ("image", "i", 5), ("image", "j", 5), (None, "z", 6),
+    ]
+    rows = [(1, n, k, t, p) for n, (k, t, p) in enumerate(kinds)] + [(2, 0, "equation", "e", None)]
+    got = chunking.region_chunks(regions_of(spark, rows), 9).orderBy("doc_id", "chunk_index").collect()
+    assert [(r.content, r.n_regions, r.atomic) for r in got] == [
+        ("aaaa\n\nbbbb", 2, False), ("cc", 1, False), ("a very long table", 1, True), ("d", 1, False), ("T", 1, False), ("eeeeeeeee", 1, False), ("H", 1, False),
+        ("x" * 30, 1, False), ("", 1, False), ("i", 1, True), ("j", 1, True), ("z", 1, False), ("e", 1, True),
+    ]
+    assert [r.chunk_index for r in got] == [*range(12), 0]
+    assert got[0].region_types == ["text", "text"] and got[0].page_numbers == [1] and got[5].page_numbers == []
+
+
+def test_region_chunks_keep_their_promises(spark):
     rng = random.Random(2)
-    docs = {d: [(rng.choice(["text", "text", "list", "title", "table", "image"]), "y" * rng.randint(0, 50)) for _ in range(rng.randint(1, 25))] for d in range(20)}
+    docs = {d: [(rng.choice(["text", "text", "list", "title", "table", "image"]), "y" * rng.randint(0, 50)) for _ in range(rng.randint(1, 40))] for d in range(20)}
     rows = [(d, i, k, t, i // 3) for d, rs in docs.items() for i, (k, t) in enumerate(rs)]
-    df = spark.createDataFrame(rows, "doc_id long, region_sequence int, region_type string, content string, page_number int").repartition(3)
-    got = {}
-    for r in chunking.region_chunks(df, 80).orderBy("doc_id", "chunk_index").collect():
-        got.setdefault(r.doc_id, []).append((r.content, r.region_types))
-    for d, rs in docs.items():
-        want = [("\n\n".join(t for _, t in sec), [k for k, _ in sec]) for sec in region_loop(rs, 80)]
-        assert got[d] == want
+    chunks = {}
+    for r in chunking.region_chunks(regions_of(spark, rows), 80).orderBy("doc_id", "chunk_index").collect():
+        chunks.setdefault(r.doc_id, []).append(r)
+    for d, regions_ in docs.items():
+        assert [k for c in chunks[d] for k in c.region_types] == [k for k, _ in regions_]  # all of them, in order
+        assert [x for c in chunks[d] for x in c.content.split("\n\n")] == [t for _, t in regions_]
+        for c, after in zip(chunks[d], [*chunks[d][1:], None], strict=True):
+            size = sum(map(len, c.content.split("\n\n")))
+            assert c.n_regions == 1 or size <= 80 and not {"table", "image"} & set(c.region_types) and "title" not in c.region_types[1:]
+            if after and not c.atomic and after.region_types[0] in ("text", "list"):  # it would not have fitted
+                assert size + len(after.content.split("\n\n")[0]) > 80
 
 
 def greedy(tokens, most, items):
