@@ -39,17 +39,39 @@ def files(spark: SparkSession, path: str, pattern: str | None = None, recursive:
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
+def sniffed(content: Column) -> Column:
+    """What the first bytes of a file say it is: its suffixes, or ``text`` without a zero byte, or null (signatures are fixed values)."""
+    head = F.hex(F.substring(content, 1, 16))
+    marks = (
+        ("255044462D", (".pdf",)), ("504B0304", (".docx", ".pptx")), ("89504E470D0A1A0A", (".png",)), ("FFD8FF", (".jpg", ".jpeg")),
+        ("47494638", (".gif",)), ("424D", (".bmp",)), ("49492A00", (".tiff",)), ("4D4D002A", (".tiff",)),
+    )
+    kind = F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), F.array(F.lit(".webp")))
+    for mark, suffixes in marks:
+        kind = kind.when(head.startswith(mark), F.array(*map(F.lit, suffixes)))
+    text = F.array(*map(F.lit, (".txt", ".md", ".markdown")))
+    return kind.when(F.substring(F.hex(F.substring(content, 1, 512)), 1, 1024).rlike("^(?:(?!00)..)*$"), text)
+
+
 def checked(found: DataFrame) -> DataFrame:
-    """Files with the reason they are rejected for, if any."""
+    """Files with the reason they are rejected for, if any: format, size, or first bytes that belong to another format."""
     kind = suffix(F.col("path"))
     reason = (
         F.when(~kind.isin(*DOCUMENTS, *IMAGES), F.concat(F.lit("unsupported format: "), kind))
         .when(kind.isin(*IMAGES) & (F.col("length") > MAX_IMAGE), "image too large")
         .when(F.col("length") > MAX_DOCUMENT, "file too large")
     )
+    if "content" in found.columns:
+        fits = F.coalesce(F.array_contains(sniffed(F.col("content")), kind), F.lit(False))
+        reason = reason.when((F.col("length") > 0) & ~fits, F.concat(F.lit("content is not "), kind))
     return found.withColumn("error", reason)
 
 
+def admitted(found: DataFrame) -> DataFrame:
+    """One row per file (path, status, error) of an upload: rejected ones have failed, the others are pending."""
+    return checked(found).select("path", F.when(F.col("error").isNull(), "pending").otherwise("failed").alias("status"), "error")
+
+
 def register(suffixes: tuple[str, ...], load: Loader) -> None:
     """Add a loader; earlier ones win."""
     _LOADERS.append((tuple(s.lower() for s in suffixes), load))
@@ -132,8 +154,12 @@ register((".pdf",), _pdf)
 
 
 def loaded(found: DataFrame) -> DataFrame:
-    """Contents of files (path, content bytes), each by the first loader of its suffix."""
+    """Contents of files (path, content bytes), each by the first loader of its suffix; files that ``checked`` rejected keep their error."""
     loaders = list(_LOADERS)
+    if "error" in found.columns:
+        failed = found.where(F.col("error").isNotNull()).select("path", F.create_map(F.lit("source"), F.col("path")).alias("metadata"), "error")
+        good = loaded(found.where(F.col("error").isNull()).drop("error"))
+        return good.unionByName(failed, allowMissingColumns=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -58,8 +58,8 @@ def test_loaders(spark, tmp_path):
     office(tmp_path / "d.docx", {"word/document.xml": "<w:p><w:t>One</w:t><w:t> two</w:t></w:p><w:p><w:t> </w:t></w:p><w:p><w:t>Three</w:t></w:p>"})
     office(tmp_path / "s.pptx", {"ppt/slides/slide1.xml": "<p:sp><a:p><a:t>Hi</a:t></a:p></p:sp><a:tr><a:tc><a:t>1</a:t></a:tc><a:tc><a:t>2</a:t></a:tc></a:tr>"})
     found = loaders.checked(loaders.files(spark, f"file://{tmp_path}"))
-    assert {r.path.rsplit("/")[-1] for r in found.where("error IS NOT NULL").collect()} == {"c.bin"}
-    got = {r.path.rsplit("/")[-1]: r for r in loaders.loaded(found.where("error IS NULL")).collect()}
+    assert {r.path.rsplit("/")[-1] for r in found.where("error IS NOT NULL").collect()} == {"c.bin", "bad.docx"}
+    got = {r.path.rsplit("/")[-1]: r for r in loaders.loaded(found.drop("error")).collect()}
     assert got["a.txt"].content == "plain é" and got["b.MD"].format == "markdown"
     assert got["d.docx"].content == "One two\n\nThree" and got["d.docx"].metadata["paragraph_count"] == "2"
     assert got["s.pptx"].content == "--- Slide 1 ---\nHi\n1 | 2"
