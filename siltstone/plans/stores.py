@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from siltstone.plans.catalogue import query, table
 from siltstone.sources.collections import CollectionStore
 from siltstone.sources.scratch import fresh_path
+from siltstone.streaming import stateful, streams
+from siltstone.streaming.page_batches import PageBatches
 
 
 def _store(spark, sf_dir) -> CollectionStore:
-    """The embeddings as a collection; every seventh row has no vector yet."""
+    """The embeddings as a collection, from two appends."""
     e = table(spark, sf_dir, "embeddings")
     store = CollectionStore(spark, fresh_path(spark, "collections"))
     dimension = e.select(F.size("embedding").alias("n")).first().n
@@ -79,3 +81,52 @@ def collection_versions(spark, sf_dir):
     store = _changed(spark, sf_dir)
     store.configure("vectors", chunk_size=1024)
     return store.list().select("collection", "metric", F.col("rows").alias("n"), "version", "dimension")
+
+
+@query("""
+    WITH e AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTES, true) OR lag(event_type) OVER w = 'error' AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR)),
+    n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id AS session_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS last_access, count(*) AS n_events,
+        CASE WHEN bool_or(event_type = 'error') THEN 'deleted' ELSE 'expired' END AS ended FROM n GROUP BY user_id, k HAVING count(*) > 1 OR NOT bool_or(event_type = 'error')""")
+def session_lives(spark, sf_dir):
+    """Users' sessions, which an error deletes."""
+    kind = F.when(F.col("event_type") == "error", "deleted").otherwise("read")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"))
+    return stateful.sessions(events).withColumn("started", F.unix_micros("started")).withColumn("last_access", F.unix_micros("last_access"))
+
+
+@query("""
+    WITH e AS (SELECT user_id AS task_id, event_id AS ts, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'processing' ELSE 'queued' END AS status, value AS progress FROM events),
+    t AS (SELECT *, status IN ('completed', 'failed') AS done FROM e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY done DESC, CASE WHEN done THEN -ts ELSE ts END DESC) AS o FROM t)
+    SELECT task_id, status, round(progress, 6) AS progress, ts FROM r WHERE o = 1""")
+def task_machine(spark, sf_dir):
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "processing").otherwise("queued")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), status.alias("status"), F.col("value").alias("progress"), F.col("event_id").alias("ts"))
+    return stateful.task_states(events).withColumn("progress", F.round("progress", 6))
+
+
+@query("""SELECT doc_id::VARCHAR AS path, md5(array_to_string(list_filter(list_transform(generate_series(0, (length(text) - 1) // 2000), lambda n: substr(text, n * 2000 + 1, 2000)),
+    lambda p: regexp_matches(p, '[^ \t\n\x0b\f\r]')), chr(10) || chr(10))) AS content, ((length(text) - 1) // 2000 + 1)::BIGINT AS n_pages FROM documents WHERE length(text) > 0""")
+def resumed_pages(spark, sf_dir):
+    """Pages of documents in batches of a stream that stops once between a batch's rows and its progress, and is run again."""
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 2000).cast("int"))
+    pages = docs.select(F.col("doc_id").cast("string").alias("path"), "text", F.explode(starts).alias("n"))
+    pages = pages.select("path", (F.col("n") + 1).alias("page_number"), F.substring(F.col("text"), F.col("n") * 2000 + 1, F.lit(2000)).alias("content"))
+    source = fresh_path(spark, "page_rows")
+    pages.repartition(3, "path").write.parquet(source)
+    work = PageBatches(spark, fresh_path(spark, "page_batches"))
+    stream = lambda: streams.folder(spark, source, "path string, page_number int, content string", 1)
+
+    def stop(number: int) -> None:
+        if number == 1:
+            raise InterruptedError("stopped")
+
+    try:
+        work.run(stream(), lambda d: d, stop).awaitTermination()
+    except Exception as e:
+        if "stopped" not in str(e):
+            raise
+    work.run(stream(), lambda d: d).awaitTermination()
+    return work.documents().withColumn("content", F.md5("content"))
