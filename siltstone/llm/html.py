@@ -43,11 +43,13 @@ from siltstone.llm.common import slices, spread_join, stored
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _OUTSIDE = {"head", "nav", "header", "footer", "aside", "form", "noscript", "template", "svg", "button", "select", "menu", "dialog", "canvas", "object", "audio", "video"}
+#: Of these, what stands within a line and leaves it whole when it goes.
+_WITHIN_LINE = {"button", "select", "svg", "canvas", "object", "audio", "video", "noscript", "template"}
 _BLOCK = {
     "address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section",
     "summary", "table", "tbody", "tfoot", "thead", "tr", "ul", "caption",
-} | _OUTSIDE
+} | (_OUTSIDE - _WITHIN_LINE)
 _CLOSES_P = _BLOCK - {"html", "body"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form", "toolbar"}
 _WORDS = {
@@ -61,6 +63,11 @@ _WORDS = {
 _NAMED = {"body", "html", "main", "h1", "h2", "h3", "h4", "h5", "h6"}
 _PROSE = {"p", "blockquote", "pre", "table", "li"}
 _REMARKS = {"comment", "comments", "disqus", "respond", "replies"}
+#: Inside a landmark a name bars only if all its parts are such words or these ("share-buttons", not "share-price").
+_FRAMES = {
+    "area", "bar", "block", "body", "box", "button", "buttons", "container", "content", "form", "group", "icon", "icons", "inner", "item", "items", "left", "link", "links",
+    "list", "main", "outer", "page", "panel", "post", "posts", "right", "section", "site", "thread", "top", "user", "reader", "wrap", "wrapper",
+}
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""(?i)\s(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _ROLE_MAIN = re.compile(r"""(?i)\srole\s*=\s*["']?main\b""")
@@ -87,19 +94,22 @@ def tag_end(page: str, start: int, spent: set[str]) -> int:
     return len(page)
 
 
-def _standing(name: str, tag: str, inside: bool) -> str:
-    """What an element is: "remark" and "outside" give no lines, "" decides nothing; ``inside`` a landmark or not."""
-    free = name in _NAMED or inside and name in _PROSE
+def _standing(name: str, tag: str, inside: bool, words: bool = True) -> str:
+    """What an element is: "remark" and "outside" give no lines, "" decides nothing; ``inside`` a landmark or not, ``words`` of classes and ids count or not."""
+    free = not words or name in _NAMED or inside and name in _PROSE
     standing = "outside" if name in _OUTSIDE else ""
     for key, *values in _ATTRIBUTE.findall(tag):
         key, value = key.lower(), next((v for v in values if v), "")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in _ROLES:
             standing = standing or "outside"
         elif key in ("class", "id") and not free:
-            words = {w.lower() for w in _PARTS.findall(value)}
-            if words & _REMARKS:
+            tokens = [{w.lower() for w in _PARTS.findall(t)} for t in value.split()]
+            if inside:
+                tokens = [t for t in tokens if t <= _WORDS | _FRAMES]
+            found = set().union(*tokens)
+            if found & _REMARKS:
                 return "remark"
-            if words & _WORDS and not words & {"has", "with", "no"} and (name != "article" or inside):
+            if found & _WORDS and not found & {"has", "with", "no"} and (name != "article" or inside):
                 standing = standing or "outside"
     return standing
 
@@ -152,8 +162,11 @@ class _Open:
             self.items.pop()
 
 
-def page_lines(page: str) -> list[tuple[str, int]]:
-    """All text lines in page order with the landmark that holds them: 2 article, 1 main, 0 none, -1 outside the text."""
+def page_lines(page: str, words: bool = True) -> list[tuple[str, int]]:
+    """All text lines in page order with the landmark that holds them: 2 article, 1 main, 0 none, -1 outside the text.
+
+    Without ``words``, names of classes and ids bar nothing.
+    """
     found: list[tuple[str, int]] = []
     stack = _Open()
     text: list[str] = []
@@ -161,17 +174,17 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     spent: set[str] = set()
     met = False
 
-    def flush() -> None:
+    def flush(both: bool = True) -> None:
         nonlocal met
-        for part, mark in ((text, stack.landmark()), (aside, -1)):
+        for part, mark in ((text, stack.landmark()), (aside, -1)) if both else ((aside, -1),):
             if part:
                 if line := " ".join(html.unescape("".join(part)).split()):
                     found.append((line, mark))
                     met |= mark == 2
                 part.clear()
 
-    def pop(n: int) -> None:
-        flush()
+    def pop(n: int, both: bool = True) -> None:
+        flush(both)
         stack.cut(n)
 
     at, size = 0, len(page)
@@ -204,7 +217,8 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             elif places := stack.places.get(name):
                 n = places[-1]
                 if name in _BLOCK or stack.barred and stack.barred[-1] >= n:
-                    pop(n)
+                    # the line goes on behind what is taken out of it
+                    pop(n, name in _BLOCK)
                 else:
                     stack.close_inline(n)
             continue
@@ -218,7 +232,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             text.append(" ")
         if name in _VOID or page[at - 2 : at] == "/>" and name not in _BLOCK:
             continue
-        standing = _standing(name, page[lt:at], stack.landmark() > 0)
+        standing = _standing(name, page[lt:at], stack.landmark() > 0, words)
         if name in ("article", "main"):
             # an unclosed menu or advert ends where the first article begins; remarks stay remarks
             if stack.barred and not met and not stack.remarks:
@@ -234,9 +248,16 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     return found
 
 
-def blocks(page: str) -> list[tuple[str, int]]:
-    """Text blocks that may be article, in page order, with the landmark that holds them: 2 article, 1 main, 0 none."""
-    return [x for x in page_lines(page) if x[1] >= 0]
+def candidates(page: str) -> tuple[list[tuple[str, bool]], int]:
+    """All lines in page order and whether each may be article, and the highest landmark.
+
+    With a landmark these are the lines below any, else all that nothing bars.  If names of classes and ids bar everything, they count for nothing.
+    """
+    lines = page_lines(page)
+    if lines and all(mark < 0 for _, mark in lines):
+        lines = page_lines(page, words=False)
+    best = max((mark for _, mark in lines), default=0)
+    return [(t, mark > 0 if best > 0 else mark == 0) for t, mark in lines], max(best, 0)
 
 
 def _rows(a: list[int], b: list[int]) -> Iterator[int]:
@@ -291,20 +312,6 @@ def common_lines(a: list[int], b: list[int], cells: int = 1 << 26) -> list[int]:
     return edges[0] + [head + i for i in inner] + edges[1]
 
 
-def article(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
-    """The page's text after differencing with its neighbour's lines."""
-    if best := max((mark for _, mark in lines), default=0):
-        return "\n\n".join(t for t, mark in lines if mark == best)
-    texts = [t for t, _ in lines]
-    if other:
-        numbers: dict[str, int] = {}
-        a, b = ([numbers.setdefault(t, len(numbers)) for t, mark in x if not mark] for x in (lines, other))
-        shared = set(shared_lines(a, [b]))
-        if len(shared) < len(texts):
-            texts = [t for i, t in enumerate(texts) if i not in shared]
-    return "\n\n".join(texts)
-
-
 def shared_lines(page: list[int], near: list[list[int]]) -> list[int]:
     """Indexes of the lines that all near pages share, each by longest common subsequence."""
     votes = [0] * len(page)
@@ -335,14 +342,13 @@ def _parsed(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFram
             for part in slices(batch, "html"):
                 columns: list[list] = [[], [], [], [], []]
                 for page in part.column("html").to_pylist():
-                    lines = page_lines(page or "")
-                    best = max((mark for _, mark in lines), default=0)
-                    own = np.array([mark == max(best, 0) for _, mark in lines], bool)
+                    lines, best = candidates(page or "")
+                    own = np.array([keep for _, keep in lines], bool)
                     hashes = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _ in lines], "<u8").tobytes()
                     places = np.where(own, np.cumsum(own) - 1, -1).astype("<i4").tobytes()
                     digest = int(np.uint64(xxhash.xxh64_intdigest(hashes + places)).view(np.int64))
                     texts = [t for (t, _), keep in zip(lines, own, strict=True) if keep]
-                    for column, value in zip(columns, (max(best, 0), texts, hashes, places, digest), strict=True):
+                    for column, value in zip(columns, (best, texts, hashes, places, digest), strict=True):
                         column.append(value)
                 kept = [part.column(n) for n in ("id", "url", "host", "path")]
                 kept += [pa.array(c, f.type) for c, f in zip(columns, list(schema)[4:], strict=True)]
@@ -434,9 +440,15 @@ def extract_main_text(
     n_restored (shared candidate lines that stay, as a landmark's or as all that the page has).
     """
     parsed = stored(_parsed(df, id_col, url_col, html_col), "pages")
-    decided = stored(_differenced(_ranked(parsed), reach, near, run), "decided")
-    # copies of one page may be a third of all rows; texts move only if the pages that share lines are many
-    both = spread_join(parsed.drop("hashes", "places", "path"), decided, ["host", "digest"], how="left")
+    ranked = stored(_ranked(parsed), "pages_ranked")
+    decided = stored(_differenced(ranked, reach, near, run), "decided")
+    # copies of one page may be a third of all rows, whether it shares lines or not; texts move only if the pages that share lines are many
+    total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = ranked.where(F.col("n") * 1024 > total).join(decided.select("host", "digest"), ["host", "digest"], "left_anti").select("host", "digest", "n")
+    known = stored(decided.unionByName(hot, allowMissingColumns=True), "decided_or_hot")
+    pages = parsed.drop("hashes", "places", "path")
+    both = spread_join(pages.where("host <> ''"), known, ["host", "digest"], how="left")
+    both = both.unionByName(pages.where("host = ''"), allowMissingColumns=True)
     n = F.size("texts")
     left = F.when(n > 0, F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>")))).otherwise(F.array().cast("array<int>"))
     both = both.withColumn("left", left)

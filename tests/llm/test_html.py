@@ -30,37 +30,78 @@ def test_common_lines_is_a_longest_common_subsequence():
         assert len(got) == lcs_length(a, b)
 
 
+def text_of(page):
+    """The page's candidate lines, which are its text when nothing is shared."""
+    return "\n\n".join(t for t, own in html.candidates(page)[0] if own)
+
+
 def test_structure():
-    assert html.article(html.blocks(PAGE), None) == "Head & tail\n\nOne two three\n\nFour five é\n\nx\n\ny"
-    assert html.blocks("") == [] and html.blocks("a < b <3 </ p> &lt;") == [("a < b <3 </ p> <", 0)]
-    assert html.blocks("<p title='a>b'>x</p><p title=\"unclosed>y</p>") == [("x", 0), ("y", 0)]
-    assert html.blocks("<nav><a>m</a><article><p>x</article>") == [("x", 2)]
-    assert html.blocks("<!-- " * 5000 + "<p>x") == [] and html.blocks("<b>" * 5000 + "x") == [("x", 0)]
+    assert text_of(PAGE) == "Head & tail\n\nOne two three\n\nFour five é\n\nx\n\ny"
+    assert html.page_lines("") == [] and html.page_lines("a < b <3 </ p> &lt;") == [("a < b <3 </ p> <", 0)]
+    assert html.page_lines("<p title='a>b'>x</p><p title=\"unclosed>y</p>") == [("x", 0), ("y", 0)]
+    assert html.page_lines("<nav><a>m</a><article><p>x</article>") == [("m", -1), ("x", 2)]
+    assert html.page_lines("<!-- " * 5000 + "<p>x") == [] and html.page_lines("<b>" * 5000 + "x") == [("x", 0)]
 
 
 def test_landmarks():
-    text = lambda page: html.article(html.blocks(page), None)
-    assert text("<p>out</p><div role='main'><p>in</p></div>") == "in"
-    assert text("<main><h1>Site</h1><article><p>a</p></article><aside><article>teaser</article></aside></main>") == "a"
-    assert text("<main class='no-sidebar'><p>m</p></main><p>n") == "m" and text("<div class='has-sidebar'><p>x</div>") == "x"
-    assert text("<div class='post sidebar-left'><p>x</div>") == ""
+    assert text_of("<p>out</p><div role='main'><p>in</p></div>") == "in"
+    assert text_of("<main><h1>Site</h1><article><p>a</p></article><aside><article>teaser</article></aside></main>") == "Site\n\na"
+    assert text_of("<main class='no-sidebar'><p>m</p></main><p>n") == "m" and text_of("<div class='has-sidebar'><p>x</div>") == "x"
+    # all that stands below any landmark stays
+    assert text_of("<main><h1>T</h1><p>Long article text.</p><section><article><h3>Teaser</h3></article></section></main>") == "T\n\nLong article text.\n\nTeaser"
+    assert text_of("<main><p>m</p></main><article><p>a</p></article><p>out</p>") == "m\n\na"
 
 
 def test_class_words_keep_the_articles_own_text():
-    text = lambda page: html.article(html.blocks(page), None)
-    assert text("<p>out</p><article class='post share-enabled'><p>in</p></article>") == "in"
+    assert text_of("<p>out</p><article class='post share-enabled'><p>in</p></article>") == "in"
     page = "<article><h2 id='related-work'>Related</h2><h2 id='comments'>Remarks</h2><p class='share-price'>Up <math><mi>x</mi></math></p>"
-    assert text(page + "<div class='share'>no</div><article class='related'>no</article></article>") == "Related\n\nRemarks\n\nUp x"
+    assert text_of(page + "<div class='share'>no</div><article class='related'>no</article></article>") == "Related\n\nRemarks\n\nUp x"
+    inside = "<section class='related-work'>a</section><div class='share-price'>b</div><div class='menu-recipe'>c</div>"
+    barred = "<div class='share-buttons'>no</div><div class='related-posts'>no</div><div id='comments-section'>no</div><div class='cookie-notice'>no</div>"
+    assert text_of(f"<article>{inside}{barred}</article>") == "a\n\nb\n\nc"
+
+
+def test_class_words_never_empty_a_page(spark):
+    for name in ("class='post sidebar-left'", "id=page-footer-less", "class=comments-policy", "class='skip-intro'"):
+        assert text_of(f"<body><div {name}><p>x</p><p>y</p></div></body>") == "x\n\ny"
+    assert text_of("<div class='sidebar'>no</div><p>yes</p>") == "yes" and text_of("<nav>no</nav>") == ""
+    df = spark.createDataFrame([(1, "http://h.org/1", "<div class='post sidebar-left'><p>x</div>")], "page_id long, url string, html string")
+    assert html.extract_main_text(df).first().text == "x"
+
+
+def test_what_goes_from_a_line_leaves_it_whole():
+    assert text_of("<p>One <button>b</button> two</p>") == "One two" == text_of("<p>One <span class='advert'>x</span> two</p>")
+    assert text_of("<p>a <svg><text>t</text></svg>b <select><option>o</select>c</p><p>d") == "a b c\n\nd"
+    assert ("b", -1) in html.page_lines("<p>One <button>b</button> two</p>")
+    assert text_of("<p>a<nav>no</nav>b</p>") == "a\n\nb"  # a block parts lines
+
+
+def test_copies_of_a_page_that_shares_nothing_are_dealt(spark):
+    rows = [(n, "http://h.org/same" if n % 3 == 0 else f"http://h.org/{n}", "<p>copy</p>" if n % 3 == 0 else f"<p>own {n}</p><p>text {n}") for n in range(3000)]
+    rows += [(5000 + n, None, "<p>nowhere</p>") for n in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = html.extract_main_text(df).selectExpr("page_id", "text", "spark_partition_id() AS part").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(found) == 3300 and {r.text for r in found if r.page_id % 3 == 0 and r.page_id < 3000} == {"copy"}
+    copies = [r.part for r in found if r.text == "copy"]
+    assert max(map(copies.count, set(copies))) < 2.5 * len(copies) / 16
 
 
 def brute_texts(rows, reach=4, near=4):
     """Texts by the definition: the distinct pages of a host in path order, the nearest ones, their shared lines, landmarks."""
     parsed, hosts = [], {}
     for _, url, page in rows:
-        lines = html.page_lines(page or "")
-        best = max([m for _, m in lines] + [0])
+        lines, best = html.candidates(page or "")
         host, path = (urlparse(url).hostname, urlparse(url).path) if (url or "").startswith("http") else ("", "")
-        parsed.append((host, tuple((t, m == best) for t, m in lines), best))
+        parsed.append((host, tuple(lines), best))
         at = hosts.setdefault(host, {})
         at[parsed[-1][1]] = min(at.get(parsed[-1][1], path), path)
     out = []
@@ -110,9 +151,9 @@ def test_landmarks_restore_shared_paragraphs(spark):
 def test_parsing_is_linear_and_unbounded_in_depth():
     began = time.perf_counter()
     deep = 60_000
-    assert html.blocks("<div>" * deep + "</p>" * deep + "x") == [("x", 0)]
-    assert html.blocks("<b><i>" * deep + "</b>" * deep + "<main>y") == [("y", 1)]
+    assert html.page_lines("<div>" * deep + "</p>" * deep + "x") == [("x", 0)]
+    assert html.page_lines("<b><i>" * deep + "</b>" * deep + "<main>y") == [("y", 1)]
     # an advert opened below many inline elements still ends with its own tag
-    assert html.blocks("<b>" * 2000 + "<span class='ad'>no</span>yes") == [("yes", 0)]
-    assert len(html.blocks("<p>word " * deep)) == deep
+    assert html.page_lines("<b>" * 2000 + "<span class='ad'>no</span>yes") == [("no", -1), ("yes", 0)]
+    assert len(html.page_lines("<p>word " * deep)) == deep
     assert time.perf_counter() - began < 20
