@@ -12,6 +12,7 @@ from siltstone.functions.vectors import score
 from siltstone.operators import chunking, context, ingest, search
 from siltstone.operators.predicates import compiled
 from siltstone.sources.collections import CollectionStore
+from siltstone.sources.scratch import written
 
 #: Ranges of retrieval settings and citation styles (fixed values).
 RANGES = {
@@ -52,6 +53,19 @@ class Engine:
         rows = ingest.chunk_metadata(base.withColumnRenamed("metadata", "doc_metadata"), F.coalesce("doc_metadata", F.create_map().cast("map<string,string>")), own, id_col)
         self.store.add(name, ingest.encoded(rows, self.load, "document").select("id", "embedding", "document", "metadata"))
 
+    def ingest_regions(self, name: str, regions: DataFrame, max_size: int = 1000, id_col: str = "source") -> DataFrame:
+        """Chunk documents by their regions (source, region_sequence, region_type, content, page_number, ...), encode and append them.
+
+        The collection is created if it is not there.  Gives a row per source: chunks, first ids, status.
+        """
+        if not self.store.snapshot(name).live:
+            self.create(name)
+        chunks = chunking.semantic_chunks(regions, max_size, id_col).withColumnRenamed("content", "document").withColumnRenamed("metadata", "own")
+        rows = ingest.chunk_metadata(chunks, F.create_map(F.lit("source"), F.col(id_col).cast("string")), F.col("own"), id_col)
+        rows = written(ingest.encoded(rows, self.load, "document"), "semantic_chunks")
+        self.store.add(name, rows.select("id", "embedding", "document", "metadata"))
+        return ingest.saved_report(regions.select(id_col), rows, name, id_col)
+
     def search(self, name: str, query: str, k: int = 5, where: dict | None = None) -> DataFrame:
         """The ``k`` nearest rows of a collection under its declared metric; filters address metadata keys."""
         validated({"top_k": k})

@@ -255,3 +255,13 @@ def wrapped(text: Column, width: int) -> Column:
 
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     return F.aggregate(words, F.array().cast("array<string>"), step)
+
+
+#: Content types by suffix (fixed values).
+_MIME = {".pdf": "application/pdf", ".txt": "text/plain", ".md": "text/markdown", ".py": "text/x-python", ".json": "application/json", ".csv": "text/csv"}
+
+
+def content_type(path: Column) -> Column:
+    """Content type by the suffix of a path."""
+    known = F.create_map(*[F.lit(x) for pair in _MIME.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))), F.lit("application/octet-stream"))

@@ -27,13 +27,17 @@ def norm(v: Column) -> Column:
 
 
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """1 - cosine, squared Euclidean, or 1 - inner product; an unknown metric counts as cosine."""
+    """1 - cosine, squared Euclidean, or 1 - inner product; an unknown metric counts as cosine.
+
+    A vector of zeros has the cosine distance 1 to every vector.
+    """
     if metric == "l2":
         squares = F.zip_with(_doubles(a), _doubles(b), lambda x, y: (x - y) * (x - y))
         return F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)
     if metric == "ip":
         return 1.0 - dot(a, b)
-    return 1.0 - dot(a, b) / (norm(a) * norm(b))
+    norms = norm(a) * norm(b)
+    return F.when(norms == 0, 1.0).otherwise(1.0 - dot(a, b) / F.nullif(norms, F.lit(0.0)))
 
 
 def score(dist: Column) -> Column:

@@ -244,6 +244,43 @@ def region_chunks(
     )
 
 
+#: Fields that only regions of one type bring to their chunk (fixed values).
+_OWN = {
+    "table": ("table_html", "table_rows", "table_cols"), "equation": ("equation_latex", "equation_type"), "image": ("image_description", "image_type"),
+}
+
+
+def semantic_chunks(regions: DataFrame, max_size: int = 1000, id_col: str = "doc_id", order_col: str = "region_sequence") -> DataFrame:
+    """Chunks of regions as ``region_chunks`` packs them, each with its metadata as a map of texts.
+
+    A chunk of one table, equation or image carries that region's fields (empty ones and zeros are left out), any other the types, ids,
+    pages and tags of all its regions.  Lists are joined by commas; regions may lack any of the optional columns.
+    """
+    optional = ["region_id", "semantic_tags", "markdown_level", *[f for fields in _OWN.values() for f in fields]]
+    some = [F.col(c) if c in regions.columns else F.lit(None).cast("array<string>" if c == "semantic_tags" else "string").alias(c) for c in optional]
+    row = F.struct(F.col(order_col).alias("sequence"), "region_type", "content", F.col("page_number").cast("int").alias("page_number"), *some)
+    each = regions.groupBy(id_col).agg(F.sort_array(F.collect_list(row)).alias("regions"))
+    chunks = each.select(id_col, F.posexplode(packed_regions(F.col("regions"), max_size)).alias("chunk_index", "c"))
+    first, text = F.get("c", F.lit(0)), lambda c: c.cast("string")
+    of = lambda name: F.transform("c", lambda r: r[name])
+    joined = lambda c: F.nullif(F.array_join(c.cast("array<string>"), ","), F.lit(""))
+    pages = F.array_compact(F.sort_array(F.array_distinct(of("page_number"))))
+    tags = F.array_sort(F.array_distinct(F.flatten(F.array_compact(of("semantic_tags")))))
+    alone = F.coalesce(first["region_type"].isin(*ATOMIC), F.lit(False))
+    content = F.array_join(F.transform("c", lambda r: F.coalesce(r["content"], F.lit(""))), "\n\n")
+    solid = lambda c: F.when(~text(c).isin("", "0"), text(c))
+    entries = {
+        "chunk_index": text(F.col("chunk_index")), "chunking_strategy": F.lit("semantic_region"), "start_index": F.lit("0"), "end_index": text(F.length(content)),
+        "page_number": text(F.get(pages, F.lit(0))), "semantic_tags": joined(tags), "atomic": F.when(alone, "true"), "region_id": F.when(alone, first["region_id"]),
+        "region_type": F.when(alone, first["region_type"]), "region_sequence": F.when(alone, text(first["sequence"])), "markdown_level": F.when(alone, text(first["markdown_level"])),
+        **{f: F.when(alone & (first["region_type"] == kind), solid(first[f])) for kind, fields in _OWN.items() for f in fields},
+        "merged_regions": F.when(~alone, text(F.size("c"))), "region_types": F.when(~alone, joined(of("region_type"))), "region_ids": F.when(~alone, joined(of("region_id"))),
+        "page_numbers": F.when(~alone & (F.size(pages) > 1), joined(pages)), "pages_spanned": F.when(~alone & (F.size(pages) > 1), text(F.size(pages))),
+    }
+    metadata = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
+    return chunks.select(id_col, "chunk_index", content.alias("content"), F.map_filter(metadata, lambda _, v: v.isNotNull()).alias("metadata"))
+
+
 def token_batches(
     df: DataFrame, max_tokens: int = 8192, max_items: int = 32, key_col: str = "key", order_col: str = "id", text_col: str = "text", rows: int = 65_536
 ) -> DataFrame:

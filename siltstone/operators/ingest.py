@@ -109,3 +109,20 @@ def isolated(df: DataFrame, work: Callable[[str], str], in_col: str, key_col: st
             yield pd.DataFrame(rows, columns=[key_col, "result", "error"])
 
     return df.select(key_col, in_col).mapInPandas(run, f"{key_col} {kind}, result string, error string")
+
+
+def saved_report(sources: DataFrame, rows: DataFrame, collection: str, source: str = "source", first: int = 10) -> DataFrame:
+    """What was saved of each source: total and saved chunks, the first ids in order of the chunks, and the status.
+
+    ``rows`` are the saved chunks (source, chunk_index, id); a source without any has failed.
+    """
+    # only the first ids of a source are gathered
+    sums = rows.groupBy(source).agg(
+        F.count(F.lit(1)).alias("n"), F.array_compact(F.sort_array(F.collect_list(F.when(F.col("chunk_index") < first, F.struct("chunk_index", "id"))))).alias("ids")
+    )
+    n = F.coalesce("n", F.lit(0))
+    return sources.select(source).distinct().join(sums, source, "left").select(
+        F.lit(collection).alias("collection_name"), source, n.alias("total_chunks"), n.alias("saved_chunks"),
+        F.coalesce(F.transform("ids", lambda r: r["id"]), F.array().cast("array<string>")).alias("embedding_ids"),
+        F.when(n > 0, "success").otherwise("failed - no chunks").alias("status"),
+    )

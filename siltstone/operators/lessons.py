@@ -102,6 +102,39 @@ def enriched(metadata: Column, grade: Column, subject: Column) -> Column:
     return F.map_concat(kept, present)
 
 
+def hints(text: Column, file_name: Column | None = None) -> Column:
+    """(grade, subject, content_type) that a text, behind its file name if there is one, speaks of; all null if it does not."""
+    from siltstone.functions.text import grade_of, subject_of
+
+    own = text if file_name is None else F.when(F.coalesce(file_name, F.lit("")) != "", F.concat_ws(" ", file_name, text)).otherwise(text)
+    grade, subject = grade_of(own), subject_of(own)
+    return F.struct(grade.alias("grade"), subject.alias("subject"), F.when(grade.isNotNull() | subject.isNotNull(), "educational").alias("content_type"))
+
+
+#: Fields of the metadata box and their labels, in order (fixed values).
+_BOX = {"grade": "Grade Level", "subject": "Subject", "duration": "Duration", "teaching_style": "Teaching Style", "generated": "Generated"}
+
+
+def metadata_box(text: Column, style: str = "color") -> Column:
+    """The second frontmatter block as a labelled HTML box; empty without one."""
+    tail = "-bw" if style == "bw" else ""
+    second = F.get(F.regexp_extract_all(text, F.lit(r"(?sm)^---\n(.*?)\n---"), F.lit(1)), F.lit(1))
+    fields = frontmatter(F.concat(F.lit("---\n"), second, F.lit("\n---\n")))
+    at = F.try_to_timestamp(F.regexp_replace(fields["generated"], "Z$", "+00:00"))
+    shown = {
+        "duration": F.concat(fields["duration"], F.lit(" minutes")), "teaching_style": F.initcap(F.translate(fields["teaching_style"], "_", " ")),
+        "generated": F.coalesce(F.date_format(at, "MMMM dd, yyyy 'at' hh:mm a"), fields["generated"]),
+    }
+    item = lambda k, label: F.concat(
+        F.lit(f'<div class="metadata-item"><span class="metadata-label">{label}:</span> <span class="metadata-value">'), shown.get(k, fields[k]), F.lit("</span></div>")
+    )
+    title = F.concat(F.lit(f'<h1 class="lesson-title{tail}">'), fields["title"], F.lit("</h1>"))
+    lines = F.array_compact(F.array(
+        F.lit(f'<div class="lesson-metadata{tail}">'), title, F.lit('<div class="metadata-grid">'), *[item(k, v) for k, v in _BOX.items()], F.lit("</div>"), F.lit("</div>")
+    ))
+    return F.when(F.size(fields) > 0, F.array_join(lines, "\n")).otherwise("")
+
+
 def lesson_prompt(topic: Column, grade: Column, subject: Column, minutes: Column, sources: Column) -> Column:
     """Request for a plan: the lesson's data and previews of its sources, cut at 500 characters."""
     from siltstone.operators.context import preview

@@ -225,3 +225,24 @@ def profile_totals(runs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("operations"), F.round(F.sum("seconds"), 2).alias("total_duration"), F.round(F.sum(memory), 1).alias("total_memory"),
         F.round(F.avg("seconds"), 2).alias("average_duration"), F.round(F.avg(memory), 1).alias("average_memory"),
     )
+
+
+def compared(runs: DataFrame, by: str = "name") -> DataFrame:
+    """Mean duration and memory of each approach over its iterations."""
+    return runs.groupBy(by).agg(
+        F.round(F.avg("seconds"), 4).alias("avg_duration"), F.round(F.avg(F.col("peak_mb") - F.col("start_mb")), 4).alias("avg_memory_mb"),
+        F.count(F.lit(1)).alias("iterations"),
+    )
+
+
+def administration(tasks: DataFrame, files: DataFrame, checkpoints: DataFrame, now: Column) -> DataFrame:
+    """State of a store as (section, name, value): tasks by status and in all, files, checkpoints and their size in megabytes."""
+    row = lambda section, name, value: F.struct(F.lit(section).alias("section"), name.alias("name"), value.cast("double").alias("value"))
+    by_status = tasks.groupBy("status").agg(F.count(F.lit(1)).alias("n")).select(row("tasks by status", F.col("status"), F.col("n")).alias("r"))
+    recent = F.count_if(F.col("updated_at") > now - F.expr("INTERVAL 24 HOURS"))
+    whole = tasks.agg(F.array(row("tasks", F.lit("total"), F.count(F.lit(1))), row("tasks", F.lit("active_last_24h"), recent)).alias("r"))
+    n_files = files.agg(row("tasks", F.lit("files"), F.count(F.lit(1))).alias("r"))
+    size = F.coalesce(F.sum("length"), F.lit(0)) / 1048576
+    held = checkpoints.agg(F.array(row("checkpoints", F.lit("active_count"), F.count(F.lit(1))), row("checkpoints", F.lit("disk_usage_mb"), size)).alias("r"))
+    each = by_status.unionByName(n_files).unionByName(whole.select(F.explode("r").alias("r"))).unionByName(held.select(F.explode("r").alias("r")))
+    return each.select("r.*")

@@ -88,7 +88,8 @@ def _nearest(sent, k: int, metric: str) -> Callable[[Iterator[pd.DataFrame]], It
             return np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * products, 0)
         if metric == "ip":
             return 1 - products
-        return 1 - products / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
+        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+        return 1 - np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
 
     def best(q: np.ndarray, d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The first ``k`` of each query by (distance, id)."""
@@ -176,6 +177,46 @@ def materials(text_hits: DataFrame, image_hits: DataFrame) -> DataFrame:
     return tag(text_hits, "text").unionByName(tag(image_hits, "image"), allowMissingColumns=True)
 
 
+def chat_sides(
+    hits: DataFrame, scorer: Callable[[Column, Column], Column], query_text: str, text_k: int = 5, image_k: int = 3,
+    modality: str = "modality", id_col: str = "id", text_col: str = "document",
+) -> DataFrame:
+    """Both sides of a chat retrieval with their ranks: texts reranked by ``scorer``, images by distance; anything but an image is a text.
+
+    ``hits`` are the first stage's few nearest rows.
+    """
+    side = F.when(F.col(modality) == "image", "image").otherwise("text")
+    scored = hits.withColumn("side", side).withColumn("rerank_score", F.when(F.col("side") == "text", scorer(F.lit(query_text), F.col(text_col))))
+    ranked = numbered(scored, "side", F.desc_nulls_last("rerank_score"), "distance", id_col)
+    return ranked.where(F.col("rank") <= F.when(F.col("side") == "image", image_k).otherwise(text_k))
+
+
+def result_rows(hits: DataFrame, collection: str, metadata: str = "metadata") -> DataFrame:
+    """Hits with their type and, for images of a document, a struct of size, format, mean colours and addresses; missing numbers are 0."""
+    m = F.col(metadata)
+    number = lambda key, kind: F.coalesce(m[key].try_cast(kind), F.lit(0).cast(kind)).alias(key)
+    address = lambda kind: F.concat(F.lit(f"/api/images/{kind}/{collection}/"), m["document_id"])
+    kind = F.coalesce(m["modality"], F.lit("text"))
+    image = F.struct(
+        number("width", "int"), number("height", "int"), F.coalesce(m["format"], F.lit("unknown")).alias("format"), number("file_size", "bigint"),
+        address("thumbnail").alias("thumbnail_url"), address("full").alias("full_image_url"),
+        F.array(*[number(f"mean_{c}", "double") for c in "rgb"]).alias("mean_rgb"),
+    )
+    named = F.coalesce(m["document_id"], F.lit("")) != ""
+    return hits.withColumn("result_type", kind).withColumn("image_metadata", F.when((kind == "image") & named, image))
+
+
+def filtered_or_all(df: DataFrame, query: list[float], k: int, where: dict | None, **options) -> DataFrame:
+    """The ``k`` nearest rows that pass a filter; all rows' nearest if none passes."""
+    near = top_k(df, query, k, where=where, **options)
+    if not where:
+        return near
+    # at most k rows
+    met = near.agg(F.count(F.lit(1)).alias("__met"))
+    either = near.withColumn("__own", F.lit(True)).unionByName(top_k(df, query, k, **options).withColumn("__own", F.lit(False)))
+    return either.join(F.broadcast(met)).where(F.col("__own") == (F.col("__met") > 0)).drop("__own", "__met")
+
+
 def hybrid(dense: DataFrame, sparse: DataFrame, alpha: float = 0.5, id_col: str = "id") -> DataFrame:
     """Extension: ``alpha`` x dense + (1 - alpha) x sparse score; a missing side counts 0."""
     both = dense.select(id_col, F.col("score").alias("dense")).join(sparse.select(id_col, F.col("score").alias("sparse")), id_col, "full")

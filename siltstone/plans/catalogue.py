@@ -805,3 +805,4 @@ def box_pairs(spark, sf_dir):
 import siltstone.plans.records  # noqa: E402,F401  registers its queries with these
 import siltstone.plans.stores  # noqa: E402,F401
 import siltstone.plans.sources  # noqa: E402,F401
+import siltstone.plans.composites  # noqa: E402,F401
