@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from siltstone.plans.catalogue import query, table
-from siltstone.sources import documents, loaders, slides
+from siltstone.sources import documents, images, loaders, slides
 from siltstone.sources.scratch import fresh_path
 
 
@@ -84,3 +84,45 @@ def admitted_files(spark, sf_dir):
     body = F.when((key % 4 == 1) & (key % 3 == 0), F.concat(F.lit("%PDF-1.7 "), "p_name")).otherwise(F.col("p_name")).cast("binary")
     size = F.when(F.col("p_size") > 40, F.lit(loaders.MAX_IMAGE + 1)).otherwise(F.col("p_size"))
     return loaders.admitted(table(spark, sf_dir, "part").select(F.concat(key.cast("string"), suffix).alias("path"), body.alias("content"), size.alias("length")))
+
+
+#: The vectors as grey pictures of 8 x 8 pixels.
+_PIXELS = "list_transform(embedding, lambda x: greatest(0, least(255, floor((x::DOUBLE + 1) * 127.5)))::INT)"
+
+
+def _pictures(spark, sf_dir):
+    value = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 1) * 127.5))).cast("int")
+    data = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(value(x)), 2, "0")), ""))
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    return rows.select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"), data.alias("data"))
+
+
+def _reds(data, n: int):
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.conv(F.substring(F.hex(data), k * 6 + 1, F.lit(2)), 16, 10)), ",")
+
+
+_SMALL = """list_transform(generate_series(0, 15), lambda k: floor((px[(k // 4) * 16 + (k % 4) * 2 + 1] + px[(k // 4) * 16 + (k % 4) * 2 + 2] +
+    px[(k // 4) * 16 + (k % 4) * 2 + 9] + px[(k // 4) * 16 + (k % 4) * 2 + 10]) / 4.0 + 0.5)::INT)"""
+
+
+@query(f"""WITH p AS (SELECT vec_id, {_PIXELS} AS px FROM embeddings WHERE len(embedding) = 64)
+    SELECT vec_id::VARCHAR AS path, 4 AS width, 4 AS height, array_to_string({_SMALL}, ',') AS pixels FROM p""")
+def thumbnails(spark, sf_dir):
+    return images.thumbnails(_pictures(spark, sf_dir), (4, 6)).select("path", "width", "height", _reds(F.col("data"), 16).alias("pixels"))
+
+
+@query(f"""WITH p AS (SELECT vec_id, {_PIXELS} AS px FROM embeddings WHERE len(embedding) = 64), s AS (SELECT vec_id, {_SMALL} AS t FROM p)
+    SELECT vec_id::VARCHAR AS path, 4 AS width, 6 AS height, '255,255,255,255,' || array_to_string(t, ',') || ',255,255,255,255' AS pixels FROM s""")
+def padded_thumbnails(spark, sf_dir):
+    return images.thumbnails(_pictures(spark, sf_dir), (4, 6), padded=True).select("path", "width", "height", _reds(F.col("data"), 24).alias("pixels"))
+
+
+@query(f"""WITH p AS (SELECT vec_id, list_sum({_PIXELS}) / 64.0 AS m FROM embeddings WHERE len(embedding) = 64)
+    SELECT vec_id::VARCHAR AS path, round(m, 6) AS mean, true AS has_text FROM p""")
+def image_features(spark, sf_dir):
+    """Feature texts of pictures through the encoder's seam."""
+    from siltstone.operators import ingest
+
+    found = images.encoded_images(_pictures(spark, sf_dir), ingest.hash_encoder)
+    text = images.feature_text([F.col("mean_r"), F.col("mean_g"), F.col("mean_b")])
+    return found.select("path", F.round("mean_r", 6).alias("mean"), ((F.col("feature_text") == text) & (F.size("embedding") == 64)).alias("has_text"))
