@@ -7,8 +7,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from siltstone.llm import quality
 from tests.llm.test_decontaminate import words
+from tests.llm.test_minhash import brute_kept, shingles
 from tests.llm.test_pii import brute as brute_spans
-from tests.llm.test_simhash import brute_components, brute_fingerprint
 
 
 def write(spark, folder, name, rows, schema):
@@ -31,6 +31,9 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
             body = f"{text(30)} {passage} {text(20)}"
         docs.append((n, body, "en", f"src{n % 3}", len(body)))
     docs += [(200 + n, docs[n][1] + ("" if n % 2 else "\n"), "en", "copy", 1) for n in range(0, 40, 5)]
+    for n in range(1, 40, 6):  # near copies: one word in the middle, or the first few
+        w = docs[n][1].split()
+        docs.append((250 + n, " ".join([*w[:20], "other", *w[21:]] if n % 2 else w[4:]), "en", "near", 1))
     docs += [(300, None, None, None, None), (301, "", "en", "x", 0), (1, docs[1][1], "en", "again", 5)]
     write(spark, tmp_path, "documents", docs, "doc_id long, text string, lang string, source string, n_chars long")
     write(spark, tmp_path, "labels", [(n, int(n % 10 != 3), 0) for n in range(100)], "doc_id long, quality int, toxic int")
@@ -43,8 +46,10 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     predicted = {(r.doc_id): r.predicted for r in quality.score_quality(frame, labels).collect()}
     assert all(p == int(d % 10 != 3) for d, p in predicted.items() if d < 120)
     rest = sorted({(d, t or "") for d, t, *_ in docs if predicted[d]})
-    label = brute_components([brute_fingerprint(t) for _, t in rest])
-    rest = [r for i, r in enumerate(rest) if label[i] == i]
+    kept, pairs = brute_kept(rest)
+    assert sum(shingles(rest[i][1]) != shingles(rest[j][1]) for i, j in pairs) >= 5
+    texts, rest = dict(rest), []
+    rest = [(d, texts[d]) for d in kept]
     items = [words(passage), words("")]
     held = [tuple(items[0][k : k + 10]) for k in range(len(items[0]) - 9)]
     rest = [(d, t) for d, t in rest if not any(tuple(words(t)[k : k + 10]) in held for k in range(len(words(t))))]
