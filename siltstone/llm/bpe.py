@@ -23,7 +23,7 @@ import json
 import os
 import re
 import unicodedata
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import regex
@@ -207,27 +207,20 @@ class ByteBPE:
             for special, plain in zip(parts[1::2], parts[2::2], strict=True):
                 plan = [*plan, (special,), *self.pieces(plain)]
             plans.append(plan)
-        get = self.known.get
-        found = [list(map(get, plan)) for plan in plans]
-        new: set = set()
-        for plan, ids in zip(plans, found, strict=True):
-            if None in ids:
-                new.update([w for w, i in zip(plan, ids, strict=True) if i is None])
+        # new words are found once among the distinct ones, so every word of a text is looked up once
+        words = set(chain.from_iterable(plans))
+        new = words.difference(self.known)
         if new:
             self.weight += sum(map(len, new))
             if len(self.known) + len(new) > self.remembered or self.weight > self.characters:
                 # common words come early, so the oldest short ones stay
                 kept = islice(((w, i) for w, i in self.known.items() if len(w) <= 64), self.remembered // 4)
                 self.known = self.marks | dict(kept)
-                new = {w for plan in plans for w in plan} - self.known.keys()
+                new = words.difference(self.known)
                 self.weight = sum(map(len, self.known)) + sum(map(len, new))
             self.learn(list(new))
-            get = self.known.get
-            found = [
-                [get(w) if i is None else i for w, i in zip(plan, ids, strict=True)] if None in ids else ids
-                for plan, ids in zip(plans, found, strict=True)
-            ]
-        return [b"".join(ids) for ids in found]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, plan)) for plan in plans]
 
     def decode(self, ids: bytes) -> str:
         tokens = np.frombuffer(ids, "<u4").astype(np.int64)
