@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -20,10 +22,18 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 
 def hold(operator: str, forget: Callable[[], None]) -> None:
-    """Keep one operator's memory in a worker; what others left from earlier stages goes."""
-    for other in [x for x in _HELD if x != operator]:
+    """Keep one operator's memory in a worker; what others left from earlier stages goes, back to the system."""
+    others = [x for x in _HELD if x != operator]
+    for other in others:
         _HELD.pop(other)()
     _HELD[operator] = forget
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        # what the C library keeps for later; only glibc has this
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
