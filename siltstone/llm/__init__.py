@@ -1,4 +1,4 @@
-"""Training-data operators: ten components, one module each.
+"""Training-data operators: thirteen components, one module each.
 
 Every operator takes and returns DataFrames, reads only the columns it is told
 to read (so extra columns never clash), treats a null text as empty and leaves

@@ -1,4 +1,4 @@
-"""The ten operators bound to the synthetic tables with production parameters."""
+"""The thirteen operators bound to the synthetic tables with production parameters."""
 
 from __future__ import annotations
 
