@@ -37,8 +37,8 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType, _par
 from siltstone.llm.common import shared_path, slices, stored
 from siltstone.llm.words import word_blocks
 
-#: Row groups of the index are small, as readers hold one of them.
-_GROUPS = {"compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4"}
+#: A window is a row group of its own, as readers decode one whole; sizes alone are looked at after a hundred rows only.
+_GROUPS = {"compression": "zstd", "parquet.block.row.count.limit": "1"}
 
 
 class _Postings:

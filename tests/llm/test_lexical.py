@@ -1,8 +1,10 @@
+import glob
 import math
 import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,13 @@ def test_windows(spark):
     assert small.count() > 40 and small.select(F.sum(F.size("ids"))).first()[0] == 100
 
 
+def test_readers_decode_one_window_at_a_time(spark):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} " + "c " * i) for i in range(100)], "doc_id long, text string").coalesce(1)
+    path = lexical.write_index(docs, window=16)
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path.removeprefix('file://')}/*.parquet")]
+    assert [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)] == [1] * 7
+
+
 def test_empty_tables(spark):
     docs, items = (spark.createDataFrame([], f"{c} long, text string") for c in ("doc_id", "item_id"))
     one = spark.createDataFrame([(1, "a b")], "item_id long, text string")
