@@ -15,10 +15,15 @@ def _ordered(rows: Column, body: str, glue: str) -> Column:
     return F.array_join(F.transform(F.sort_array(rows), lambda r: r[body]), glue)
 
 
+def two_decimals(score: Column) -> Column:
+    """A number, 0 for null, with two decimals, rounded from its exact binary value as C does; ``format_string`` rounds its shortest decimal form."""
+    return F.call_function("format_number", F.coalesce(score, F.lit(0.0)).cast("double"), F.lit("0.00"))
+
+
 def text_entry(rank: Column, source: Column, score: Column, content: Column, relevance: bool = True) -> Column:
     head = F.format_string("[%d] **Source**: %s", rank, F.coalesce(source, F.lit("Unknown")))
     if relevance:
-        head = F.concat(head, F.format_string(" | **Relevance**: %.2f", F.coalesce(score, F.lit(0.0))))
+        head = F.concat(head, F.lit(" | **Relevance**: "), two_decimals(score))
     return F.concat(head, F.lit("\n"), F.coalesce(content, F.lit("")), F.lit("\n"))
 
 
@@ -27,7 +32,7 @@ def image_entry(rank: Column, name: Column, description: Column, width: Column,
     described = F.coalesce(description, F.concat(F.lit("Image from "), name))
     head = F.format_string("[IMG-%d] **File**: %s | **Description**: %s", rank, name, described)
     if relevance:
-        head = F.concat(head, F.format_string(" | **Relevance**: %.2f", F.coalesce(score, F.lit(0.0))))
+        head = F.concat(head, F.lit(" | **Relevance**: "), two_decimals(score))
     size = F.format_string("\n*Dimensions*: %dx%d | *Format*: %s\n", F.coalesce(width, F.lit(0)), F.coalesce(height, F.lit(0)), F.coalesce(form, F.lit("unknown")))
     return F.concat(head, size)
 

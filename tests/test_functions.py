@@ -60,6 +60,13 @@ def test_context(spark):
 LESSON = '---\ntitle: "A: B"\nduration: 45\nfav: true\ntitle: C\n---\nlost\n# One\na [2]\n\nb [1]\n## Two\n![pic](p.png)\n*Figure 3: cap [Source: [IMG-2]]*\n![](q.png)'
 
 
+def test_relevance_is_rounded_from_the_binary_value(spark):
+    scores = [0.145, 0.155, 0.125, 0.375, 0.995, 1.0, 0.0, 1234.5]
+    for kind in (lambda s: context.text_entry(F.lit(1), F.lit("s"), s, F.lit("b")), lambda s: context.image_entry(F.lit(1), F.lit("i"), F.lit("d"), F.lit(1), F.lit(1), F.lit("f"), s)):
+        rows = spark.createDataFrame([(x,) for x in scores], "x double").select("x", kind(F.col("x")).alias("e")).collect()
+        assert all(f"**Relevance**: {r.x:.2f}\n" in r.e for r in rows)
+
+
 def test_lessons(spark):
     text = F.lit(LESSON)
     f, s, i = one(spark, lessons.frontmatter(text), lessons.sections(text), lessons.images(text))
