@@ -65,7 +65,8 @@ def _pptx(file: BinaryIO) -> Sequence[str]:
 
     archive = zipfile.ZipFile(io.BytesIO(file.read()) if not file.seekable() else file)
     names = slides.slide_names(archive)
-    return _Lazy(len(names), lambda i: slides.text_of(slides.shapes_of(archive, names[i])))
+    size = slides.slide_size(archive) if names else None
+    return _Lazy(len(names), lambda i: slides.text_of(slides.shapes_of(archive, names[i], size)))
 
 
 def _pdf(file: BinaryIO) -> Sequence[str]:

@@ -11,12 +11,16 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 from posixpath import join, normpath
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from siltstone.operators import regions
 
@@ -66,18 +70,27 @@ def slide_names(archive: zipfile.ZipFile) -> list[str]:
 
 
 def slide_size(archive: zipfile.ZipFile) -> tuple[int, int]:
-    if "ppt/presentation.xml" in archive.namelist():
+    if _has(archive, "ppt/presentation.xml"):
         for node in ElementTree.fromstring(archive.read("ppt/presentation.xml")).iter():
             if _tag(node) == "sldSz":
                 return int(node.attrib["cx"]), int(node.attrib["cy"])
     return _DEFAULT_SIZE
 
 
+def _has(archive: zipfile.ZipFile, name: str) -> bool:
+    """Whether a file is in the archive; its names are not listed, as a deck asks once a slide."""
+    try:
+        archive.getinfo(name)
+    except KeyError:
+        return False
+    return True
+
+
 def _links(archive: zipfile.ZipFile, name: str) -> dict[str, str]:
     """Files that a slide refers to, by their id."""
     folder, file = name.rsplit("/", 1)
     rels = f"{folder}/_rels/{file}.rels"
-    if rels not in archive.namelist():
+    if not _has(archive, rels):
         return {}
     return {r.attrib["Id"]: normpath(join(folder, r.attrib["Target"])) for r in ElementTree.fromstring(archive.read(rels)) if "Target" in r.attrib}
 
@@ -107,9 +120,9 @@ def _inside(group: ElementTree.Element, outer: _Transform) -> _Transform:
     return a * sx, a * (x - sx * ox) + b, c * sy, c * (y - sy * oy) + d
 
 
-def shapes_of(archive: zipfile.ZipFile, name: str) -> list[Shape]:
-    """Titles, texts, tables and pictures of a slide, in tree order; empty ones are left out."""
-    width, height = slide_size(archive)
+def shapes_of(archive: zipfile.ZipFile, name: str, size: tuple[int, int] | None = None) -> list[Shape]:
+    """Titles, texts, tables and pictures of a slide, in tree order; empty ones are left out.  ``size`` is the slides', if known."""
+    width, height = size or slide_size(archive)
     links = _links(archive, name)
     found: list[Shape] = []
 
@@ -178,33 +191,38 @@ def slide_regions(found: DataFrame, document: str = "path") -> DataFrame:
 
     A deck without any is one row with an error, as is one that cannot be read.
     """
+    schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
 
-    def rows_of(path: str, data: bytes) -> list[tuple]:
+    def rows_of(path: str, data: bytes) -> Iterator[tuple]:
         name = re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
-        rows = []
+        some = False
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            size = slide_size(archive)
             for page, slide in enumerate(slide_names(archive), 1):
-                shapes = shapes_of(archive, slide)
+                shapes = shapes_of(archive, slide, size)
                 ranks = reading_order([s.box for s in shapes])
                 for n, (s, rank) in enumerate(zip(shapes, ranks, strict=True)):
+                    some = True
                     box = dict(zip(("x_min", "y_min", "x_max", "y_max"), s.box, strict=True)) if s.box else None
-                    rows.append((path, page, f"{name}_slide{page}_shape{n}", s.kind, n, rank, s.content, s.cells, s.image, box, None))
-        if not rows:
+                    yield path, page, f"{name}_slide{page}_shape{n}", s.kind, n, rank, s.content, s.cells, s.image, box, None
+        if not some:
             raise ValueError("no content")
-        return rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.strip().split(" ")[0] for f in re.sub(r"<[^ ]*>", "", SCHEMA).split(", ")]
-        for pdf in batches:
-            rows = []
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(*batch.columns, strict=True):
+                # a deck is its rows or its error, so its rows are kept, packed, until all are there
                 try:
-                    rows += rows_of(path, bytes(data))
+                    rows = rows_of(path.as_py(), data.as_py())
+                    found = [made(part) for part in iter(lambda rows=rows: list(islice(rows, 8192)), [])]
                 except Exception as e:  # noqa: BLE001  the row carries the error
-                    rows.append((path, *[None] * 9, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=names)
+                    found = [made([(path.as_py(), *[None] * 9, f"{type(e).__name__}: {e}")])]
+                yield from found
 
-    return found.select(F.col(document).alias("path"), "content").mapInPandas(run, SCHEMA)
+    return found.select(F.col(document).alias("path"), "content").mapInArrow(run, SCHEMA)
 
 
 def deck_texts(found: DataFrame) -> DataFrame:
@@ -258,7 +276,7 @@ def analyzed(found: DataFrame, load: Callable[[], Analyzer], batch: int = 16) ->
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(data))) as archive:
                         for page, slide in enumerate(slide_names(archive), 1):
-                            rows += [(path, page, archive.read(s.image)) for s in shapes_of(archive, slide) if s.image and s.image in archive.namelist()]
+                            rows += [(path, page, archive.read(s.image)) for s in shapes_of(archive, slide) if s.image and _has(archive, s.image)]
                 except Exception:  # noqa: BLE001, S112  slide_regions has the row of the error
                     continue
             yield pd.DataFrame(rows, columns=["path", "page_number", "image"])

@@ -63,6 +63,19 @@ def test_nested_groups_tables_and_order(spark):
     assert errors["/x/empty.pptx"] == "ValueError: no content" and "BadZipFile" in errors["/x/bad.pptx"]
 
 
+def test_slides_do_not_list_the_archive():
+    class Counting(zipfile.ZipFile):
+        listed = 0
+
+        def namelist(self):
+            Counting.listed += 1
+            return super().namelist()
+
+    with Counting(io.BytesIO(deck([shape(f"t{i}") for i in range(20)]))) as archive:
+        assert [slides.text_of(slides.shapes_of(archive, n)) for n in slides.slide_names(archive)] == [f"t{i}" for i in range(20)]
+        assert Counting.listed == 1  # once for the slides' names
+
+
 def test_reading_order_by_hand():
     assert slides.reading_order([(0.5, 0, 1, 0.2), (0, 0.05, 0.4, 0.2), None, (0, 0.5, 1, 1)]) == [2, 0, 1, 3]
     assert slides.reading_order([(0.5, 0, 1, 0.2), (0, 0, 0.4, 0.2), (0, 0.5, 1, 1)]) == [1, 0, 2]
