@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from siltstone.llm import minhash
+from siltstone.llm import minhash, simhash
 
 
 def shingles(text):
@@ -55,6 +55,19 @@ def test_stage_keeps_one_of_all_pairs_of_similarity_08(spark):
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_fingerprints_give_candidates(spark):
+    tail = lambda c: " ".join(f"{c}{i}" for i in range(12))
+    often = "one two three four five six seven " * 60
+    rows = [(5, often + tail("a")), (2, often + tail("b")), (3, tail("c")), (4, tail("d")), (7, None), (8, often + tail("a"))]
+    fps = [np.uint64(simhash.fingerprint(t or "")).astype(np.int64).item() for _, t in rows]
+    held = spark.createDataFrame([(n, fp) for (n, _), fp in zip(rows, fps, strict=True)], "node long, fp long")
+    found = {(r.src, r.dst) for r in simhash.component_stars(minhash._fingerprint_links(held, 3)).collect()}
+    assert found == {(5, 2), (8, 2)}
+    # the exact check follows: 5 and 2 share a fingerprint, not their shingles
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_unique(spark, df, "").collect()) == brute_kept(rows)[0] == [2, 3, 4, 5, 7]
+
+
 def test_links_are_exact():
     rows = planted(5)
     sets = [s for _, t in rows if len(s := minhash.grams(t or ""))]
