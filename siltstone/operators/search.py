@@ -19,6 +19,8 @@ from siltstone.functions import vectors
 from siltstone.operators.predicates import filtered
 
 QUERY_BLOCK = 4096
+#: Distances that a task holds at once.
+PIECE = 1 << 20
 
 
 def top_k(
@@ -102,20 +104,26 @@ def _nearest(sent, k: int, metric: str) -> Callable[[Iterator[pd.DataFrame]], It
         names, vectors_ = sent.value
         held = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
         border = np.full(len(vectors_), np.inf)
+        rows = max(64, PIECE // len(vectors_))
         for pdf in batches:
             pdf = pdf.dropna()
-            for at in range(0, len(pdf), 2048):
-                piece = pdf.iloc[at : at + 2048]
+            for at in range(0, len(pdf), rows):
+                piece = pdf.iloc[at : at + rows]
                 # rounded, so that equal vectors tie whatever the order of the sums
                 d = distances(vectors_, np.stack(piece["v"].to_numpy()).astype(np.float64)).round(12) + 0.0
-                row, column = np.nonzero(d <= border[:, None])
+                # a row behind a query's k-th of this piece is none of its k first; peers of that one stay
+                top = np.minimum(border, np.partition(d, k - 1, axis=1)[:, k - 1]) if d.shape[1] > k else border
+                row, column = np.nonzero(d <= top[:, None])
+                if not len(row):
+                    continue
                 new = row, d[row, column], piece["id"].to_numpy(object)[column]
                 held = best(*[np.concatenate(x) for x in zip(held, new, strict=True)])
                 full = np.bincount(held[0], minlength=len(names)) >= k
                 last = np.searchsorted(held[0], np.arange(len(names)), "right") - 1
                 border[full] = held[1][last[full]]
-        if len(held[0]):
-            yield pd.DataFrame({"q": [names[i] for i in held[0]], "id": held[2].tolist(), "distance": held[1]})
+        for at in range(0, len(held[0]), 1 << 16):
+            q, d, ids = (x[at : at + (1 << 16)] for x in held)
+            yield pd.DataFrame({"q": [names[i] for i in q], "id": ids.tolist(), "distance": d})
 
     return run
 

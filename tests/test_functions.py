@@ -107,3 +107,25 @@ def test_wrapping_and_prompts(spark):
     assert one(spark, text)[0].endswith("Sources:\n[1] " + "x" * 500 + "...\n[2] y")
     out = one(spark, lessons.assembled_lesson(F.lit(LESSON), F.lit("topic"), F.lit("---\nnew: 1\n---\n")))[0]
     assert out.title == "C" and out.markdown.startswith("---\nnew: 1\n---\n\nlost\n# One")
+
+
+def test_memory_of_a_search_does_not_grow_with_its_queries():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=(4096, 8)), rng.normal(size=(2048, 8))
+    x[1024:] = x[:1024]  # ties
+    run = search._nearest(SimpleNamespace(value=(list(range(4096)), q)), 3, "l2")
+    tracemalloc.start()
+    got = pd.concat(run(iter([pd.DataFrame({"id": range(2048), "v": list(x)})])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    want = ((q[:50, None] - x[None]) ** 2).sum(-1).round(12)
+    for i in range(50):
+        order = np.lexsort((np.arange(2048), want[i]))[:3]
+        assert sorted(got[got.q == i].id) == sorted(order.tolist())
