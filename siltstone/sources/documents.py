@@ -9,13 +9,16 @@ A file that cannot be read, or whose pages are all blank, is one row with its er
 
 from __future__ import annotations
 
+import codecs
 import io
 import re
 import zipfile
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -48,10 +51,26 @@ class _Lazy(Sequence):
         return self._read(i)
 
 
-def _text(file: BinaryIO) -> list[str]:
-    """Form feeds part pages; one at the end closes the last page."""
-    pages = file.read().decode("utf-8").split("\f")
-    return pages[:-1] if len(pages) > 1 and not pages[-1] else pages
+def _text(file: BinaryIO) -> Sequence[str]:
+    """Form feeds part pages; one at the end closes the last page.  The file is checked and its pages found in blocks, then each is read when asked for."""
+    if not file.seekable():
+        file = io.BytesIO(file.read())
+    ends, at, check = array("q"), 0, codecs.getincrementaldecoder("utf-8")()
+    while block := file.read(1 << 20):
+        check.decode(block)
+        found = np.flatnonzero(np.frombuffer(block, np.uint8) == 12) + at
+        ends.frombytes(found.astype(np.int64).tobytes())
+        at += len(block)
+    check.decode(b"", True)
+    if not ends or ends[-1] != at - 1:
+        ends.append(at)
+
+    def page(i: int) -> str:
+        start = ends[i - 1] + 1 if i else 0
+        file.seek(start)
+        return file.read(ends[i] - start).decode("utf-8")
+
+    return _Lazy(len(ends), page)
 
 
 def _docx(file: BinaryIO) -> list[str]:

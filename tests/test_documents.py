@@ -154,3 +154,23 @@ def test_admission(spark):
     assert bad == {"b.png": "content is not .png", "d.txt": "content is not .txt", "h.exe": "unsupported format: .exe", "j.jpg": "image too large", "k": "unsupported format: "}
     got = loaders.loaded(loaders.checked(spark.createDataFrame(rows[2:4], "path string, content binary, length long"))).collect()
     assert {r.path: r.error for r in got} == {"c.txt": None, "d.txt": "content is not .txt"}
+
+
+def test_text_pages_are_read_one_at_a_time():
+    data = "\f".join(["é" * 700_000, "", "b\n", "c"]).encode()
+
+    class Reading(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            Reading.most = max(Reading.most, len(got))
+            return got
+
+    for tail, want in ((b"", 4), (b"\f", 4), (b"\f\f", 5)):
+        pages = documents._text(Reading(data + tail))
+        assert len(pages) == want and pages[3] == "c" and pages[0] == "é" * 700_000 and pages[1] == ""
+        assert [pages[i] for i in range(want)] == (data + tail).decode().split("\f")[:want]
+    assert Reading.most < 1_500_000 and [len(documents._text(io.BytesIO(x))) for x in (b"", b"\f", b"a")] == [1, 1, 1]
+    with pytest.raises(UnicodeDecodeError):
+        documents._text(io.BytesIO(b"ok\fbad \xff"))
