@@ -17,8 +17,9 @@ def frontmatter(text: Column) -> Column:
     entries = F.transform(
         lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), strip(F.regexp_replace(x, r"^[^:]*:", "")).alias("value"))
     )
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+    # as a lambda's argument the entries are computed once, not for each of them
+    last = lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == e["key"]))
+    return F.get(F.transform(F.array(entries), lambda all_: F.map_from_entries(last(all_))), F.lit(0))
 
 
 def number_field(fields: Column, key: str) -> Column:
@@ -119,7 +120,11 @@ def metadata_box(text: Column, style: str = "color") -> Column:
     """The second frontmatter block as a labelled HTML box; empty without one."""
     tail = "-bw" if style == "bw" else ""
     second = F.get(F.regexp_extract_all(text, F.lit(r"(?sm)^---\n(.*?)\n---"), F.lit(1)), F.lit(1))
-    fields = frontmatter(F.concat(F.lit("---\n"), second, F.lit("\n---\n")))
+    # a lambda's argument is computed once, however often it is used
+    return F.get(F.transform(F.array(frontmatter(F.concat(F.lit("---\n"), second, F.lit("\n---\n")))), lambda fields: _box(fields, tail)), F.lit(0))
+
+
+def _box(fields: Column, tail: str) -> Column:
     at = F.try_to_timestamp(F.regexp_replace(fields["generated"], "Z$", "+00:00"))
     shown = {
         "duration": F.concat(fields["duration"], F.lit(" minutes")), "teaching_style": F.initcap(F.translate(fields["teaching_style"], "_", " ")),

@@ -56,3 +56,14 @@ def test_hints_boxes_and_types(spark):
     assert 'value">soon<' in box[0].b and box[1].b == box[2].b == ""
     kinds = spark.createDataFrame([("a/b.PY",), ("x",), ("y.tar.gz",)], "p string").select(T.content_type(F.col("p")).alias("k")).collect()
     assert [r.k for r in kinds] == ["text/x-python", "application/octet-stream", "application/octet-stream"]
+
+
+def test_metadata_box_reads_its_block_once(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import lessons
+
+    df = spark.createDataFrame([("---\na: b\n---\n\n---\ntitle: T\ntitle: U\nduration: 5\n---\n",), ("x",), (None,)], "t string").select(lessons.metadata_box(F.col("t")).alias("b"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = [r.b for r in df.collect()]
+    assert '<h1 class="lesson-title">U</h1>' in got[0] and "5 minutes" in got[0] and "".join(filter(None, got[1:])) == ""
