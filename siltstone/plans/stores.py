@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,9 +117,11 @@ def resumed_pages(spark, sf_dir):
     pages = docs.select(F.col("doc_id").cast("string").alias("path"), "text", F.explode(starts).alias("n"))
     pages = pages.select("path", (F.col("n") + 1).alias("page_number"), F.substring(F.col("text"), F.col("n") * 2000 + 1, F.lit(2000)).alias("content"))
     source = fresh_path(spark, "page_rows")
-    pages.repartition(3, "path").write.parquet(source)
+    # three batches of as many files as keep one at some 16 million characters
+    share = math.ceil((docs.agg(F.sum(F.length("text"))).first()[0] or 0) / (3 * 16 << 20)) or 1
+    pages.repartition(3 * share, "path").write.parquet(source)
     work = PageBatches(spark, fresh_path(spark, "page_batches"))
-    stream = lambda: streams.folder(spark, source, "path string, page_number int, content string", 1)
+    stream = lambda: streams.folder(spark, source, "path string, page_number int, content string", share)
 
     def stop(number: int) -> None:
         if number == 1:
