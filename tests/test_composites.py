@@ -67,3 +67,11 @@ def test_metadata_box_reads_its_block_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     got = [r.b for r in df.collect()]
     assert '<h1 class="lesson-title">U</h1>' in got[0] and "5 minutes" in got[0] and "".join(filter(None, got[1:])) == ""
+
+
+def test_chunks_without_texts(spark):
+    df = spark.createDataFrame(ROWS, REGIONS)
+    whole, bare = chunking.semantic_chunks(df, id_col="source"), chunking.semantic_chunks(df, id_col="source", content=False)
+    assert "content" not in bare.columns
+    assert sorted(map(str, whole.drop("content").collect())) == sorted(map(str, bare.collect()))
+    assert all(r.metadata["end_index"] == str(len(r.content)) for r in whole.collect())
