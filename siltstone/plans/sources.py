@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import io
+import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone.plans.catalogue import query, table
@@ -25,6 +27,8 @@ def document_pages(spark, sf_dir):
     return pages.where("error IS NULL AND content <> ''").groupBy(F.md5("content").alias("content"), "format").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Tasks over which presentations are dealt (fixed value).
+_DECK_TASKS = 64
 _XML = 'xmlns:a="a" xmlns:p="p" xmlns:r="r"'
 
 
@@ -36,24 +40,38 @@ def _text(name: str, body: str, at: str) -> str:
     return f'<p:sp><p:nvSpPr><p:cNvPr id="1" name="{name}"/></p:nvSpPr><p:spPr>{at}</p:spPr><p:txBody><a:p><a:r><a:t>{body}</a:t></a:r></a:p></p:txBody></p:sp>'
 
 
-def _deck(pdf: pd.DataFrame) -> pd.DataFrame:
+def _deck(file, rows: Iterable[tuple]) -> None:
     """A presentation of 1000 x 1000 units with a slide for each part: a title, and in a group of half size a text and a table."""
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
         z.writestr("ppt/presentation.xml", f'<p:presentation {_XML}><p:sldSz cx="1000" cy="1000"/></p:presentation>')
-        for n, r in enumerate(pdf.sort_values("p_partkey").itertuples(index=False), 1):
-            cells = "".join(f"<a:tc><a:txBody><a:p><a:r><a:t>{c}</a:t></a:r></a:p></a:txBody></a:tc>" for c in (r.p_partkey, r.p_size))
+        for n, (key, name, kind, size) in enumerate(rows, 1):
+            cells = "".join(f"<a:tc><a:txBody><a:p><a:r><a:t>{c}</a:t></a:r></a:p></a:txBody></a:tc>" for c in (key, size))
             frame = f"<p:graphicFrame>{_at('p:xfrm', 0, 800, 1000, 200)}<a:tbl><a:tr>{cells}</a:tr></a:tbl></p:graphicFrame>"
             group = _at("a:xfrm", 100, 400, 500, 500, '<a:chOff x="0" y="0"/><a:chExt cx="1000" cy="1000"/>')
-            shapes = f"<p:grpSp><p:grpSpPr>{group}</p:grpSpPr>{frame}{_text('Body', r.p_name, _at('a:xfrm', 0, 200, 600, 400))}</p:grpSp>"
-            shapes += _text("Title 1", r.p_type, _at("a:xfrm", 0, 0, 1000, 100)) + _text("Empty", " ", "")
+            shapes = f"<p:grpSp><p:grpSpPr>{group}</p:grpSpPr>{frame}{_text('Body', name, _at('a:xfrm', 0, 200, 600, 400))}</p:grpSp>"
+            shapes += _text("Title 1", kind, _at("a:xfrm", 0, 0, 1000, 100)) + _text("Empty", " ", "")
             z.writestr(f"ppt/slides/slide{n}.xml", f"<p:sld {_XML}><p:cSld><p:spTree>{shapes}</p:spTree></p:cSld></p:sld>")
-    return pd.DataFrame({"path": [f"{pdf['p_brand'].iloc[0]}.pptx"], "content": [held.getvalue()]})
 
 
 def _decks(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size")
-    return parts.groupBy("p_brand").applyInPandas(_deck, "path string, content binary")
+    """A presentation for each brand (path) as a file in the shared folder, which is written and read a slide at a time."""
+    folder = fresh_path(spark, "decks")
+    columns = ["p_brand", "p_partkey", "p_name", "p_type", "p_size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = documents._located(folder)
+        system.create_dir(place, recursive=True)
+        rows = (row for batch in batches for at in range(0, len(batch), 1024) for row in zip(*batch.slice(at, 1024).to_pydict().values(), strict=True))
+        for brand, parts in groupby(rows, key=lambda row: row[0]):
+            name = f"{uuid.uuid4().hex}.pptx"
+            with system.open_output_stream(f"{place}/{name}", buffer_size=1 << 20) as file:
+                _deck(file, (row[1:] for row in parts))
+            yield pa.RecordBatch.from_pydict({"path": [f"{brand}.pptx"], "file": [f"{folder}/{name}"]})
+
+    parts = table(spark, sf_dir, "part").select(columns)
+    # a stated number of tasks: by their bytes, large decks would be put into one
+    dealt = parts.repartition(_DECK_TASKS, "p_brand").sortWithinPartitions("p_brand", F.asc_nulls_last("p_partkey"))
+    return dealt.mapInArrow(run, "path string, file string")
 
 
 @query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INT AS page_number FROM part),

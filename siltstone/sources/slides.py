@@ -8,21 +8,25 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
-from itertools import islice
+from functools import lru_cache
 from posixpath import join, normpath
 from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from siltstone.operators import regions
+from siltstone.sources import documents
 
 _BOX = "struct<x_min:double,y_min:double,x_max:double,y_max:double>"
 SCHEMA = (
@@ -31,6 +35,8 @@ SCHEMA = (
 )
 #: A slide's size if the presentation does not say it (fixed value).
 _DEFAULT_SIZE = (9144000, 6858000)
+#: Bytes of a deck's rows that wait in memory (fixed value).
+_WAITING = 8 << 20
 
 
 @dataclass
@@ -43,13 +49,25 @@ class Shape:
     descent: int = 0
 
 
+@lru_cache(1024)
+def _local(name: str) -> str:
+    return name.rsplit("}", 1)[-1]
+
+
 def _tag(node: ElementTree.Element) -> str:
-    return node.tag.rsplit("}", 1)[-1]
+    return _local(node.tag)
 
 
 def _child(node: ElementTree.Element | None, *path: str) -> ElementTree.Element | None:
     for name in path:
-        node = next((c for c in node if _tag(c) == name), None) if node is not None else None
+        if node is None:
+            return None
+        for c in node:
+            if _local(c.tag) == name:
+                node = c
+                break
+        else:
+            return None
     return node
 
 
@@ -59,8 +77,10 @@ def _attribute(node: ElementTree.Element, name: str) -> str | None:
 
 def _paragraphs(node: ElementTree.Element) -> str:
     lines = []
-    for p in (n for n in node.iter() if _tag(n) == "p"):
-        lines.append("".join("\n" if _tag(n) == "br" else n.text or "" for n in p.iter() if _tag(n) in ("t", "br")))
+    for p in node.iter():
+        if _local(p.tag) == "p":
+            tags = [(_local(n.tag), n.text) for n in p.iter()]
+            lines.append("".join(["\n" if tag == "br" else text or "" for tag, text in tags if tag in ("t", "br")]))
     return "\n".join(lines)
 
 
@@ -186,54 +206,121 @@ def reading_order(boxes: list[tuple[float, float, float, float] | None]) -> list
     return rank
 
 
+@contextmanager
+def _opened(source: str | bytes | None) -> Iterator[zipfile.ZipFile]:
+    """A presentation's archive, from its bytes or from the file at a path, of which a slide is read at a time."""
+    if isinstance(source, str):
+        system, place = documents._located(source)
+        # of a file that is too short for an archive, zipfile expects what Python's files raise
+        file = open(place, "rb") if isinstance(system, fs.LocalFileSystem) else system.open_input_file(place)
+    else:
+        file = io.BytesIO(source)
+    with file, zipfile.ZipFile(file) as archive:
+        yield archive
+
+
+def _slides(archive: zipfile.ZipFile) -> Iterator[tuple[int, list[Shape]]]:
+    size = slide_size(archive)
+    for page, slide in enumerate(slide_names(archive), 1):
+        yield page, shapes_of(archive, slide, size)
+
+
+def _packed(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of 8,192, or as many as hold four million characters."""
+    held, size = [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, str))
+        if len(held) >= 8192 or size > 4 << 20:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
+def _each(found: DataFrame, document: str, schema: str, rows_of: Callable[[str, zipfile.ZipFile], Iterator[tuple]]) -> DataFrame:
+    """Rows of each presentation, with its path first and an error last; a deck without rows, or that cannot be read, is its error.
+
+    Presentations are their bytes (``content``) or, if there is such a column, the file that holds them (``file``).
+    """
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, source in zip(*batch.columns, strict=True):
+                # a deck is its rows or its error, so its rows wait, large ones in a file of the task's, until all are there
+                with tempfile.SpooledTemporaryFile(_WAITING) as waiting:
+                    try:
+                        with _opened(source.as_py()) as archive, pa.ipc.new_stream(waiting, arrow) as out:
+                            some = False
+                            for part in _packed(rows_of(path.as_py(), archive), arrow):
+                                some = True
+                                out.write_batch(part)
+                        if not some:
+                            raise ValueError("no content")
+                    except Exception as e:  # noqa: BLE001  the row carries the error
+                        yield from _packed(iter([(path.as_py(), *[None] * (len(arrow) - 2), f"{type(e).__name__}: {e}")]), arrow)
+                        continue
+                    waiting.seek(0)
+                    yield from pa.ipc.open_stream(waiting)
+
+    source = "file" if "file" in found.columns else "content"
+    return found.select(F.col(document).alias("path"), source).mapInArrow(run, schema)
+
+
 def slide_regions(found: DataFrame, document: str = "path") -> DataFrame:
-    """Regions of presentations (path, content bytes): titles, texts, tables with cells, pictures with their file in the archive.
+    """Regions of presentations (path, content bytes or file): titles, texts, tables with cells, pictures with their file in the archive.
 
     A deck without any is one row with an error, as is one that cannot be read.
     """
-    schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
 
-    def rows_of(path: str, data: bytes) -> Iterator[tuple]:
+    def rows_of(path: str, archive: zipfile.ZipFile) -> Iterator[tuple]:
         name = re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
-        some = False
-        with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            size = slide_size(archive)
-            for page, slide in enumerate(slide_names(archive), 1):
-                shapes = shapes_of(archive, slide, size)
-                ranks = reading_order([s.box for s in shapes])
-                for n, (s, rank) in enumerate(zip(shapes, ranks, strict=True)):
-                    some = True
-                    box = dict(zip(("x_min", "y_min", "x_max", "y_max"), s.box, strict=True)) if s.box else None
-                    yield path, page, f"{name}_slide{page}_shape{n}", s.kind, n, rank, s.content, s.cells, s.image, box, None
-        if not some:
-            raise ValueError("no content")
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        for page, shapes in _slides(archive):
+            ranks = reading_order([s.box for s in shapes])
+            for n, (s, rank) in enumerate(zip(shapes, ranks, strict=True)):
+                box = dict(zip(("x_min", "y_min", "x_max", "y_max"), s.box, strict=True)) if s.box else None
+                yield path, page, f"{name}_slide{page}_shape{n}", s.kind, n, rank, s.content, s.cells, s.image, box, None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(*batch.columns, strict=True):
-                # a deck is its rows or its error, so its rows are kept, packed, until all are there
-                try:
-                    rows = rows_of(path.as_py(), data.as_py())
-                    found = [made(part) for part in iter(lambda rows=rows: list(islice(rows, 8192)), [])]
-                except Exception as e:  # noqa: BLE001  the row carries the error
-                    found = [made([(path.as_py(), *[None] * 9, f"{type(e).__name__}: {e}")])]
-                yield from found
-
-    return found.select(F.col(document).alias("path"), "content").mapInArrow(run, SCHEMA)
+    return _each(found, document, SCHEMA, rows_of)
 
 
 def deck_texts(found: DataFrame) -> DataFrame:
-    """One row per presentation: its regions as text by slide, and how many of each type it has."""
-    each = slide_regions(found)
-    head = F.concat(F.lit("--- Slide "), F.col("page_number").cast("string"), F.lit(" ("), F.col("region_type"), F.lit(") ---\n"), F.col("content"))
-    shown = F.when((F.col("region_type") != "image") & (F.col("content") != ""), F.struct("page_number", "region_sequence", head.alias("text")))
-    parts = F.array_compact(F.sort_array(F.collect_list(shown)))
-    counts = [F.count_if(F.col("region_type") == t).alias(t) for t in regions.TYPES]
-    made = each.groupBy("path").agg(parts.alias("parts"), F.max("page_number").alias("slide_count"), F.max("error").alias("error"), *counts)
-    return made.select("path", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("content"), "slide_count", "error", *regions.TYPES)
+    """One row per presentation (path, content bytes or file): its regions as text by slide, and how many of each type it has.
+
+    A deck's text is put together where its slides are read, in blocks of a million characters, so that no region is a row.
+    """
+
+    def rows_of(path: str, archive: zipfile.ZipFile) -> Iterator[tuple]:
+        texts, size, counts, last, block = [], 0, dict.fromkeys(regions.TYPES, 0), None, 0
+
+        def made() -> tuple:
+            return path, block, "\n\n".join(texts) if texts else None, last, *counts.values(), None
+
+        for page, shapes in _slides(archive):
+            for s in shapes:
+                last = page
+                counts[s.kind] += 1
+                if s.kind != "image" and s.content:
+                    texts.append(f"--- Slide {page} ({s.kind}) ---\n{s.content}")
+                    size += len(texts[-1])
+            if size > 1 << 20:
+                yield made()
+                texts, size, counts, block = [], 0, dict.fromkeys(regions.TYPES, 0), block + 1
+        if any(counts.values()):
+            yield made()
+
+    schema = f"path string, block int, content string, slide_count int, {', '.join(f'`{t}` bigint' for t in regions.TYPES)}, error string"
+    each = _each(found, "path", schema, rows_of)
+    shown = F.when(F.col("content").isNotNull(), F.struct("block", "content"))
+    parts = F.sort_array(F.collect_list(shown))
+    counts = [F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in regions.TYPES]
+    made = each.groupBy("path").agg(parts.alias("parts"), F.max("slide_count").alias("slide_count"), F.max("error").alias("error"), *counts)
+    return made.select("path", F.array_join(F.transform("parts", lambda p: p["content"]), "\n\n").alias("content"), "slide_count", "error", *regions.TYPES)
 
 
 #: Bytes of images to their markdown, one for one.

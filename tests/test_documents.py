@@ -1,4 +1,6 @@
 import io
+import random
+import tracemalloc
 import zipfile
 
 import pytest
@@ -76,6 +78,44 @@ def test_slides_do_not_list_the_archive():
         assert Counting.listed == 1  # once for the slides' names
 
 
+def test_decks_in_files_give_what_their_bytes_give(spark, tmp_path):
+    # texts of 2,500,000 characters are twelve blocks, whose rows do not fit the memory in which they wait
+    long = deck([shape(f"{n} " + "x" * 2_500_000, name="Title" if n % 2 else "Box") for n in range(1, 13)])
+    broken = deck([shape("y" * 5_000_000)] * 2, [("ppt/slides/slide3.xml", "<no end")])
+    rows = [("long.pptx", long), ("broken.pptx", broken), ("empty.pptx", deck([shape("")])), ("bad.pptx", b"no zip"), ("two.pptx", deck([shape("a") + TABLE.format(""), shape(" "), shape("b"), shape(" ")]))]
+    for name, data in rows:
+        (tmp_path / name).write_bytes(data)
+    files = spark.createDataFrame([(name, str(tmp_path / name)) for name, _ in rows] + [("none.pptx", str(tmp_path / "none.pptx"))], "path string, file string")
+    got = {r.path: r for r in slides.deck_texts(files).collect()}
+    text = "\n\n".join(f"--- Slide {n} ({'title' if n % 2 else 'text'}) ---\n{n} " + "x" * 2_500_000 for n in range(1, 13))
+    assert got["long.pptx"].content == text and (got["long.pptx"].slide_count, got["long.pptx"].title, got["long.pptx"].text) == (12, 6, 6)
+    assert got["two.pptx"].content == "--- Slide 1 (text) ---\na\n\n--- Slide 1 (table) ---\na | b\n | d\n\n--- Slide 3 (text) ---\nb" and got["two.pptx"].slide_count == 3
+    # a deck whose last slide is broken is its error only
+    assert (got["broken.pptx"].content, got["broken.pptx"].slide_count, got["broken.pptx"].text) == ("", None, 0) and "ParseError" in got["broken.pptx"].error
+    assert got["empty.pptx"].error == "ValueError: no content" and "BadZipFile" in got["bad.pptx"].error and "FileNotFoundError" in got["none.pptx"].error
+    held = spark.createDataFrame(rows, "path string, content binary")
+    assert sorted(slides.deck_texts(held).collect()) == sorted(r for p, r in got.items() if p != "none.pptx")
+    assert [(r.path, r.n) for r in slides.slide_regions(files).groupBy("path").agg(F.count("content").alias("n")).sort("path").collect()] == [
+        ("bad.pptx", 0), ("broken.pptx", 0), ("empty.pptx", 0), ("long.pptx", 12), ("none.pptx", 0), ("two.pptx", 3)]
+
+
+def test_a_deck_is_written_and_read_a_slide_at_a_time(spark, tmp_path):
+    from siltstone.plans import sources
+
+    # presentations are files, not cells
+    assert sources._decks(spark, "/root/testdata/sf0.001").columns == ["path", "file"]
+    rng = random.Random(5)
+    parts = ((n, rng.randbytes(20_000).hex(), "kind", 1) for n in range(1000))
+    tracemalloc.start()
+    with open(tmp_path / "d.pptx", "wb") as file:
+        sources._deck(file, parts)
+    with slides._opened(str(tmp_path / "d.pptx")) as archive:
+        assert sum(len(s) for _, s in slides._slides(archive)) == 3000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (tmp_path / "d.pptx").stat().st_size > 20 << 20 and peak < 10 << 20
+
+
 def test_reading_order_by_hand():
     assert slides.reading_order([(0.5, 0, 1, 0.2), (0, 0.05, 0.4, 0.2), None, (0, 0.5, 1, 1)]) == [2, 0, 1, 3]
     assert slides.reading_order([(0.5, 0, 1, 0.2), (0, 0, 0.4, 0.2), (0, 0.5, 1, 1)]) == [1, 0, 2]
